@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
@@ -43,11 +46,12 @@ def representations_of(representations: DataFrame, rows: DataFrame, key: str) ->
 
 def probe_predictions(
     df: DataFrame, label: str, features: str, layer: str, key: str, repeats: int = REPEATS,
-    share: float = TEST_SHARE, seed: int = 0,
+    share: float = TEST_SHARE, seed: int = 0, parallelism: int = 8,
 ) -> DataFrame:
     """(layer, cv, key, true, predicted) on the held-out rows of every repeat.
 
     Each fit is a distributed logistic regression with the penalty ½|w|²; rows are never gathered.
+    ``parallelism`` fits are submitted at a time, so that short stages fill the cluster.
     """
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
     model = indexer.fit(df)
@@ -67,26 +71,23 @@ def probe_predictions(
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     }
-    parts = []
-    for at in layers:
+
+    def fitted(cell: tuple) -> DataFrame:
+        at, cv = cell
+        held = hold_out(key, cv, share, seed)
         of_layer = data.filter(F.col(layer) == F.lit(at))
-        for cv in range(repeats):
-            held = hold_out(key, cv, share, seed)
-            fit = LogisticRegression(
-                featuresCol="_x", labelCol="_label", regParam=1.0 / max(sizes.get((at, cv), 1), 1),
-                elasticNetParam=0.0, standardization=False, maxIter=100,
-            ).fit(of_layer.filter(~held))
-            scored = fit.transform(of_layer.filter(held))
-            parts.append(
-                scored.select(
-                    layer, F.lit(cv).alias("cv"), key, "true",
-                    F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
-                )
-            )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        fit = LogisticRegression(
+            featuresCol="_x", labelCol="_label", regParam=1.0 / max(sizes.get(cell, 1), 1),
+            elasticNetParam=0.0, standardization=False, maxIter=100,
+        ).fit(of_layer.filter(~held))
+        return fit.transform(of_layer.filter(held)).select(
+            layer, F.lit(cv).alias("cv"), key, "true",
+            F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
+        )
+
+    cells = [(at, cv) for at in layers for cv in range(repeats)]
+    with ThreadPool(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(fitted), cells))
 
 
 def probe_scores(predictions: DataFrame, layer: str, key: str, seed: int = 0) -> DataFrame:

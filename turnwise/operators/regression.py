@@ -21,6 +21,9 @@ from turnwise.operators.aggregates import null_safe_join
 from turnwise.operators.gram import contiguous_matrix, gram, merge
 from turnwise.session import cut_lineage
 
+# Paths of a grid run side by side; a fixed number keeps them from being coalesced into one task.
+PATH_TASKS = 64
+
 
 def standardise(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Numeric columns to mean 0 and population deviation 1; a constant column becomes 0.
@@ -177,7 +180,7 @@ def elastic_net_grid(
     paths = (
         packed.select(*by, vector_to_array("_sum").alias("_total"), F.inline("_folds"))
         .withColumn("l1_ratio", F.explode(F.array(*[F.lit(float(r)) for r in l1_ratios])))
-        .repartition(*by, fold, "l1_ratio")
+        .repartition(PATH_TASKS, *by, fold, "l1_ratio")
     )
     schema = _schema(
         moments.withColumn("l1_ratio", F.lit(0.0)),

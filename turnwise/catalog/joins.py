@@ -13,6 +13,7 @@ from turnwise.operators.joins import (
 )
 from turnwise.operators.pairs import pair_table
 from turnwise.operators.probe import representations_of
+from turnwise.sources.tables import spread
 
 
 @query(
@@ -142,7 +143,7 @@ def _(t):
       THEN 'yes' ELSE 'no' END AS correct_answer FROM documents d""",
 )
 def _(t):
-    questions = t.documents.select("doc_id", F.col("text").alias("question"))
+    questions = spread(t.documents.select("doc_id", F.col("text").alias("question")))
     keys = t.benchmark.select(F.col("text").alias("key"))
     return label_by_key(questions, keys).select("doc_id", "correct_answer")
 

@@ -24,6 +24,7 @@ from turnwise.operators.scoring import best_label, score_batch, scores_to_column
 from turnwise.operators.turns import nest_turns
 from turnwise.plans.prepare import recode_politeness
 from turnwise.sources.requests import request_key
+from turnwise.sources.tables import spread
 
 WITH_OUT = f"WITH {OUTCOMES} "
 
@@ -58,7 +59,7 @@ def _(t):
       AS DOUBLE) AS amount FROM documents""",
 )
 def _(t):
-    return t.documents.select("doc_id", score_amount(F.col("text")).alias("amount"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", score_amount(F.col("text")).alias("amount"))
 
 
 @query(
@@ -80,7 +81,7 @@ def _(t):
 )
 def _(t):
     key = answer_unless_mentioned(F.col("text"), ["tion", "keit"])
-    return t.documents.select("doc_id", key.alias("key"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", key.alias("key"))
 
 
 @query(
@@ -313,7 +314,7 @@ _SYLLABLES = r"""syl AS (
 
 def _features(t):
     return text_features(
-        t.documents.select("doc_id", "lang", F.col("text").alias("user_prompt")),
+        spread(t.documents.select("doc_id", "lang", F.col("text").alias("user_prompt"))),
         "user_prompt",
         STOP_WORDS,
         F.col("lang"),
@@ -421,7 +422,7 @@ _LEXICON = r"""lex AS (
     FROM tok t LEFT JOIN s ON t.doc_id = s.doc_id""",
 )
 def _(t):
-    docs = t.documents.withColumnRenamed("text", "user_prompt")
+    docs = spread(t.documents.select("doc_id", "lang", F.col("text").alias("user_prompt")))
     rates = concreteness(docs, ["doc_id"], "user_prompt", _lexicon(t), F.col("lang") == "en")
     return rates.select("doc_id", *rounded("avg_concreteness_user_prompt"))
 
@@ -436,7 +437,7 @@ def _(t):
     FROM tok t LEFT JOIN s ON t.doc_id = s.doc_id""",
 )
 def _(t):
-    docs = t.documents.withColumnRenamed("text", "user_prompt")
+    docs = spread(t.documents.select("doc_id", "lang", F.col("text").alias("user_prompt")))
     rates = category_rates(docs, ["doc_id"], "user_prompt", _lexicon(t), ["early", "late"])
     return rates.select("doc_id", *rounded("user_prompt_liwc_early", "user_prompt_liwc_late"))
 
@@ -448,7 +449,7 @@ def _(t):
     SELECT doc_id, category, round(count(*) / min(n), 6) AS rate FROM w JOIN lex USING (word) GROUP BY 1, 2""",
 )
 def _(t):
-    docs = t.documents.withColumnRenamed("text", "user_prompt")
+    docs = spread(t.documents.select("doc_id", "lang", F.col("text").alias("user_prompt")))
     rates = category_rates_long(docs, ["doc_id"], "user_prompt", _lexicon(t))
     return rates.select("doc_id", "category", *rounded("rate"))
 
@@ -539,7 +540,7 @@ def _load_length_scorer():
             len(regexp_extract_all(text, ' ')) / length(text) AS calm FROM documents)""",
 )
 def _(t):
-    docs = t.documents.select("doc_id", "text")
+    docs = spread(t.documents.select("doc_id", "text"))
     scored = score_batch(docs, "text", _load_length_scorer, "scores MAP<STRING, DOUBLE>", ["doc_id"])
     labelled = scored.withColumn("label", best_label(F.col("scores")))
     columns = scores_to_columns(labelled, "scores", ["joy", "calm", "fear"], "e_", "text")

@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 
 _TINY = 1e-300
 _STEPS = 500
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(x):
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def _lentz(first, terms):

@@ -82,7 +82,7 @@ def mean_ci_bootstrap(
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for group, part in pdf.groupby(keys, dropna=False, sort=False):
+            for _, part in pdf.groupby(keys, dropna=False, sort=False):
                 weights = np.zeros(replicates)
                 sums = np.zeros(replicates)
                 for v, n, s in zip(part["_value"], part["_count"], part["_seed"]):
@@ -90,8 +90,8 @@ def mean_ci_bootstrap(
                     weights += drawn
                     sums += drawn * v
                 out = pd.DataFrame({"_replicate": np.arange(replicates), "_w": weights, "_s": sums})
-                for name, part_key in zip(keys, group):
-                    out[name] = part_key
+                for k in keys:
+                    out[k] = part[k].iloc[np.zeros(replicates, dtype=int)].to_numpy()
                 yield out[[*keys, "_replicate", "_w", "_s"]]
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)

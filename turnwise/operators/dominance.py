@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.operators.ordered import SEGMENT, by_value, value_buckets
+from turnwise.session import cut_lineage
 
 SMALL = 10_000
 
@@ -55,7 +56,9 @@ def aso(
     by = list(by)
     long = df.select(*by, F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"))
     values = long.unpivot(by, ["a", "b"], "_side", "_v").filter(F.col("_v").isNotNull())
-    histogram = values.groupBy(*by, "_side", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    histogram = cut_lineage(
+        values.groupBy(*by, "_side", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    )
     sizes = histogram.groupBy(*by, "_side").agg(
         F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_values")
     )
@@ -65,7 +68,7 @@ def aso(
     compact = histogram.join(widest.filter(F.col("_widest") <= small), by, "left_semi")
     wide = histogram.join(widest.filter(F.col("_widest") > small), by, "left_semi")
     return _aso_packed(compact, by, seed, confidence, dt, replicates).unionByName(
-        _aso_ranked(wide, values, by, seed, confidence, dt, replicates)
+        _aso_ranked(wide, by, seed, confidence, dt, replicates)
     )
 
 
@@ -111,10 +114,10 @@ def _aso_packed(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
     return packed.mapInPandas(score, _result_schema(histogram, by))
 
 
-def _aso_ranked(histogram, values, by, seed, confidence, dt, replicates) -> DataFrame:
+def _aso_ranked(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
     """Groups with many distinct values: ranks are looked up in ordered segments of the histogram."""
     keys = [*by, "_side"]
-    bucketed = by_value(histogram, "_v", value_buckets(values, "_v"))
+    bucketed = by_value(histogram, "_v", value_buckets(histogram, "_v"))
     earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         bucketed.groupBy(*keys, SEGMENT)
@@ -144,12 +147,17 @@ def _aso_ranked(histogram, values, by, seed, confidence, dt, replicates) -> Data
                 drawn = draw_ranks(
                     int(row["_n"]), dt, replicates, int(row["_seed"]) & 0xFFFFFFFFFFFFFFFF
                 )
-                for replicate, points in enumerate(drawn):
-                    out = pd.DataFrame({"_rank": points, "_point": np.arange(len(points))})
-                    out["_replicate"] = replicate
-                    for k in keys:
-                        out[k] = row[k]
-                    yield out[[*keys, "_replicate", "_point", "_rank"]]
+                n_draws, n_points = drawn.shape
+                out = pd.DataFrame(
+                    {
+                        "_replicate": np.repeat(np.arange(n_draws), n_points),
+                        "_point": np.tile(np.arange(n_points), n_draws),
+                        "_rank": drawn.ravel(),
+                    }
+                )
+                for k in keys:
+                    out[k] = row[k]
+                yield out[[*keys, "_replicate", "_point", "_rank"]]
 
     fields = ", ".join(f"`{k}` {histogram.schema[k].dataType.simpleString()}" for k in keys)
     wanted = seeded.select(*keys, "_n", "_seed").mapInPandas(

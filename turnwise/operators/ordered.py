@@ -29,6 +29,8 @@ def value_buckets(df: DataFrame, column: str, buckets: int | None = None) -> lis
     """Boundaries that split the column into ranges of about equal row counts."""
     if buckets is None:
         buckets = min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1024)
+    if buckets <= 1:
+        return []
     probabilities = [i / buckets for i in range(1, buckets)]
     points = df.approxQuantile(column, probabilities, 0.25 / buckets)
     return sorted(set(points))
@@ -36,10 +38,15 @@ def value_buckets(df: DataFrame, column: str, buckets: int | None = None) -> lis
 
 def by_value(df: DataFrame, column: str, boundaries: Sequence[float]) -> DataFrame:
     """Append the ordered range each value falls into."""
+    if not boundaries:
+        return df.withColumns({column: F.col(column).cast("double"), SEGMENT: F.lit(0)})
     splits = [float("-inf"), *boundaries, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=SEGMENT).transform(
+    bucketed = Bucketizer(splits=splits, inputCol=column, outputCol=SEGMENT).transform(
         df.withColumn(column, F.col(column).cast("double"))
     )
+    # Whole numbers hash alike in joins and windows; doubles are normalised first, and the
+    # exchanges of the two would differ.
+    return bucketed.withColumn(SEGMENT, F.col(SEGMENT).cast("int"))
 
 
 def sums_before(
@@ -47,7 +54,8 @@ def sums_before(
 ) -> DataFrame:
     """Per measure ``<name>_before``: its sum over the rows of the key that come earlier.
 
-    ``df`` carries a segment column and the order is total within a key; keys are not null.
+    ``df`` carries a segment column and the order is total within a key; keys are not null. Rows
+    partitioned by key and segment are not shuffled again.
     """
     keys = list(keys)
     df = df.withColumns({name: value for name, value in measures.items()})

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.config import UNKNOWN_MARKERS
-from turnwise.functions.numeric import ratio
+from turnwise.functions.numeric import clean, ratio
 from turnwise.operators.filters import known, without_outliers
-from turnwise.operators.ordered import by_value, sums_before, value_buckets
+from turnwise.operators.ordered import SEGMENT, by_value, value_buckets
 from turnwise.operators.reshape import unpivot_demographics
 
 # Each block kind keeps group and topic, only one of them, or neither.
@@ -41,15 +41,13 @@ def pair_table(
     original definition.
     """
     by = list(by)
-    rows = without_outliers(df, topic).filter(
-        F.col(outcome).isNotNull() & F.col(topic).isNotNull()
-    )
+    rows = without_outliers(df, topic).filter(F.col(topic).isNotNull())
     rows = rows.select(
         *by,
         *demographics,
         F.col(topic).cast("string").alias("_t"),
-        F.col(outcome).cast("double").alias("_v"),
-    )
+        clean(F.col(outcome).cast("double")).alias("_v"),
+    ).filter(F.col("_v").isNotNull())
     boundaries = value_buckets(rows, "_v")
     shift = boundaries[len(boundaries) // 2] if boundaries else 0.0
     finest = (
@@ -68,20 +66,31 @@ def pair_table(
         ]
     )
     keys = [*by, "demo", "kind", "block_group", "block_topic"]
+    # The counts are already combined, so one exchange by block and value range serves the merging
+    # of counts, the running sums and the totals of each range.
+    ranges = Window.partitionBy(*keys, SEGMENT).orderBy("_v")
     histogram = (
-        finest.select(*by, "demo", "_v", "_c", F.inline(blocks))
-        .groupBy(*keys, "_v")
-        .agg(F.sum("_c").alias("_c"))
+        by_value(finest.select(*by, "demo", "_v", "_c", F.inline(blocks)), "_v", boundaries)
+        .repartition(*keys, SEGMENT)
+        .groupBy(*keys, SEGMENT, "_v")
+        .agg(F.sum("_c").cast("double").alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(ranges.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    placed = sums_before(by_value(histogram, "_v", boundaries), keys, ["_v"], {"_m": F.col("_c")})
-    v = F.col("_v") - F.lit(shift)
-    c, below = F.col("_c").cast("double"), F.col("_m_before").cast("double")
-    # Σ v·c·(below − above) = Σ v·c·(2·below + c) − n·Σ v·c
-    totals = placed.groupBy(*keys).agg(
+    v, c = F.col("_v") - F.lit(shift), F.col("_c")
+    # Σ v·c·(below − above) = Σ v·c·(2·below + c) − n·Σ v·c, where below is the count in this range
+    # so far plus that of all ranges before it.
+    parts = histogram.groupBy(*keys, SEGMENT).agg(
         F.sum(c).alias("_n"),
         F.sum(v * c).alias("_s1"),
         F.sum(v * v * c).alias("_s2"),
-        F.sum(v * c * (2 * below + c)).alias("_lean"),
+        F.sum(v * c * (2 * F.col("_upto") - c)).alias("_lean"),
+    )
+    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0.0))
+    totals = (
+        parts.withColumn("_lean", F.col("_lean") + 2 * before * F.col("_s1"))
+        .groupBy(*keys)
+        .agg(*[F.sum(m).alias(m) for m in ("_n", "_s1", "_s2", "_lean")])
     )
     n = F.col("_n")
     summed = totals.groupBy(*by, "kind").agg(

@@ -93,6 +93,7 @@ def probe_predictions(
 def probe_scores(predictions: DataFrame, layer: str, key: str, seed: int = 0) -> DataFrame:
     """Macro F1 of the probe and of both baselines per (layer, cv)."""
     by = [layer, "cv"]
+    predictions = cut_lineage(predictions)
     based = random_baseline(
         majority_baseline(predictions, by, "true"), by, "true", key, seed
     )
@@ -114,7 +115,7 @@ def probe_scores(predictions: DataFrame, layer: str, key: str, seed: int = 0) ->
 
 def with_dominance(scores: DataFrame, by: Sequence[str], seed: int = 42, threshold: float = ASO_THRESHOLD) -> DataFrame:
     """Both ASO scores of the probe over its baselines, and whether it is better, per analysis."""
-    result = scores
+    result = scores = cut_lineage(scores)
     for name in ("majority", "random"):
         scored = aso(scores, by, "f1", f"{name}_f1", seed).select(
             *by, F.col("aso").alias(f"{name}_aso"), (F.col("aso") < threshold).alias(f"{name}_better")

@@ -37,6 +37,13 @@ def read_lexicon(
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before heavy work per row, where a source has fewer splits than the
+    cluster has cores. A large source has more, and is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def response_content() -> Column:
     return F.get(F.col("response.body.choices"), F.lit(0))["message"]["content"]
 

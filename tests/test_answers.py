@@ -195,7 +195,7 @@ def test_disparity_overview(spark):
     data += [("x", "annotator", "Other", 1e9, "legal"), ("y", "annotator", None, 1e9, "legal")]
     df = spark.createDataFrame(data, "conversation_id STRING, model STRING, annotator_age STRING, outcome DOUBLE, domain STRING")
     row = overview(disparity(df, ["model", "domain"], ["annotator_age"])).first()
-    assert row.demo == "age" and row["diff"] and row.k == 2 and row.n_total == 20
+    assert row.demo == "age" and row["diff"] and row.n_groups == 2 and row.n_total == 20
     assert abs(row.diff_mean - 10.01) < 1e-9
 
 

@@ -69,15 +69,16 @@ def test_tails_keep_nulls(spark):
 
 
 def grouped(spark):
-    data = [("x", g, v) for g, vs in {"a": [1, 2, 3], "b": [2, 3, 4], "c": [5, 6, 7]}.items() for v in vs]
-    data += [("one", "a", 1), ("one", "a", 2), ("flat", "a", 1), ("flat", "b", 1), ("flat", "a", 1), ("x", "c", None)]
+    data = [("x", g, float(v)) for g, vs in {"a": [1, 2, 3], "b": [2, 3, 4], "c": [5, 6, 7]}.items() for v in vs]
+    data += [("one", "a", 1.0), ("one", "a", 2.0), ("x", "c", None)]
+    data += [("flat", "a", 1.0), ("flat", "b", 1.0), ("flat", "a", 1.0)]
     return spark.createDataFrame(data, "k STRING, g STRING, v DOUBLE")
 
 
 def test_anova_by_hand(spark):
     table = {r.k: r for r in with_f_tail(anova(grouped(spark), ["k"], "g", "v")).collect()}
     x = table["x"]
-    assert (x.k, x.n_total, x.df_between, x.df_within, x.status) == ("x", 9, 2, 6, "ok") or x.df_within == 6
+    assert (x.n_total, x.df_between, x.df_within, x.status) == (9, 2, 6, "ok")
     assert math.isclose(x.ss_between, 26.0) and math.isclose(x.ss_within, 6.0) and math.isclose(x.F, 13.0)
     assert math.isclose(x.diff_mean, 4.0) and abs(x.p_value - 0.006592) < 1e-5
     assert table["one"].status == "single_group" and table["one"].F is None and table["one"].p_value is None

@@ -25,23 +25,27 @@ from turnwise.operators.regression import (
 from turnwise.operators.reshape import dummies
 from turnwise.session import cut_lineage
 
-REGRESSORS = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
-TARGET = "l_extendedprice"
+REGRESSORS = ["l_quantity", "l_extendedprice", "p_size", "p_retailprice"]
+TARGET = "charge"
 
 
 def _lines(t):
-    part = t.part.select("p_partkey", "p_size", "p_retailprice", "p_brand", "p_type")
+    """Order lines with the price paid, which depends on the discount (read as the topic) and on
+    the tax (read as a demographic)."""
+    part = t.part.select("p_partkey", "p_size", "p_retailprice")
+    price, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     return t.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_orderkey", "l_linenumber", "l_returnflag", *REGRESSORS, TARGET, "p_brand", "p_type"
+        "l_orderkey",
+        *REGRESSORS,
+        (price * (1 - discount) * (1 + tax)).alias(TARGET),
+        F.concat(F.lit("d"), F.round(discount * 100).cast("int")).alias("topic"),
+        F.concat(F.lit("t"), F.round(tax * 100).cast("int")).alias("age"),
     )
 
 
 def _design(t):
-    """Scaled regressors and one-hot brands and types, with a fold of each order."""
-    scaled = standardise(_lines(t), REGRESSORS)
-    coded = dummies(
-        scaled.withColumnsRenamed({"p_brand": "topic", "p_type": "age"}), ["topic", "age"]
-    )
+    """Scaled regressors and one-hot groups, with a fold of each order."""
+    coded = dummies(standardise(_lines(t), REGRESSORS), ["topic", "age"])
     xs = [*REGRESSORS, *[c for c in coded.columns if c.startswith("dummy_")]]
     return assign_fold(coded, "l_orderkey", 5, 42), xs
 

@@ -48,14 +48,14 @@ def _anova_sql(keys: str, cte: str) -> str:
 
 @query(
     "st1_anova",
-    f"""WITH {_anova_sql('topic, demo', LONG)} SELECT topic, demo, k, CAST(nt AS BIGINT) AS n_total,
+    f"""WITH {_anova_sql('topic, demo', LONG)} SELECT topic, demo, k AS n_groups, CAST(nt AS BIGINT) AS n_total,
       round((ssb / (k - 1)) / (ssw / (nt - k)), 6) AS f_value, k - 1 AS df_between,
       CAST(nt - k AS BIGINT) AS df_within, round(spread, 4) AS diff_mean FROM a""",
 )
 def _(t):
     table = anova(_long(t), ["topic", "demo"], "group", "outcome")
     return table.select(
-        "topic", "demo", "k", "n_total", F.round("F", 6).alias("f_value"), "df_between", "df_within",
+        "topic", "demo", "n_groups", "n_total", F.round("F", 6).alias("f_value"), "df_between", "df_within",
         *rounded("diff_mean", digits=4),
     )
 
@@ -245,7 +245,8 @@ def _(t):
 
 @query("st10_almost_stochastic_order")
 def _(t):
-    return aso(t.lineitem, ["l_returnflag"], "l_quantity", "l_linenumber", seed=42)
+    lines = t.lineitem.withColumn("level", F.col("l_tax") * 600)
+    return aso(lines, ["l_returnflag"], "l_quantity", "level", seed=42)
 
 
 @query("st10_almost_stochastic_order_ranked")
@@ -264,13 +265,13 @@ def _(t):
       UNION ALL SELECT model, domain, outcome, 'status', status FROM joined)
       WHERE grp NOT IN ('HOUSEHOLD', 'AFRICA'))"""
     + _anova_sql("model, domain, demo", "")
-    + """ SELECT model, domain, demo, k, CAST(nt AS BIGINT) AS n_total, CAST(nt - k AS BIGINT) AS df_within,
+    + """ SELECT model, domain, demo, k AS n_groups, CAST(nt AS BIGINT) AS n_total, CAST(nt - k AS BIGINT) AS df_within,
       round((ssb / (k - 1)) / (ssw / (nt - k)), 6) AS f_value, round(spread, 5) AS diff_mean FROM a""",
 )
 def _(t):
     table = disparity_of_orders(t)
     return table.select(
-        "model", "domain", "demo", "k", "n_total", "df_within", F.round("F", 6).alias("f_value"),
+        "model", "domain", "demo", "n_groups", "n_total", "df_within", F.round("F", 6).alias("f_value"),
         *rounded("diff_mean", digits=5),
     )
 

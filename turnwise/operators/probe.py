@@ -61,7 +61,7 @@ def probe_predictions(
             layer, key, F.col(label).cast("string").alias("true"), "_label",
             array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
         )
-    ).persist()
+    )
     layers = sorted(r[0] for r in data.select(layer).distinct().collect())
     sizes = {
         (r[layer], r["cv"]): r["n"]

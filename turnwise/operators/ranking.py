@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.sampling import hash_bucket, hash_mod, hash_order
-from turnwise.operators.ordered import SEGMENT, by_value, sums_before, value_buckets
+from turnwise.operators.ordered import by_value, sums_before, value_buckets
+from turnwise.session import cut_lineage
 
 
 def take_lowest(df: DataFrame, by: Sequence[str], key: str, seed: int, quota: Column) -> DataFrame:
@@ -22,7 +23,8 @@ def take_lowest(df: DataFrame, by: Sequence[str], key: str, seed: int, quota: Co
     hashed = df.withColumn("_order", hash_order(F.col(key), seed)).withColumn(
         "_bucket", hash_bucket(F.col("_order"))
     )
-    sizes = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # A few thousand rows per class, used three times: the source is counted once.
+    sizes = cut_lineage(hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     per_class = Window.partitionBy(*by)
     before = per_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     classes = sizes.groupBy(*by).agg(F.sum("_n").alias("_class_size"))

@@ -134,7 +134,8 @@ def descend(
         moved = 0.0
         for j in usable if everything else np.flatnonzero(w):
             pull = gradient[j] + diagonal[j] * w[j]
-            new = np.sign(pull) * max(abs(pull) - penalty, 0.0) / (diagonal[j] + ridge)
+            size = abs(pull) - penalty
+            new = np.copysign(size, pull) / (diagonal[j] + ridge) if size > 0 else 0.0
             change = new - w[j]
             if change:
                 gradient -= c[:, j] * change

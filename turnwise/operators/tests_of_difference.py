@@ -32,7 +32,7 @@ def anova_from_stats(
     joined = null_safe_join(groups, total, by)
     spread = (size - 1) * F.coalesce(F.col(var), F.lit(0.0))
     table = joined.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("k"),
+        F.count(F.lit(1)).alias("n_groups"),
         F.sum(size).alias("n_total"),
         F.sum(size * F.pow(center - F.col("_grand"), 2)).alias("ss_between"),
         F.sum(spread).alias("ss_within"),
@@ -41,17 +41,17 @@ def anova_from_stats(
         F.min(F.coalesce(F.col(var), F.lit(0.0))).alias("_min_var"),
     )
     status = (
-        F.when(F.col("k") < 2, "single_group")
+        F.when(F.col("n_groups") < 2, "single_group")
         .when(F.col("_min_n") < min_n, "small_group")
         .when(F.col("_min_var") < 0, "negative_variance")
-        .when(F.col("n_total") <= F.col("k"), "no_residual")
+        .when(F.col("n_total") <= F.col("n_groups"), "no_residual")
         .otherwise("ok")
     )
     valid = F.col("status") == "ok"
     table = table.withColumn("status", status).withColumns(
         {
-            "df_between": F.when(valid, F.col("k") - 1),
-            "df_within": F.when(valid, F.col("n_total") - F.col("k")),
+            "df_between": F.when(valid, F.col("n_groups") - 1),
+            "df_within": F.when(valid, F.col("n_total") - F.col("n_groups")),
         }
     )
     table = table.withColumns(
@@ -61,7 +61,7 @@ def anova_from_stats(
         }
     )
     return table.withColumn("F", ratio(F.col("ms_between"), F.col("ms_within"))).select(
-        *by, "k", "n_total", "ss_between", "ss_within", "df_between", "df_within", "ms_between",
+        *by, "n_groups", "n_total", "ss_between", "ss_within", "df_between", "df_within", "ms_between",
         "ms_within", "F", "diff_mean", "status",
     )
 
@@ -105,20 +105,20 @@ def chi2_one_vs_rest(
     )
     of_group = cells.groupBy(*by, group).agg(F.sum("_o").alias("_g"))
     of_topic = cells.groupBy(*by, topic).agg(F.sum("_o").alias("_r"))
-    of_all = of_group.groupBy(*by).agg(F.sum("_g").alias("_n"), F.count(F.lit(1)).alias("k"))
+    of_all = of_group.groupBy(*by).agg(F.sum("_g").alias("_n"), F.count(F.lit(1)).alias("_k"))
     joined = null_safe_join(
         null_safe_join(null_safe_join(cells, of_group, [*by, group]), of_topic, [*by, topic]),
         of_all,
         by,
     )
-    o, g, r, n, k = (F.col(c) for c in ("_o", "_g", "_r", "_n", "k"))
+    o, g, r, n, k = (F.col(c) for c in ("_o", "_g", "_r", "_n", "_k"))
     expected = r * g / n
     rest = g - expected
     off = F.abs(o - expected)
     off = off - F.when(k == 2, F.least(off, F.lit(0.5))).otherwise(F.lit(0.0))
     cell = ratio(off * off, expected) + ratio(off * off, rest)
     table = joined.groupBy(*by, topic).agg(
-        F.first("k").alias("k"),
+        F.first("_k").alias("_k"),
         F.first("_n").alias("_n"),
         F.first("_r").alias("_r"),
         F.sum("_g").alias("_seen"),

@@ -87,7 +87,7 @@ def probe_predictions(
 
     cells = [(at, cv) for at in layers for cv in range(repeats)]
     with ThreadPool(parallelism) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(fitted), cells))
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(fitted), cells))
 
 
 def probe_scores(predictions: DataFrame, layer: str, key: str, seed: int = 0) -> DataFrame:

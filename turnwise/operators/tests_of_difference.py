@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.config import ALPHA_GROUPS
@@ -28,8 +28,10 @@ def anova_from_stats(
     """
     by = list(by)
     size, center = F.col(n), F.col(mean)
-    total = groups.groupBy(*by).agg((F.sum(size * center) / F.sum(size)).alias("_grand"))
-    joined = null_safe_join(groups, total, by)
+    # One row per group: a window over them costs the shuffle the next aggregation needs anyway.
+    analysis = Window.partitionBy(*by)
+    grand = F.sum(size * center).over(analysis) / F.sum(size).over(analysis)
+    joined = groups.withColumn("_grand", grand)
     spread = (size - 1) * F.coalesce(F.col(var), F.lit(0.0))
     table = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_groups"),
@@ -104,12 +106,12 @@ def chi2_one_vs_rest(
         .agg(F.sum(weight).cast("double").alias("_o"))
     )
     of_group = cells.groupBy(*by, group).agg(F.sum("_o").alias("_g"))
-    of_topic = cells.groupBy(*by, topic).agg(F.sum("_o").alias("_r"))
-    of_all = of_group.groupBy(*by).agg(F.sum("_g").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    joined = null_safe_join(
-        null_safe_join(null_safe_join(cells, of_group, [*by, group]), of_topic, [*by, topic]),
-        of_all,
-        by,
+    analysis = Window.partitionBy(*by)
+    of_group = of_group.withColumn("_n", F.sum("_g").over(analysis)).withColumn(
+        "_k", F.count(F.lit(1)).over(analysis)
+    )
+    joined = null_safe_join(cells, of_group, [*by, group]).withColumn(
+        "_r", F.sum("_o").over(Window.partitionBy(*by, topic))
     )
     o, g, r, n, k = (F.col(c) for c in ("_o", "_g", "_r", "_n", "_k"))
     expected = r * g / n

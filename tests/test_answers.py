@@ -14,6 +14,8 @@ from turnwise.functions.answers import (
 from turnwise.functions.structs import field_or_default, pick_by_label
 from turnwise.functions.text import text_features
 from turnwise.operators.joins import cross_prompts, label_by_key, pending_questions
+from turnwise.plans.inference import inference_scores, inferred_labels
+from turnwise.plans.prepare import features_per_conversation, utterance_features
 from turnwise.plans.disparity import baselines, disparity, outcomes, overview
 from turnwise.schemas import ANSWERS, QUESTIONS
 from turnwise.sources.requests import build_requests, request_key, write_requests
@@ -212,3 +214,44 @@ def test_text_features(spark):
     assert got[1].avg_sent_len_user_prompt is None and got[1].num_tokens_user_prompt == 0
     assert got[2].num_stop_words_user_prompt == 0 and got[2].flesch_reading_ease_user_prompt is not None
     assert got[3].avg_num_syllables_user_prompt is None and got[3].flesch_reading_ease_user_prompt is None
+
+
+def test_label_inference(spark):
+    content = {
+        1: '{"Age": "18-34 years old", "Gender": "Female"}',
+        2: "Age: 55+ years old, Gender: Male",
+        3: '{"Age": "35-54 years old", "Gender": "Male"}',
+        4: "no idea",
+    }
+    responses = spark.createDataFrame([(f"request-{i}", c) for i, c in content.items()], "custom_id STRING, content STRING")
+    data = [(1, "25-34 years old", "Female"), (2, "65+ years old", "Prefer not to say"), (3, "55-64 years old", "Male"), (4, "65+ years old", "Male")]
+    people = spark.createDataFrame(data, "conversation_id BIGINT, age STRING, gender STRING")
+    labels = {d: PREDICTION_LABELS[d] for d in ("age", "gender")}
+    rows_ = inferred_labels(responses, people, labels=labels)
+    got = sorted((r.conversation_id, r.demo, r.true, r.predicted) for r in rows_.collect())
+    assert got == [
+        ("1", "age", "18-34 years old", "18-34 years old"), ("1", "gender", "Female", "Female"),
+        ("2", "age", "55+ years old", "55+ years old"),
+        ("3", "age", "55+ years old", "35-54 years old"), ("3", "gender", "Male", "Male"),
+    ]
+    scores = {r.demo: r for r in inference_scores(rows_).collect()}
+    assert abs(scores["age"].f1 - 2 / 3) < 1e-12 and abs(scores["age"].majority_f1 - 2 / 3) < 1e-12
+    assert scores["gender"].f1 == 1.0 and scores["gender"].majority_f1 == 0.5
+
+
+def test_features_per_conversation(spark):
+    data = [
+        ("c1", 0, "f", "jobs", "One two.", "Yes.", "polite", 0.5),
+        ("c1", 1, "f", "jobs", "One two three four.", "", "impolite", 0.7),
+        ("c2", 0, None, "jobs", "x", "y", "neutral", 0.1),
+    ]
+    utterances = spark.createDataFrame(
+        data,
+        "conversation_id STRING, turn INT, gender STRING, topic STRING, user_prompt STRING, model_response STRING, "
+        "politeness_user_prompt STRING, s_neutral_user_prompt DOUBLE",
+    )
+    features = utterance_features(utterances, {"en": ["one"]})
+    row = features_per_conversation(features, ["gender"]).collect()
+    assert len(row) == 1 and row[0].conversation_id == "c1" and "s_neutral_user_prompt" not in row[0]
+    assert row[0].num_tokens_user_prompt == 4.0 and row[0].politeness_user_prompt == 0.5
+    assert row[0].num_stop_words_user_prompt == 1.0 and row[0].avg_sent_len_model_response == 1.0

@@ -28,6 +28,7 @@ from turnwise.operators.tests_of_difference import (
     with_t_tail,
 )
 from turnwise.plans.disparity import disparity, outcomes, overview
+from turnwise.plans.inference import inference_scores, inferred_labels
 
 WITH_OUT = f"WITH {OUTCOMES} "
 
@@ -296,3 +297,45 @@ def _(t):
 @query("e3_pair_tests")
 def _(t):
     return with_t_tail(ttest_from_stats(_pair_cells(t)))
+
+
+# Responses about the orders: two thirds name the right segment and status, the rest another one.
+def _responses(t):
+    off = F.col("conversation_id") % 3 == 0
+    segment = F.when(off, "BUILDING").otherwise(F.col("segment"))
+    status = F.when(off, F.when(F.col("status") == "F", "O").otherwise("F")).otherwise(F.col("status"))
+    answer = F.to_json(F.struct(segment.alias("Segment"), status.alias("Order status")))
+    return t.outcomes.select(
+        F.concat(F.lit("request-"), "conversation_id").alias("custom_id"),
+        F.when(F.col("conversation_id") % 5 == 0, F.concat(F.lit("It is "), segment)).otherwise(answer).alias("content"),
+    )
+
+
+def _inferred(t):
+    labels = {
+        "segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"],
+        "status": ["F", "O", "P"],
+    }
+    # Texts that are no JSON hold letters of every status; only their segment is read.
+    keys = {"segment": "Segment", "status": "Order status"}
+    rows = inferred_labels(_responses(t), t.outcomes, labels=labels, json_keys=keys, recodes={}, markers=["HOUSEHOLD"])
+    return rows.filter((F.col("demo") == "segment") | (F.col("conversation_id") % 5 != 0))
+
+
+_INFERRED = WITH_OUT + """, r AS (SELECT conversation_id, segment, status, conversation_id % 3 = 0 AS off FROM out),
+    c AS (SELECT 'segment' AS demo, segment AS a, CASE WHEN off THEN 'BUILDING' ELSE segment END AS p FROM r WHERE segment <> 'HOUSEHOLD'
+      UNION ALL SELECT 'status', status, CASE WHEN NOT off THEN status WHEN status = 'F' THEN 'O' ELSE 'F' END FROM r
+        WHERE conversation_id % 5 <> 0)"""
+
+
+@query(
+    "st7_inferred_labels",
+    _INFERRED + """ SELECT demo, a AS "true", p AS predicted, count(*) AS n FROM c GROUP BY 1, 2, 3""",
+)
+def _(t):
+    return confusion_counts(_inferred(t), ["demo"], "true", "predicted")
+
+
+@query("st8_inference_scores")
+def _(t):
+    return inference_scores(_inferred(t))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 # Demographic columns per dataset.
 DEMOGRAPHICS = {
-    "prism": [
+    "survey": [
         "gender",
         "age",
         "employment_status",
@@ -17,14 +17,14 @@ DEMOGRAPHICS = {
         "reside_region",
         "lm_familiarity",
     ],
-    "cad_en": [
+    "annotated": [
         "annotator_age",
         "annotator_gender",
         "annotator_education_level",
         "annotator_political",
         "annotator_ethnicity",
     ],
-    "personamem": ["gender", "age", "ethnicity"],
+    "persona": ["gender", "age", "ethnicity"],
 }
 
 # Question domains; all but salary are answered yes or no.

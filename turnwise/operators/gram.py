@@ -21,8 +21,15 @@ MERGE_PARTS = 32
 
 
 def complete_rows(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
-    """Rows with neither null nor NaN in any used column."""
-    return df.na.drop(subset=[*xs, y])
+    """Rows with neither null nor NaN in any used column. Columns that can hold neither, such as
+    the 0/1 columns of a one-hot matrix, are not tested: a pushed-down test would evaluate their
+    expressions a second time."""
+    tested = [
+        c
+        for c in dict.fromkeys([*xs, y])
+        if df.schema[c].nullable or isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    ]
+    return df.na.drop(subset=tested) if tested else df
 
 
 def gram(df: DataFrame, xs: Sequence[str], y: str, keys: Sequence[str] = ()) -> DataFrame:

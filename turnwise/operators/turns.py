@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.operators.ordered import SEGMENT, SEGMENT_TURNS, all_so_far, by_turn, previous
+from turnwise.operators.ordered import SEGMENT_TURNS, all_so_far, by_turn, previous
 
 
 def collapse_same_role(

@@ -81,12 +81,79 @@ def _(t):
     return ols(rows, TARGET, xs)
 
 
+def _net(t):
+    """One regressor and a fold per line number, where every fit has a closed form."""
+    price = F.col("l_extendedprice") / 1000
+    rows = t.lineitem.select(
+        F.col("l_linenumber").alias("fold"),
+        price.alias("x"),
+        (price * (1 - F.col("l_discount"))).alias("y"),
+    )
+    return gram(rows, ["x"], "y", ["fold"])
+
+
+_NET = """d AS (SELECT l_linenumber AS fold, l_extendedprice / 1000 AS x,
+    l_extendedprice / 1000 * (1 - l_discount) AS y FROM lineitem)"""
+
+
+@query(
+    "ml3_elastic_net_grid",
+    f"""WITH {_NET},
+    train AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v
+      FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY 1),
+    grid AS (SELECT l1, i, abs((SELECT covar_pop(x, y) FROM d)) / l1 * pow(0.001, i / 19.0) AS alpha
+      FROM (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS l1), (SELECT unnest(generate_series(0, 19)) AS i)),
+    fit AS (SELECT fold, l1, i, alpha, mx, my,
+      sign(c) * greatest(abs(c) - alpha * l1, 0) / (v + alpha * (1 - l1)) AS w FROM train, grid)
+    SELECT f.fold, l1 AS l1_ratio, CAST(i AS INT) AS alpha_index, round(any_value(alpha), 5) AS alpha,
+      round(avg(pow(y - my - w * (x - mx), 2)), 5) AS mse
+    FROM fit f JOIN d ON d.fold = f.fold GROUP BY 1, 2, 3""",
+)
+def _(t):
+    grid = elastic_net_grid(_net(t), "fold", l1_ratios=[0.5, 1.0], n_alphas=20)
+    return grid.select("fold", "l1_ratio", "alpha_index", *rounded("alpha", "mse", digits=5))
+
+
+@query(
+    "ml3_elastic_net_fit",
+    f"""WITH {_NET}, m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v,
+      var_pop(y) AS vy, count(*) AS n FROM d),
+    w AS (SELECT *, (c - 30 * 0.7) / (v + 30 * 0.3) AS w FROM m)
+    SELECT 'x' AS feature, round(w, 7) AS coefficient, round(my - w * mx, 6) AS intercept,
+      round(1 - (vy - 2 * w * c + w * w * v) / vy, 7) AS r2, n FROM w""",
+)
+def _(t):
+    moments = merge(_net(t), [])
+    penalty = moments.select(F.lit(30.0).alias("alpha"), F.lit(0.7).alias("l1_ratio"))
+    fit = elastic_net_fit(moments, penalty, ["x"])
+    return fit.select(
+        "feature", *rounded("coefficient", digits=7), *rounded("intercept"), *rounded("r2", digits=7), "n"
+    )
+
+
 @query("ml3_elastic_net_cv")
 def _(t):
     rows, xs = _design(t)
     return elastic_net_cv(rows, TARGET, xs, "fold")
 
 
+@query(
+    "ml4_vif_of_two",
+    """WITH v AS (SELECT l_returnflag, 1 / (1 - pow(corr(l_extendedprice, l_extendedprice * (1 - l_discount) + 1000 * l_quantity), 2)) AS v
+      FROM lineitem GROUP BY 1)
+    SELECT l_returnflag, unnest(['price', 'mix']) AS feature, round(v, 4) AS vif FROM v""",
+)
+def _(t):
+    price = F.col("l_extendedprice")
+    rows = t.lineitem.select(
+        "l_returnflag",
+        price.alias("price"),
+        (price * (1 - F.col("l_discount")) + 1000 * F.col("l_quantity")).alias("mix"),
+    )
+    table = vif_step(rows, ["price", "mix"], threshold=1e6, intercept=True, by=["l_returnflag"])
+    return table.select("l_returnflag", "feature", *rounded("vif", digits=4))
+
+
 @query("ml4_vif_step")
 def _(t):
     lines = _lines(t).withColumn("_mix", F.col("l_quantity") + F.col("p_size"))

@@ -78,10 +78,44 @@ def _(t):
     )
 
 
-@query("st3_significance")
+# With three groups the tail of F has a closed form.
+_TAIL = """p AS (SELECT *, (ssb / (k - 1)) / (ssw / (nt - k)) AS f FROM a),
+    tail AS (SELECT *, pow(1 + 2 * f / (nt - k), -(nt - k) / 2) AS p_f FROM p)"""
+
+
+def _status(t):
+    rows = t.outcomes.withColumn("demo", F.lit("status"))
+    return anova(rows, ["topic", "demo"], "status", "outcome")
+
+
+_STATUS = _anova_sql(
+    "topic", f"{OUTCOMES}, long AS (SELECT topic, outcome, status AS grp FROM out)"
+)
+
+
+@query(
+    "st3_significance",
+    f"""WITH {_STATUS}, {_TAIL} SELECT topic, round(p_f, 7) AS p_value, p_f < 0.25 AS diff,
+      CASE WHEN p_f < 0.25 THEN round(spread, 4) END AS diff_mean FROM tail""",
+)
 def _(t):
-    table = with_f_tail(anova(_long(t), ["topic", "demo"], "group", "outcome"))
-    return significant(table, alpha=0.25)
+    table = significant(with_f_tail(_status(t)), alpha=0.25)
+    return table.select(
+        "topic", *rounded("p_value", digits=7), "diff", *rounded("diff_mean", digits=4)
+    )
+
+
+@query(
+    "st9_tails_in_closed_form",
+    f"""WITH {_STATUS}, {_TAIL} SELECT topic, round(p_f, 8) AS p_f, round(exp(-f), 8) AS p_chi2 FROM tail""",
+)
+def _(t):
+    table = _status(t)
+    return table.select(
+        "topic",
+        F.round(f_tail(F.col("F"), F.col("df_between"), F.col("df_within")), 8).alias("p_f"),
+        F.round(chi2_tail(2 * F.col("F"), F.lit(2)), 8).alias("p_chi2"),
+    )
 
 
 @query(
@@ -244,6 +278,42 @@ def _(t):
     )
 
 
+def _violation_sql(rows: str) -> str:
+    """Violation ratio on the quantile grid 0.005 … 0.995 of rows(by, a, b)."""
+    return f"""WITH {rows}, s AS (SELECT k, count(*) AS n, list(a ORDER BY a) AS la, list(b ORDER BY b) AS lb FROM rows GROUP BY 1),
+    g AS (SELECT k, CAST(ceil(n * i / 200.0::DOUBLE - 1e-9) AS BIGINT) AS pos, la, lb FROM s, (SELECT unnest(generate_series(1, 199)) AS i)),
+    q AS (SELECT k, lb[pos] - la[pos] AS gap FROM g)
+    SELECT k, round(sum(pow(greatest(gap, 0), 2)) / sum(gap * gap), 7) AS violation FROM q GROUP BY 1"""
+
+
+@query(
+    "st10_violation_ratio",
+    _violation_sql("rows AS (SELECT l_returnflag AS k, l_quantity AS a, l_tax * 600 AS b FROM lineitem)"),
+)
+def _(t):
+    lines = t.lineitem.select(
+        F.col("l_returnflag").alias("k"), "l_quantity", (F.col("l_tax") * 600).alias("level")
+    )
+    return aso(lines, ["k"], "l_quantity", "level", replicates=20).select(
+        "k", *rounded("violation", digits=7)
+    )
+
+
+@query(
+    "st10_violation_ratio_ranked",
+    _violation_sql(
+        f"{OUTCOMES}, rows AS (SELECT segment AS k, outcome AS a, outcome * 0.97 + 7500 AS b FROM out)"
+    ),
+)
+def _(t):
+    prices = t.outcomes.select(
+        F.col("segment").alias("k"), "outcome", (F.col("outcome") * 0.97 + 7500).alias("other")
+    )
+    return aso(prices, ["k"], "outcome", "other", replicates=20, small=100).select(
+        "k", *rounded("violation", digits=7)
+    )
+
+
 @query("st10_almost_stochastic_order")
 def _(t):
     lines = t.lineitem.withColumn("level", F.col("l_tax") * 600)

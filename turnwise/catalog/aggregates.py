@@ -99,7 +99,7 @@ STUDY = """study AS (
 
 @query(
     "agg5_significant_share",
-    f"""WITH {STUDY} SELECT model, count(*) AS n, sum(CAST(diff AS INT)) AS n_diff,
+    f"""WITH {STUDY} SELECT model, count(*) AS n, CAST(sum(CAST(diff AS INT)) AS BIGINT) AS n_diff,
       round(avg(CAST(diff AS INT)), 6) AS share_diff FROM study GROUP BY 1""",
 )
 def _(t):
@@ -276,7 +276,7 @@ def _(t):
     "agg15_class_summary",
     """WITH sizes AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)
     SELECT source, min(n) AS min_size, count(*) AS n_classes,
-      arg_min(lang, (-n, lang)) AS majority, max(n) AS majority_size, sum(n) AS n
+      arg_min(lang, (-n, lang)) AS majority, max(n) AS majority_size, CAST(sum(n) AS BIGINT) AS n
     FROM sizes GROUP BY 1""",
 )
 def _(t):

@@ -76,7 +76,7 @@ def _(t):
 
 @query(
     "jn5_cross_prompts",
-    """SELECT conv_id AS conversation_id, turn, item_id AS q_id, length(text_b) AS n_chars
+    """SELECT conv_id AS conversation_id, turn, item_id AS q_id, CAST(length(text_b) AS INT) AS n_chars
     FROM conversations, (SELECT item_id, text AS text_b FROM benchmark)""",
 )
 def _(t):
@@ -104,7 +104,7 @@ def _(t):
 
 @query(
     "jn7_representations_of",
-    """SELECT vec_id, label, len(embedding) AS size FROM embeddings
+    """SELECT vec_id, label, CAST(len(embedding) AS INT) AS size FROM embeddings
     WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
 )
 def _(t):
@@ -116,7 +116,7 @@ def _(t):
 
 @query(
     "jn8_columns_by_key",
-    """SELECT c.conv_id, c.turn, length(c.text) AS n_chars, d.n AS n_tokens FROM conversations c
+    """SELECT c.conv_id, c.turn, CAST(length(c.text) AS INT) AS n_chars, CAST(d.n AS INT) AS n_tokens FROM conversations c
     JOIN (SELECT conv_id, turn, len(string_split(text, ' ')) AS n FROM conversations) d
     ON c.conv_id = d.conv_id AND c.turn = d.turn""",
 )

@@ -146,7 +146,7 @@ def _(t):
       sum(o) OVER () AS n FROM g),
     y AS (SELECT source, r, r * gt / n AS e1, (n - r) * gt / n AS e2,
       abs(o - r * gt / n) - least(abs(o - r * gt / n), 0.5) AS d FROM w)
-    SELECT source, CAST(min(r) AS BIGINT) AS n, round(sum(d * d / e1 + d * d / e2), 6) AS statistic, 1 AS df
+    SELECT source, CAST(min(r) AS BIGINT) AS n, round(sum(d * d / e1 + d * d / e2), 6) AS statistic, CAST(1 AS BIGINT) AS df
     FROM y GROUP BY 1""",
 )
 def _(t):

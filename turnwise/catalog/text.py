@@ -456,8 +456,8 @@ def _(t):
 
 @query(
     "txt10_politeness",
-    """SELECT event_id, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.75 WHEN 'error' THEN 0.0
-      ELSE 0.5 END AS politeness FROM events""",
+    """SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.75 WHEN 'error' THEN 0.0
+      ELSE 0.5 END AS DOUBLE) AS politeness FROM events""",
 )
 def _(t):
     label = (

@@ -18,6 +18,7 @@ from turnwise.operators.importance import family_importance, importance_change,
 from turnwise.operators.reshape import counts, unpivot_demographics
 from turnwise.operators.turns import chosen_first
 from turnwise.plans.disparity import baselines, outcomes, overview_summary
+from turnwise.sources.tables import spread
 from turnwise.streaming.incremental import sufficient_statistics, update_statistics, variances
 
 WITH_OUT = f"WITH {OUTCOMES} "
@@ -213,7 +214,10 @@ def questions_view(t):
 
 def answers_view(t):
     amount = F.format_string("about $%s,%s a year", F.floor(F.col("l_extendedprice") / 1000), F.lit("000"))
-    return t.lineitem.select(
+    lines = t.lineitem.select(
+        "l_linestatus", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice"
+    )
+    return spread(lines).select(
         F.col("l_linestatus").alias("model"),
         F.col("l_orderkey").alias("conversation_id"),
         F.concat(F.lit("q_"), "l_linenumber").alias("q_id"),

@@ -24,6 +24,7 @@ from turnwise.operators.regression import (
 )
 from turnwise.operators.reshape import dummies
 from turnwise.session import cut_lineage
+from turnwise.sources.tables import spread
 
 REGRESSORS = ["l_quantity", "l_extendedprice", "p_size", "p_retailprice"]
 TARGET = "charge"
@@ -34,7 +35,12 @@ def _lines(t):
     the tax (read as a demographic)."""
     part = t.part.select("p_partkey", "p_size", "p_retailprice")
     price, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-    return t.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    lines = spread(
+        t.lineitem.select(
+            "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+        )
+    )
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "l_orderkey",
         *REGRESSORS,
         (price * (1 - discount) * (1 + tax)).alias(TARGET),

@@ -21,7 +21,8 @@ def score_yes_no(answer: Column, key: Column, trim: bool = False) -> Column:
 def score_amount(answer: Column) -> Column:
     """The first integer in the text once commas are gone, or null."""
     digits = F.regexp_extract(F.replace(answer, F.lit(","), F.lit("")), FIRST_AMOUNT, 1)
-    return F.nullif(digits, F.lit("")).try_cast("double")
+    # No match yields an empty string, which is no number.
+    return digits.try_cast("double")
 
 
 def extract_label(text: Column, labels: Sequence[str]) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnwise.llm.common import table
 from turnwise.session import scratch_path
@@ -37,3 +38,197 @@ def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op3_token_blocks")
 def op3(spark, folder):
     return token_digests(spark, table(spark, folder, "documents"))
+
+
+#: (verdict, host, path).
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query(
+    "op8_url_cascade",
+    r"""
+    WITH parts AS (
+      SELECT page_id, url,
+        CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+      FROM pages),
+    hosts AS (
+      SELECT page_id, url,
+        translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+    listed AS (SELECT host FROM hosts WHERE host <> '' GROUP BY host HAVING NOT bool_or(starts_with(url, 'https://'))),
+    ruled AS (
+      SELECT *, CASE
+        WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+      FROM hosts)
+    SELECT page_id, host, path, rule,
+      CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+           WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+    FROM ruled""",
+)
+def op8(spark, folder):
+    """Block list: hosts none of whose pages has an https url."""
+    from turnwise.llm.url_cascade import build_cascade, host_of, judge_urls
+
+    pages = table(spark, folder, "pages")
+    plain = pages.select(host_of(F.col("url")).alias("host"), F.col("url").startswith("https://").alias("safe"))
+    universe = plain.groupBy("host").agg((~F.bool_or("safe")).alias("listed"))
+    return judge_urls(pages, URL_RULES, build_cascade(universe, "host", "listed"))
+
+
+MIX_LEVELS = ["domain", "lang", "source"]
+#: Integer weights by name; all others have the second value.
+MIX_WEIGHTS = {
+    "domain": ({"d0": 4, "d1": 3, "d2": 2}, 1),
+    "lang": ({"en": 4, "de": 3}, 2),
+    "source": ({"src0": 3, "src1": 2}, 1),
+}
+MIX_EPOCHS = 2
+MIX_SHARE = (3, 5)
+MIX_SEED = 17
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The domain of a document is its source's number modulo 4."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("bigint")
+    return docs.withColumn("domain", F.concat(F.lit("d"), (number % 4).cast("string")))
+
+
+def weight_of(level: str) -> Column:
+    named, other = MIX_WEIGHTS[level]
+    chosen = F.lit(other)
+    for name, weight in named.items():
+        chosen = F.when(F.col(level) == name, weight).otherwise(chosen)
+    return chosen
+
+
+def _mix_sql() -> str:
+    steps = [
+        "base AS (SELECT doc_id, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4 AS VARCHAR), '') AS domain,"
+        " coalesce(lang, '') AS lang, coalesce(source, '') AS source,"
+        r" CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS HUGEINT) AS n FROM documents)",
+        f"leaves AS (SELECT domain, lang, source, sum(n)::HUGEINT AS n, sum(n)::HUGEINT * {MIX_EPOCHS} AS capacity FROM base GROUP BY ALL)",
+        f"given0 AS (SELECT (sum(n)::HUGEINT * {MIX_SHARE[0]}) // {MIX_SHARE[1]} AS given FROM leaves)",
+    ]
+    for depth, level in enumerate(MIX_LEVELS):
+        path, parents = ", ".join(MIX_LEVELS[: depth + 1]), MIX_LEVELS[:depth]
+        named, other = MIX_WEIGHTS[level]
+        weight = " ".join(f"WHEN {level} = '{k}' THEN {w}" for k, w in named.items())
+        family = f"PARTITION BY {', '.join(parents)}" if parents else ""
+        join = f"JOIN given{depth} USING ({', '.join(parents)})" if parents else "CROSS JOIN given0"
+        steps += [
+            f"nodes{depth} AS (SELECT * FROM (SELECT {path}, sum(capacity)::HUGEINT AS capacity,"
+            f" (CASE {weight} ELSE {other} END)::HUGEINT AS weight FROM leaves GROUP BY ALL) {join})",
+            f"open{depth} AS (SELECT *, capacity * (sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT"
+            f" <= weight * (given - coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT) AS filled"
+            f" FROM nodes{depth} WINDOW w AS ({family} ORDER BY capacity::DOUBLE / weight::DOUBLE, {level}))",
+            f"given{depth + 1} AS (SELECT {path}, CASE WHEN filled THEN capacity ELSE"
+            f" (weight * (given - (sum(CASE WHEN filled THEN capacity ELSE 0 END) OVER ({family}))::HUGEINT))"
+            f" // (sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({family}))::HUGEINT END AS given FROM open{depth})",
+        ]
+    return "WITH " + ",\n".join(steps) + f""",
+    plan AS (SELECT *, CASE WHEN n > 0 THEN given // n ELSE 0 END AS full_epochs,
+                    CASE WHEN n > 0 THEN given % n ELSE 0 END AS rest FROM leaves JOIN given3 USING (domain, lang, source)),
+    placed AS (SELECT b.*, full_epochs, rest, sum(b.n) OVER (
+        PARTITION BY domain, lang, source
+        ORDER BY md5('{MIX_SEED}#' || CAST(full_epochs AS VARCHAR) || coalesce('#' || CAST(doc_id AS VARCHAR), ''))
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - b.n AS before
+      FROM base b JOIN plan USING (domain, lang, source)),
+    epochs AS (SELECT unnest(range({MIX_EPOCHS + 1})) AS epoch)
+    SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(n AS BIGINT) AS n_tokens,
+      CAST(CASE WHEN epoch < full_epochs THEN n ELSE least(n, rest - before) END AS BIGINT) AS taken
+    FROM placed, epochs WHERE epoch < full_epochs OR (epoch = full_epochs AND before < rest)"""
+
+
+@query("op10_budget_mix", _mix_sql())
+def op10(spark, folder):
+    from turnwise.llm.budget_mix import mix
+
+    docs = with_domain(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    weights = {level: weight_of(level) for level in MIX_LEVELS}
+    rows = mix(docs, MIX_LEVELS, weights, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return rows.select(
+        "doc_id", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in MIX_LEVELS),
+        F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_taken").alias("taken"),
+    )
+
+
+def _secrets_sql() -> str:
+    from turnwise.llm.secrets import BASE, KINDS, LIVE_OWNERS
+
+    finds = []
+    for rank, (kind, pattern, group, least) in enumerate(KINDS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        finds.append(
+            f"""SELECT row, doc_id, source, '{kind}' AS kind, {rank} AS rank, starts[i] AS s, starts[i] + length(wholes[i]) AS e, vals[i] AS value
+            FROM (SELECT *, list_transform(range(1, len(wholes) + 1), lambda i:
+                    (list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+                     + coalesce(list_sum(list_transform(wholes[1:i - 1], lambda g: length(g))), 0))::BIGINT) AS starts
+                  FROM (SELECT row, doc_id, source, string_split_regex(text, {p}) AS gaps,
+                          regexp_extract_all(text, {p}) AS wholes, regexp_extract_all(text, {p}, {group}) AS vals
+                        FROM d WHERE regexp_matches(text, {p}))),
+                 unnest(range(1, len(wholes) + 1)) AS t(i)
+            WHERE length(vals[i]) >= {least}"""
+        )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+    c AS ({" UNION ALL ".join(finds)}),
+    held AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM c GROUP BY value),
+    j AS (SELECT c.*, owners <= {LIVE_OWNERS} AS live, kind || ':' || s || ':' || e AS label FROM c JOIN held USING (value)),
+    g AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+            count(*) FILTER (kind = 'hex') AS n_hex, coalesce(string_agg(label, ',' ORDER BY s, rank) FILTER (rank < {BASE}), '') AS base,
+            coalesce(string_agg(label, ',' ORDER BY s, rank) FILTER (rank < {BASE} OR live), '') AS spans,
+            count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM j GROUP BY row)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+      coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN g USING (row)"""
+
+
+@query("op1_secret_ownership", _secrets_sql())
+def op1(spark, folder):
+    """A document is a repository's one file, and its source the owner."""
+    from turnwise.llm.secrets import report, scan_secrets
+
+    return report(scan_secrets(table(spark, folder, "documents"), "doc_id", "source"))
+
+
+_BENCH_WORDS = (
+    r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+)
+
+
+@query(
+    "op6_decontamination",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_BENCH_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[pos:pos + 9], ' ') AS g
+           FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM bw),
+    dw AS (SELECT row, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS g
+           FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, sizes WHERE len(w) >= n)),
+    h AS (SELECT row, pos, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+    p AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(pos, pos + n)) AS k FROM h) GROUP BY row),
+    i AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY row)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN p USING (row) LEFT JOIN i USING (row)""",
+)
+def op6(spark, folder):
+    from turnwise.llm.decontamination import find_leaks
+
+    leaks = find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.select(
+        "doc_id", "n_words", F.size("hit").cast("bigint").alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hit") > 0).alias("contaminated"),
+    )

@@ -36,13 +36,13 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """``item_id``, ``n`` (words of the window), ``first`` (its first word), ``words`` and ``hash``."""
+    """``item_id``, ``n`` (words of the window), ``first`` (its first word's hash), ``words`` and ``hash``."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))))
     cut = items.select("item_id", "w", starts.alias("at"))
     cut = cut.select("item_id", F.slice("w", F.col("at"), F.lit(size)).alias("w"))
     return cut.select(
-        "item_id", F.size("w").alias("n"), F.get("w", F.lit(0)).alias("first"),
+        "item_id", F.size("w").alias("n"), F.xxhash64(F.get("w", F.lit(0))).alias("first"),
         F.array_join("w", " ").alias("words"), F.xxhash64("w").alias("hash"),
     ).distinct()
 
@@ -51,14 +51,23 @@ def _window(words: Column, at: Column, n: int) -> Column:
     return F.slice(words, at + 1, F.lit(n))
 
 
-def _hits(words: Column, n: int, firsts: list[str], hashes: list[int]) -> Column:
-    """Places (from 0) whose window of ``n`` words has a hash of the set."""
-    places = F.when(
-        F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.filter(
+def _hits(n: int, firsts: list[int], hashes: list[int]) -> Column:
+    """Places (from 0) in ``_words`` whose window of ``n`` words has a hash of the set. The hash of its
+    first word is looked up before, as it is cheaper."""
+    listed = lambda values: ", ".join(f"{v}L" for v in values)
+    return F.expr(
+        f"filter(if(size(_words) >= {n}, sequence(0, size(_words) - {n}), cast(array() as array<int>)), at ->"
+        f" xxhash64(get(_words, at)) IN ({listed(firsts)})"
+        f" AND xxhash64(slice(_words, at + 1, {n})) IN ({listed(hashes)}))"
+    )
+
+
+def _described(words: Column, n: int, places: Column) -> Column:
+    return F.transform(
         places,
-        lambda at: F.get(words, at).isin(firsts) & F.xxhash64(_window(words, at, n)).isin(hashes),
+        lambda at: F.struct(
+            at.alias("at"), F.lit(n).alias("n"), F.array_join(_window(words, at, n), " ").alias("words")
+        ),
     )
 
 
@@ -80,13 +89,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_set:
         for n in sizes:
             firsts = sorted({r["first"] for r in rows if r["n"] == n})
             hashes = sorted({r["hash"] for r in rows if r["n"] == n})
-            hits = F.transform(
-                _hits(words, n, firsts, hashes),
-                lambda at, n=n: F.struct(
-                    at.alias("at"), F.lit(n).alias("n"), F.array_join(_window(words, at, n), " ").alias("words")
-                ),
-            )
-            found = F.concat(found, hits)
+            found = F.concat(found, _described(words, n, _hits(n, firsts, hashes)))
         scanned = base.select("doc_id", F.size("_words").cast("bigint").alias("n_words"), found.alias("found"))
     else:
         scanned = _joined_scan(base, windows, sizes, empty)

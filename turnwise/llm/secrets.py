@@ -111,13 +111,17 @@ def scan_secrets(docs: DataFrame, repository: str, owner: str, live_owners: int
     return rows.select("doc_id", F.coalesce("candidates", none).alias("candidates"))
 
 
+def _of_kind(rank: int):
+    return lambda c: c["rank"] == rank
+
+
 def report(found: DataFrame) -> DataFrame:
     """Counts, base digest and spans of each document of ``scan_secrets``."""
     base = F.filter("candidates", lambda c: c["rank"] < BASE)
     kept = F.filter("candidates", lambda c: (c["rank"] < BASE) | c["live"])
     counts = [
-        F.size(F.filter("candidates", lambda c, r=r: c["rank"] == r)).cast("bigint").alias(f"n_{KINDS[r][0]}")
-        for r in range(BASE)
+        F.array_size(F.filter("candidates", _of_kind(rank))).cast("bigint").alias(f"n_{KINDS[rank][0]}")
+        for rank in range(BASE)
     ]
     joined = lambda spans: F.array_join(F.transform(spans, label), ",")
     return found.select(

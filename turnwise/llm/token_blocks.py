@@ -14,10 +14,12 @@ text). A null or empty text is the end id alone.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,12 @@ from turnwise.llm.common import partitions
 BLOCK = 128
 #: Ids after which a file row is closed; it then ends with the current document.
 ROW_IDS = 1 << 17
-#: Distinct words whose ids a worker keeps at once.
-CACHE_WORDS = 400_000
+#: Distinct stems whose ids a worker keeps from batch to batch.
+CACHE_STEMS = 400_000
+#: Documents that are encoded together.
+BATCH_DOCS = 1000
+#: Marks at a word's end that the tokenizer splits off.
+MARKS = [".", ","]
 
 FILE_SCHEMA = (
     "part int, seq int, doc_ids array<bigint>, n_tokens array<bigint>, n_ids bigint, "
@@ -125,58 +131,66 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """A tokenizer of white-space separated words, with the ids of the last words kept.
+    """A tokenizer of white-space separated words, with the ids of the last stems kept.
 
     No token crosses a space or a line feed, which the tokenizer drops, so a text's ids are those of
     its pieces between them. A piece that is ASCII letters and one full stop or comma is looked up
-    in its two parts, which the tokenizer splits as well.
+    in its two parts, which the tokenizer splits as well, and letters in lower case. Arrow finds the
+    distinct words of a batch, so Python sees each of them once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {}
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[str]) -> None:
-        known, stems = self.words, self.stems
-        if len(known) > CACHE_WORDS:
+    def _ids(self, stems: list[str]) -> list[bytes]:
+        known = self.stems
+        if len(known) > CACHE_STEMS:
             known.clear()
-            known[""] = b""
-        if len(stems) > CACHE_WORDS:
-            stems.clear()
-        whole, split = [], []
-        for word in words:
-            if word in known:
-                continue
-            body = word[:-1] if word[-1] in ".," else word
-            if body.isascii() and body.isalpha():
-                split.append((word, body.lower(), word[len(body) :]))
-            else:
-                whole.append(word)
-        known.update(zip(whole, self._encoded(whole)))
-        new = list({part for _, *parts in split for part in parts} - stems.keys())
-        stems.update(zip(new, self._encoded(new)))
-        known.update((word, stems[body] + stems[mark]) for word, body, mark in split)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*pieces) - self.words.keys())
-        get = self.words.__getitem__
-        out = []
-        for words in pieces:
-            try:
-                out.append(b"".join(map(get, words)))
-            except KeyError:  # the cache was cleared for later words
-                self._learn(set(words))
-                out.append(b"".join(map(get, words)))
-        return out
+        new = [stem for stem in stems if stem not in known]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            known.update((stem, array("I", e.ids).tobytes()) for stem, e in zip(part, encoded))
+        return [known[stem] for stem in stems]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and each text's number of ids."""
+        spaced = pc.replace_substring(pc.fill_null(texts, ""), pattern="\n", replacement=" ")
+        pieces = pc.split_pattern(spaced, pattern=" ")
+        words = pieces.flatten().dictionary_encode()
+        distinct = words.dictionary
+        last = pc.utf8_slice_codeunits(distinct, -1, None)
+        body = pc.utf8_slice_codeunits(distinct, 0, -1)
+        marked = pc.and_(pc.is_in(last, pa.array(MARKS)), pc.string_is_ascii(body))
+        marked = pc.and_(marked, pc.ascii_is_alpha(body))
+        stem = pc.if_else(marked, body, distinct)
+        plain = pc.and_(pc.string_is_ascii(stem), pc.ascii_is_alpha(stem))
+        stem = pc.if_else(plain, pc.ascii_lower(stem), stem).dictionary_encode()
+        found = self._ids([*MARKS, "", *stem.dictionary.to_pylist()])
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        # Each distinct word is two entries of this table: its stem, and its mark or nothing.
+        halves = np.full((len(distinct), 2), len(MARKS), np.int64)
+        halves[:, 0] = stem.indices.to_numpy() + len(MARKS) + 1
+        marks = pc.fill_null(pc.index_in(last, pa.array(MARKS)), 0).to_numpy()
+        halves[:, 1] = np.where(marked.to_numpy(zero_copy_only=False), marks, len(MARKS))
+        word_ids = _gather(ids, lengths, halves.reshape(-1))
+        word_lengths = lengths[halves].sum(axis=1)
+        order = words.indices.to_numpy()
+        out = _gather(word_ids, word_lengths, order)
+        ends = np.concatenate([[0], np.cumsum(word_lengths[order])])
+        return out, np.diff(ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()])
+
+
+def _gather(values: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that have these lengths, concatenated in the given order."""
+    starts = np.cumsum(lengths) - lengths
+    chosen = lengths[order]
+    shift = starts[order] - (np.cumsum(chosen) - chosen)
+    return values[np.arange(chosen.sum()) + np.repeat(shift, chosen)]
 
 
 ENCODERS: dict[str, WordEncoder] = {}
@@ -200,29 +214,37 @@ def write_token_files(
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        end = np.asarray([end_id], "<u4").tobytes()
-        part, seq, ids, held, n = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
 
         def row():
-            run = np.frombuffer(b"".join(held), "<u4")
+            run = np.concatenate([ids for _, _, ids in held])
             columns = {
-                "part": part, "seq": seq, "doc_ids": ids, "n_tokens": [len(h) // 4 for h in held],
+                "part": part, "seq": seq, "doc_ids": [d for ids, _, _ in held for d in ids],
+                "n_tokens": np.concatenate([lengths for _, lengths, _ in held]),
                 "n_ids": len(run), **pack_blocks(run, share),
             }
             return pa.RecordBatch.from_pylist([columns], schema=_arrow(FILE_SCHEMA))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                texts = piece.column("text").to_pylist()
-                for doc_id, found in zip(piece.column("doc_id").to_pylist(), encoder.encode(texts)):
-                    ids.append(doc_id)
-                    held.append(found + end)
-                    n += len(found) // 4 + 1
+            for at in range(0, batch.num_rows, BATCH_DOCS):
+                piece = batch.slice(at, BATCH_DOCS)
+                doc_ids = piece.column("doc_id").to_pylist()
+                ids, lengths = encoder.encode(piece.column("text"))
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
+                lengths = lengths + 1
+                ends = np.cumsum(lengths)
+                first = 0
+                while first < len(lengths):
+                    before = ends[first] - lengths[first]
+                    last = int(np.searchsorted(ends, before + ROW_IDS - n)) + 1
+                    last = min(last, len(lengths))
+                    held.append((doc_ids[first:last], lengths[first:last], ids[before : ends[last - 1]]))
+                    n += int(ends[last - 1] - before)
                     if n >= ROW_IDS:
                         yield row()
-                        seq, ids, held, n = seq + 1, [], [], 0
-        if ids:
+                        seq, held, n = seq + 1, [], 0
+                    first = last
+        if held:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

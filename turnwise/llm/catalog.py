@@ -232,3 +232,17 @@ def op6(spark, folder):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hit") > 0).alias("contaminated"),
     )
+
+
+def judge_toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """``docs`` with its severity, by a model of the labelled documents of the folder."""
+    from turnwise.llm.toxicity import fit_on_labels, score_severity
+
+    model = fit_on_labels(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return score_severity(docs, model)
+
+
+@query("op2_toxicity")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return judge_toxicity(spark, docs, folder).select("doc_id", "severity", "p_toxic", "toxic")

@@ -246,3 +246,15 @@ def judge_toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 def op2(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return judge_toxicity(spark, docs, folder).select("doc_id", "severity", "p_toxic", "toxic")
+
+
+@query("op9_kneser_ney")
+def op9(spark, folder):
+    from turnwise.llm.kneser_ney import score_documents, train
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7, F.lit(0)) == 2
+    model = train(docs.filter(~held_out), spark)
+    return score_documents(docs, held_out, model).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -258,3 +258,12 @@ def op9(spark, folder):
     return score_documents(docs, held_out, model).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op5_fragment_join")
+def op5(spark, folder):
+    from turnwise.llm.fragment_join import similar_documents
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = similar_documents(docs, size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")

@@ -5,21 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnwise.llm.catalog import token_digests
+from turnwise.llm.budget_mix import mix
+from turnwise.llm.catalog import (
+    MIX_LEVELS, MIX_SEED, judge_toxicity, token_digests, weight_of, with_domain,
+)
 from turnwise.llm.common import stored, table
+from turnwise.llm.decontamination import find_leaks
+from turnwise.llm.fragment_join import similar_documents
 
 #: No SQL expresses a fitted classifier; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic."""
+    return judge_toxicity(spark, docs, sf_dir).filter(~F.col("toxic")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of documents that share 0.8 of their five-word
+    shingles. Rows with the same id and text, or no id, are one document; those without words stay."""
+    found = similar_documents(docs.select("doc_id", "text"), size=5, percent=80)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = kept.withColumnRenamed("doc_id", "_kept")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten benchmark words."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    hit = stored(leaks.filter(F.size("hit") > 0).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of all words, by the weights of domains, languages and sources; no document twice."""
+    weights = {level: weight_of(level) for level in MIX_LEVELS}
+    mixed = mix(with_domain(docs), MIX_LEVELS, weights, share=(9, 10), epochs=1, seed=MIX_SEED)
+    return mixed.select(*docs.columns)
+
+
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents that are left, described from what the files hold."""
     return token_digests(spark, docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("token_files", token_files),
+    ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("mixing", mixing), ("token_files", token_files),
 ]
 
 

@@ -267,3 +267,25 @@ def op5(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = similar_documents(docs, size=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op4_product_quantisation",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND len(embedding) > 0
+        AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+              WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT vec_id, b FROM reach JOIN links ON r = a),
+    c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+    n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM c LEFT JOIN n USING (vec_id)""",
+)
+def op4(spark, folder):
+    from turnwise.llm.product_quantisation import similar_vectors
+
+    return similar_vectors(table(spark, folder, "embeddings"), 0.98)

@@ -13,6 +13,7 @@ text). A null or empty text is the end id alone.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -140,16 +141,24 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # Spark runs a worker for each core; threads within them only add memory and switching.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.stems: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, stems: list[str]) -> list[bytes]:
-        known = self.stems
-        if len(known) > CACHE_STEMS:
-            known.clear()
-        new = [stem for stem in stems if stem not in known]
+        if len(self.stems) > CACHE_STEMS // 2:
+            self.older, self.stems = self.stems, {}
+        known, older, new = self.stems, self.older, []
+        for stem in stems:
+            if stem not in known:
+                if stem in older:
+                    known[stem] = older[stem]
+                else:
+                    new.append(stem)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)

@@ -289,3 +289,10 @@ def op4(spark, folder):
     from turnwise.llm.product_quantisation import similar_vectors
 
     return similar_vectors(table(spark, folder, "embeddings"), 0.98)
+
+
+@query("op7_suffix_dedup")
+def op7(spark, folder):
+    from turnwise.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, folder, "documents").select("doc_id", "text"))

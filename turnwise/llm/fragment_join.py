@@ -33,6 +33,8 @@ from turnwise.llm.kneser_ney import token_hashes
 
 CELL_BITS = 20
 FRAGMENTS = 4
+#: A prefix is longer by one in so many, and candidates share that many more n-grams.
+EXTRA = 8
 #: Documents in a tile's side, and rows of a posting list that are compared in one task.
 TILE_DOCS = 256
 LIST_ROWS = 4096
@@ -113,7 +115,7 @@ def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def describe_sets(docs: DataFrame, size: int, percent: int, cells: np.ndarray) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``class`` (of the set; null where empty), ``prefix``: the rarest
-    n-grams in order, as many as one of any linked pair's must be among."""
+    n-grams in order, as many as any linked pair must share ``needed`` of."""
     schema = "doc_id bigint, n_shingles bigint, class bigint, prefix array<bigint>"
 
     def describe(batches):
@@ -122,10 +124,10 @@ def describe_sets(docs: DataFrame, size: int, percent: int, cells: np.ndarray) -
             for grams in shingles(batch.column("text"), size):
                 n.append(len(grams))
                 classes.append(xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None)
-                # The least number of n-grams that a linked set of the same size or less shares.
-                shared = -(-percent * len(grams) // 100)
-                if len(grams) and shared < len(grams):
-                    order = np.lexsort((grams, cells[_cells(grams)]))[: len(grams) - shared + 1]
+                size_of = np.int64(len(grams))
+                if len(grams) and spare(size_of, percent):
+                    order = np.lexsort((grams, cells[_cells(grams)]))
+                    order = order[: spare(size_of, percent) + needed(size_of, percent)]
                     prefixes.append(grams[order].view(np.int64))
                 else:  # too small to be similar without being equal
                     prefixes.append(np.zeros(0, np.int64))
@@ -137,20 +139,25 @@ def describe_sets(docs: DataFrame, size: int, percent: int, cells: np.ndarray) -
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(describe, schema)
 
 
-PAIRS = "a bigint, n bigint, others array<bigint>, sizes array<bigint>"
+PAIRS = "a bigint, n bigint, others array<bigint>, sizes array<bigint>, common array<bigint>"
+#: Pairs, and the postings of long lists, which have a token.
+FOUND = f"{PAIRS}, token bigint"
 
 
-def _list_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of the posting lists of a task, packed by their smaller side.
+def spare(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many n-grams of a set of n may be missing from a linked one."""
+    return n - -(-percent * n // 100)
 
-    Rows come sorted by list, then size and class; ``side`` 0 and 1 are the blocks of a long list.
-    """
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    names = ("token", "block", "side", "class", "n", "place")
-    token, block, side, doc, n, place = (table.column(c).to_numpy() for c in names)
+
+def needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many n-grams the prefixes of two linked sets share at least: as many as they are longer than
+    the number that may be missing."""
+    return 1 + spare(n, percent) // EXTRA
+
+
+def _list_pairs(token, block, side, doc, n, place, percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidates within posting lists, packed by their smaller class. ``side`` 0 and 1 are two parts of a
+    long list that meet in this block, 2 is compared with itself."""
     order = np.lexsort((doc, n, block, token))
     token, block, side, doc, n, place = (x[order] for x in (token, block, side, doc, n, place))
     found, held = [], 0
@@ -166,8 +173,9 @@ def _list_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         a, b = left[mixed], right[mixed]
         possible = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b])
         good = possible >= _least_overlap(n[a], n[b], percent)
-        found.append(np.stack([doc[a[good]], n[a[good]], doc[b[good]], n[b[good]]]))
-        held += found[-1].shape[1]
+        a, b = a[good], b[good]
+        found.append(np.stack([doc[a], n[a], doc[b], n[b], np.ones(len(a), np.int64)]))
+        held += len(a)
         if held >= FLUSH_PAIRS:
             yield from _packed(np.concatenate(found, axis=1))
             found, held = [], 0
@@ -176,84 +184,139 @@ def _list_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield from _packed(np.concatenate(found, axis=1))
 
 
-def _packed(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs as rows of PAIRS, each under its smaller class."""
-    a, n, b, m = pairs
+def _packed(pairs: np.ndarray, percent: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of PAIRS, equal pairs summed. With ``percent``, only those that share enough."""
+    a, n, b, m, common = pairs
     swap = a > b
     a, b, n, m = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, m, n), np.where(swap, n, m)
     order = np.lexsort((b, a))
-    a, b, n, m = a[order], b[order], n[order], m[order]
-    if len(a):
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b, n, m = a[new], b[new], n[new], m[new]
-        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        offsets = pa.array(np.append(starts, len(a)), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a[starts]), pa.array(n[starts]), pa.ListArray.from_arrays(offsets, pa.array(b)), pa.ListArray.from_arrays(offsets, pa.array(m))],
-            names=["a", "n", "others", "sizes"],
-        )
+    a, b, n, m, common = (x[order] for x in (a, b, n, m, common))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    common = np.add.reduceat(common, np.flatnonzero(new)) if len(a) else common
+    a, b, n, m = a[new], b[new], n[new], m[new]
+    if percent is not None:
+        enough = common >= np.minimum(needed(n, percent), needed(m, percent))
+        a, b, n, m, common = a[enough], b[enough], n[enough], m[enough], common[enough]
+    if not len(a):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    offsets = pa.array(np.append(starts, len(a)), pa.int32())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(a[starts]), pa.array(n[starts]), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (b, m, common))],
+        names=["a", "n", "others", "sizes", "common"],
+    )
 
 
 def _unpacked(table: pa.Table) -> np.ndarray:
     others = table.column("others").combine_chunks()
     lengths = np.diff(others.offsets.to_numpy()) if table.num_rows else np.zeros(0, np.int64)
     flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy()
-    return np.stack([np.repeat(table.column("a").to_numpy(), lengths), np.repeat(table.column("n").to_numpy(), lengths), flat("others"), flat("sizes")])
+    first = lambda name: np.repeat(table.column(name).to_numpy(), lengths)
+    return np.stack([first("a"), first("n"), flat("others"), flat("sizes"), flat("common")])
+
+
+def _columns(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray] | None:
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    table = pa.Table.from_batches(held)
+    return [table.column(c).to_numpy().astype(np.int64) for c in names]
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs as rows of PAIRS. ``classes``: ``class``, ``n_shingles``, ``prefix``."""
     spark = classes.sparkSession
-    entries = classes.select("class", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    counts = entries.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1")
-    entries = stored(entries.join(counts, "token"), "postings")
-    short = entries.filter(F.col("rows") <= LIST_ROWS).select(
-        "token", F.lit(0).alias("block"), F.lit(2).alias("side"), "class", "n", "place"
+    entries = classes.select(
+        F.posexplode("prefix").alias("place", "token"), "class", F.col("n_shingles").cast("int").alias("n")
     )
-    # A long list in c parts: part i meets part j in a block of its own, and itself in one with side 2.
-    parts = F.ceil(F.col("rows") / (LIST_ROWS // 2)).cast("int")
-    part = F.pmod(F.xxhash64("class"), parts).cast("int")
-    long = entries.filter(F.col("rows") > LIST_ROWS).withColumn("c", parts).withColumn("part", part)
-    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(
-        "token", (F.least("part", "other") * F.col("c") + F.greatest("part", "other")).cast("int").alias("block"),
-        F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
-        "class", "n", "place",
-    )
-    lists = short.unionByName(long).repartition(partitions(spark), "token", "block")
-    pairs = lists.mapInArrow(lambda batches: _list_pairs(batches, percent), PAIRS)
+
+    def short_lists(batches):
+        columns = _columns(batches, ("token", "class", "n", "place"))
+        if columns is None:
+            return
+        order = np.argsort(columns[0], kind="stable")
+        token, doc, n, place = (c[order] for c in columns)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(starts, len(token)))
+        size = np.repeat(sizes, sizes)
+        kept = (size > 1) & (size <= LIST_ROWS)
+        none = np.zeros(int(kept.sum()), np.int64)
+        for batch in _list_pairs(token[kept], none, none + 2, doc[kept], n[kept], place[kept], percent):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int64())], names=[*batch.schema.names, "token"])
+        for start, rows in zip(starts[sizes > LIST_ROWS], sizes[sizes > LIST_ROWS]):
+            for at in range(start, start + rows, LIST_ROWS):
+                end = min(at + LIST_ROWS, start + rows)
+                lists = [pa.array([x[at:end]], pa.list_(pa.int64())) for x in (doc, n, place)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *lists, pa.array([token[at]])],
+                    names=["a", "n", "others", "sizes", "common", "token"],
+                )
+
+    found = stored(entries.repartition(partitions(spark), "token").mapInArrow(short_lists, FOUND), "found")
+    pairs = found.filter("token IS NULL").drop("token")
+    long = found.filter("token IS NOT NULL")
+    if not long.isEmpty():
+        pairs = pairs.unionByName(_long_lists(long, percent))
 
     def once(batches):
         held = [b for b in batches if b.num_rows]
         if held:
-            yield from _packed(_unpacked(pa.Table.from_batches(held)))
+            yield from _packed(_unpacked(pa.Table.from_batches(held)), percent)
 
     return pairs.repartition(partitions(spark), "a").mapInArrow(once, PAIRS)
 
 
+def _long_lists(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs of lists beyond LIST_ROWS. A list is cut into c parts by class; part i meets part j in a block
+    of its own, and itself in one with side 2."""
+    spark = long.sparkSession
+    sizes = long.groupBy("token").agg(F.ceil(F.sum(F.size("others")) / (LIST_ROWS // 2)).cast("int").alias("c"))
+    posting = F.explode(F.arrays_zip("others", "sizes", "common"))
+    rows = long.select("token", posting.alias("p")).join(sizes, "token").select(
+        "token", "c", F.col("p.others").alias("class"), F.col("p.sizes").alias("n"), F.col("p.common").alias("place")
+    )
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("class"), F.col("c")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(
+        "token", (F.least("part", "other") * F.col("c") + F.greatest("part", "other")).cast("int").alias("block"),
+        F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
+        "class", "n", "place",
+    )
+
+    def compare(batches):
+        columns = _columns(batches, ("token", "block", "side", "class", "n", "place"))
+        if columns is not None:
+            yield from _list_pairs(*columns, percent)
+
+    return rows.repartition(partitions(spark), "token", "block").mapInArrow(compare, PAIRS)
+
+
 def fragment_sets(docs: DataFrame, wanted: DataFrame, size: int, cells: np.ndarray, cuts: np.ndarray) -> DataFrame:
-    """``class``, ``fragment`` and ``grams`` of the ``wanted`` classes (``class``, ``doc_id`` of a member)."""
-    schema = "class bigint, fragment int, grams binary"
+    """``bucket``, ``fragment``, ``class`` and ``grams`` of the ``wanted`` classes (``class``, ``doc_id`` of a
+    member, the ``buckets`` it is sent to)."""
+    schema = "bucket bigint, fragment int, class bigint, grams binary"
 
     def cut(batches):
         for batch in _slices(batches):
-            classes, fragments, parts = [], [], []
-            for wanted_class, grams in zip(batch.column("class").to_pylist(), shingles(batch.column("text"), size)):
-                if not len(grams) or xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) != wanted_class:
+            rows = []
+            wanted_classes, buckets = (batch.column(c).to_pylist() for c in ("class", "buckets"))
+            for key, to, grams in zip(wanted_classes, buckets, shingles(batch.column("text"), size)):
+                if not len(grams) or xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) != key:
                     continue  # another row with the same id
                 of = np.searchsorted(cuts, cells[_cells(grams)], side="left")
                 for fragment in range(len(cuts) + 1):
-                    classes.append(wanted_class)
-                    fragments.append(fragment)
-                    parts.append(grams[of == fragment].tobytes())
+                    part = grams[of == fragment].tobytes()
+                    rows += [(bucket, fragment, key, part) for bucket in to]
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(classes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(parts, pa.binary())],
-                names=["class", "fragment", "grams"],
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "fragment", "class", "grams"]
             )
 
-    wanted = wanted.select("class", F.col("doc_id").alias("_id"))
+    wanted = wanted.select("class", F.col("doc_id").alias("_id"), "buckets")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
-    return rows.mapInArrow(cut, schema).dropDuplicates(["class", "fragment"])
+    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "buckets", "text")
+    return rows.mapInArrow(cut, schema)
 
 
 def _overlaps(grams: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -296,11 +359,12 @@ def link_classes(docs: DataFrame, described: DataFrame, size: int, percent: int,
     # A class's tile side: its smallest partner, in parts of about TILE_DOCS classes.
     sides = _sides(pairs)
     tiled = stored(_tiles(pairs, sides, spark), "tiles")
-    inside = tiled.select(F.col("bucket").alias("bucket"), F.explode("inside").alias("class")).distinct()
-    wanted = inside.select("class").distinct().join(classes.select("class", "doc_id"), "class")
-    sets = stored(fragment_sets(docs, wanted, size, cells, pivots(cells, fragments)), "sets")
-    by_fragment = inside.join(sets, "class").select("bucket", "fragment", "class", "grams")
-    requests = tiled.select("bucket", "tile", "a", "b", "n", "m", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
+    inside = tiled.select("bucket", F.explode("inside").alias("class")).groupBy("class").agg(
+        F.collect_set("bucket").alias("buckets")
+    )
+    wanted = inside.join(classes.select("class", "doc_id"), "class")
+    by_fragment = fragment_sets(docs, wanted, size, cells, pivots(cells, fragments))
+    requests = tiled.select(F.col("bucket").alias("bucket"), "tile", "a", "b", "n", "m", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment"))
     partial_schema = "bucket bigint, tile bigint, a binary, b binary, n binary, m binary, common binary"
 
     def count(wanted_rows: pa.Table, set_rows: pa.Table) -> pa.Table:
@@ -340,7 +404,7 @@ def _sides(pairs: DataFrame) -> DataFrame:
     def least(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            a, _, b, _ = _unpacked(table)
+            a, _, b, _, _ = _unpacked(table)
             ids = np.concatenate([a, b, a])
             to = np.concatenate([a, a, b])
             low = np.minimum(ids, to)
@@ -363,7 +427,7 @@ def _tiles(pairs: DataFrame, sides: DataFrame, spark) -> DataFrame:
     rows = pairs.join(sides.withColumnRenamed("class", "a"), "a").withColumn(
         "own", F.xxhash64("group", F.pmod(F.xxhash64("a"), F.col("parts")))
     )
-    schema = "tile bigint, a binary, b binary, n binary, m binary"
+    schema = "bucket bigint, tile bigint, a binary, b binary, n binary, m binary"
 
     def cut(batches):
         for batch in batches:
@@ -376,14 +440,15 @@ def _tiles(pairs: DataFrame, sides: DataFrame, spark) -> DataFrame:
                     at = part == other
                     k = int(at.sum())
                     tile = xxhash.xxh3_64_intdigest(np.array([row["own"], other], np.int64).tobytes()) - (1 << 63)
-                    out.append((tile, np.full(k, row["a"], np.int64).tobytes(), b[at].tobytes(), np.full(k, row["n"], np.int64).tobytes(), m[at].tobytes()))
-            columns = list(zip(*out)) if out else [[]] * 5
+                    # Tiles of one part of a group share their documents, so they go together.
+                    out.append((row["own"] % buckets, tile, np.full(k, row["a"], np.int64).tobytes(), b[at].tobytes(), np.full(k, row["n"], np.int64).tobytes(), m[at].tobytes()))
+            columns = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["tile", "a", "b", "n", "m"]
+                [*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])],
+                names=["bucket", "tile", "a", "b", "n", "m"],
             )
 
     cut_rows = rows.select("a", "n", "others", "sizes", "own", "parts").mapInArrow(cut, schema)
-    cut_rows = cut_rows.withColumn("bucket", F.pmod("tile", F.lit(buckets)))
 
     def join_up(rows: pa.Table) -> pa.Table:
         by_tile: dict[int, list] = {}

@@ -13,7 +13,9 @@ from turnwise.functions.answers import (
 )
 from turnwise.functions.structs import field_or_default, pick_by_label
 from turnwise.functions.text import text_features
+from turnwise.operators.classification import confusion_matrix
 from turnwise.operators.joins import cross_prompts, label_by_key, pending_questions
+from turnwise.operators.regression import standardise
 from turnwise.plans.inference import inference_scores, inferred_labels
 from turnwise.plans.prepare import features_per_conversation, utterance_features
 from turnwise.plans.disparity import baselines, disparity, outcomes, overview
@@ -192,6 +194,41 @@ def test_outcomes_and_baselines(spark, rows):
     assert ("m", "legal", 100.0) in rows(some)
 
 
+def test_outcomes_use_the_bank_of_the_model(spark):
+    questions = spark.createDataFrame(
+        [("m1", None, "q", "legal", "yes"), ("m2", None, "q", "legal", "no")],
+        "model STRING, condition STRING, q_id STRING, domain STRING, correct_answer STRING",
+    )
+    answers = spark.createDataFrame(
+        [("m1", None, "c", "q", "Yes"), ("m2", None, "c", "q", "No")],
+        "model STRING, condition STRING, conversation_id STRING, q_id STRING, answer STRING",
+    )
+    got = {r.model: r.outcome for r in outcomes(answers, questions, ["model", "conversation_id"]).collect()}
+    assert got == {"m1": 100.0, "m2": 100.0}
+    with pytest.raises(Exception, match="question listed twice"):
+        outcomes(answers, questions.union(questions), ["model", "conversation_id"]).collect()
+
+
+def test_null_keys_are_keys(spark):
+    labels = spark.createDataFrame([(None, "a", "a"), (None, "a", "b"), ("k", "b", "b")], "k STRING, t STRING, p STRING")
+    counts = {(r.k, r.true, r.predicted): r.n for r in confusion_matrix(labels, ["k"], "t", "p").collect()}
+    assert counts[(None, "a", "a")] == 1 and counts[(None, "a", "b")] == 1 and counts[("k", "b", "b")] == 1
+    values = spark.createDataFrame([(None, 1.0), (None, 3.0)], "k STRING, v DOUBLE")
+    state = sufficient_statistics(values, ["k"], "v")
+    assert [(r.k, r.n, r["mean"]) for r in update_statistics(state, state, ["k"]).collect()] == [(None, 4, 2.0)]
+    assert standardise(values, ["v"], ["k"]).count() == 2
+
+
+def test_resume_keeps_models_apart(spark, tmp_path):
+    schema = "model STRING, q_id STRING, answer STRING"
+    answer = lambda q: q.select("model", F.lit("yes").alias("answer"), "q_id")
+    path = str(tmp_path / "answers")
+    for model in ("a", "b", "b"):
+        bank = spark.createDataFrame([(model, "q1"), (model, "q2")], "model STRING, q_id STRING")
+        resume_answers(bank, path, schema, answer, batches=2)
+    assert sorted(r.model for r in spark.read.parquet(path).collect()) == ["a", "a", "b", "b"]
+
+
 def test_disparity_overview(spark):
     data = [(f"c{i}", "annotator", i % 2 and "A" or "B", 10.0 * (i % 2) + i * 0.01, "legal") for i in range(20)]
     data += [("x", "annotator", "Other", 1e9, "legal"), ("y", "annotator", None, 1e9, "legal")]

@@ -82,7 +82,19 @@ def test_anova_by_hand(spark):
     assert math.isclose(x.ss_between, 26.0) and math.isclose(x.ss_within, 6.0) and math.isclose(x.F, 13.0)
     assert math.isclose(x.diff_mean, 4.0) and abs(x.p_value - 0.006592) < 1e-5
     assert table["one"].status == "single_group" and table["one"].F is None and table["one"].p_value is None
-    assert table["flat"].F is None and table["flat"].status == "ok"
+    assert table["flat"].F is None and table["flat"].status == "no_variance"
+
+
+def test_anova_without_spread_is_certain(spark):
+    df = spark.createDataFrame([("k", "a", 1.0), ("k", "a", 1.0), ("k", "b", 0.0), ("k", "b", 0.0)], "k STRING, g STRING, v DOUBLE")
+    row = with_f_tail(anova(df, ["k"], "g", "v")).first()
+    assert row.F == math.inf and row.p_value == 0.0 and row.status == "ok" and row.diff_mean == 1.0
+
+
+def test_tails_reach_their_limits():
+    for df in (1e8, 1e9, 1e12, 1e15, 1e18):
+        assert math.isclose(float(t_tail_value(1.959963984540054, df)), 0.05, rel_tol=1e-6)
+        assert math.isclose(float(f_tail_value(3.0, 2, df)), math.exp(-3), rel_tol=1e-6)
 
 
 def test_anova_from_stats_equals_anova_and_flags(spark):

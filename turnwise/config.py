@@ -206,37 +206,99 @@ UNUSED_FEATURES = [
 ]
 
 # Features dropped for collinearity (the frozen outcome of the stepwise search).
-COLLINEAR_FEATURES = """
-num_tokens_user_prompt num_tokens_model_response user_prompt_liwc_pronoun
-model_response_liwc_AllPunc user_prompt_liwc_AllPunc model_response_liwc_pronoun
-user_prompt_liwc_Culture model_response_liwc_Culture model_response_liwc_Linguistic
-avg_num_syllables_model_response model_response_liwc_Affect model_response_liwc_function
-model_response_liwc_Dic user_prompt_liwc_Linguistic avg_num_syllables_user_prompt
-user_prompt_liwc_WC avg_sent_len_user_prompt user_prompt_liwc_Affect
-user_prompt_liwc_function user_prompt_liwc_Dic model_response_liwc_WC
-model_response_liwc_ppron model_response_liwc_Analytic model_response_liwc_Perception
-model_response_liwc_Cognition model_response_liwc_Drives type_to_token_ratio_user_prompt
-user_prompt_liwc_Conversation model_response_liwc_Social model_response_liwc_Lifestyle
-model_response_liwc_Conversation avg_concreteness_model_response model_response_liwc_cogproc
-num_sents_user_prompt user_prompt_liwc_ppron model_response_liwc_BigWords
-model_response_liwc_det num_stop_words_user_prompt user_prompt_liwc_Social
-user_prompt_liwc_Drives user_prompt_liwc_Lifestyle user_prompt_liwc_Perception
-user_prompt_liwc_Cognition avg_concreteness_user_prompt user_prompt_liwc_Analytic
-model_response_liwc_Clout avg_sent_len_model_response model_response_liwc_Tone
-user_prompt_liwc_cogproc num_sents_model_response model_response_liwc_prep
-model_response_liwc_Authentic model_response_liwc_verb flesch_reading_ease_user_prompt
-num_unique_lemmas_user_prompt num_punctuation_model_response user_prompt_liwc_Clout
-model_response_liwc_Physical model_response_liwc_emotion model_response_liwc_socrefs
-num_entities_user_prompt user_prompt_liwc_det user_prompt_liwc_WPS
-num_stop_words_model_response flesch_reading_ease_model_response user_prompt_liwc_Tone
-s_positive_model_response model_response_liwc_conj user_prompt_liwc_Authentic
-user_prompt_liwc_verb model_response_liwc_auxverb e_neutral_model_response
-model_response_liwc_socbehav model_response_liwc_health model_response_liwc_adj
-num_unique_lemmas_model_response model_response_liwc_tone_pos user_prompt_liwc_prep
-model_response_liwc_emo_neg model_response_liwc_affiliation model_response_liwc_WPS
-user_prompt_liwc_auxverb model_response_liwc_article type_to_token_ratio_model_response
-user_prompt_liwc_emotion user_prompt_liwc_BigWords user_prompt_liwc_Physical
-model_response_liwc_Comma e_curiosity_user_prompt model_response_liwc_focuspresent
-model_response_liwc_Period user_prompt_liwc_socrefs model_response_liwc_differ
-user_prompt_liwc_socbehav
-""".split()
+COLLINEAR_FEATURES = [
+    "num_tokens_user_prompt",
+    "num_tokens_model_response",
+    "user_prompt_liwc_pronoun",
+    "model_response_liwc_AllPunc",
+    "user_prompt_liwc_AllPunc",
+    "model_response_liwc_pronoun",
+    "user_prompt_liwc_Culture",
+    "model_response_liwc_Culture",
+    "model_response_liwc_Linguistic",
+    "avg_num_syllables_model_response",
+    "model_response_liwc_Affect",
+    "model_response_liwc_function",
+    "model_response_liwc_Dic",
+    "user_prompt_liwc_Linguistic",
+    "avg_num_syllables_user_prompt",
+    "user_prompt_liwc_WC",
+    "avg_sent_len_user_prompt",
+    "user_prompt_liwc_Affect",
+    "user_prompt_liwc_function",
+    "user_prompt_liwc_Dic",
+    "model_response_liwc_WC",
+    "model_response_liwc_ppron",
+    "model_response_liwc_Analytic",
+    "model_response_liwc_Perception",
+    "model_response_liwc_Cognition",
+    "model_response_liwc_Drives",
+    "type_to_token_ratio_user_prompt",
+    "user_prompt_liwc_Conversation",
+    "model_response_liwc_Social",
+    "model_response_liwc_Lifestyle",
+    "model_response_liwc_Conversation",
+    "avg_concreteness_model_response",
+    "model_response_liwc_cogproc",
+    "num_sents_user_prompt",
+    "user_prompt_liwc_ppron",
+    "model_response_liwc_BigWords",
+    "model_response_liwc_det",
+    "num_stop_words_user_prompt",
+    "user_prompt_liwc_Social",
+    "user_prompt_liwc_Drives",
+    "user_prompt_liwc_Lifestyle",
+    "user_prompt_liwc_Perception",
+    "user_prompt_liwc_Cognition",
+    "avg_concreteness_user_prompt",
+    "user_prompt_liwc_Analytic",
+    "model_response_liwc_Clout",
+    "avg_sent_len_model_response",
+    "model_response_liwc_Tone",
+    "user_prompt_liwc_cogproc",
+    "num_sents_model_response",
+    "model_response_liwc_prep",
+    "model_response_liwc_Authentic",
+    "model_response_liwc_verb",
+    "flesch_reading_ease_user_prompt",
+    "num_unique_lemmas_user_prompt",
+    "num_punctuation_model_response",
+    "user_prompt_liwc_Clout",
+    "model_response_liwc_Physical",
+    "model_response_liwc_emotion",
+    "model_response_liwc_socrefs",
+    "num_entities_user_prompt",
+    "user_prompt_liwc_det",
+    "user_prompt_liwc_WPS",
+    "num_stop_words_model_response",
+    "flesch_reading_ease_model_response",
+    "user_prompt_liwc_Tone",
+    "s_positive_model_response",
+    "model_response_liwc_conj",
+    "user_prompt_liwc_Authentic",
+    "user_prompt_liwc_verb",
+    "model_response_liwc_auxverb",
+    "e_neutral_model_response",
+    "model_response_liwc_socbehav",
+    "model_response_liwc_health",
+    "model_response_liwc_adj",
+    "num_unique_lemmas_model_response",
+    "model_response_liwc_tone_pos",
+    "user_prompt_liwc_prep",
+    "model_response_liwc_emo_neg",
+    "model_response_liwc_affiliation",
+    "model_response_liwc_WPS",
+    "user_prompt_liwc_auxverb",
+    "model_response_liwc_article",
+    "type_to_token_ratio_model_response",
+    "user_prompt_liwc_emotion",
+    "user_prompt_liwc_BigWords",
+    "user_prompt_liwc_Physical",
+    "model_response_liwc_Comma",
+    "e_curiosity_user_prompt",
+    "model_response_liwc_focuspresent",
+    "model_response_liwc_Period",
+    "user_prompt_liwc_socrefs",
+    "model_response_liwc_differ",
+    "user_prompt_liwc_socbehav",
+]

@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 
 _TINY = 1e-300
 _STEPS = 500
+_STIRLING = 1e3
+# Degrees of freedom from which F and t are taken for their limits; the two ways then agree to seven
+# digits in the middle, and the continued fraction would need more steps with their square root.
+_LIMIT = 1e8
 
 
 def _lgamma(x):
@@ -47,18 +51,32 @@ def _beta_fraction(a, b, x):
     return 1.0 / _lentz(np.ones_like(x), terms())
 
 
-def beta_inc(a, b, x):
-    """Regularised incomplete beta function I_x(a, b)."""
-    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
-    inner = np.clip(x, _TINY, 1 - 1e-16)
-    front = np.exp(
-        _lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inner) + b * np.log1p(-inner)
+def _lgamma_step(a, b):
+    """lgamma(a + b) - lgamma(a), by Stirling's series where a is large, so that two numbers of the
+    size of a are never subtracted."""
+    far = np.where(a > _STIRLING, a, _STIRLING)
+    series = (
+        b * np.log(far) + (far + b - 0.5) * np.log1p(b / far) - b
+        + (1 / (far + b) - 1 / far) / 12 - (1 / (far + b) ** 3 - 1 / far**3) / 360
     )
+    near = np.where(a > _STIRLING, 1.0, a)
+    return np.where(a > _STIRLING, series, _lgamma(near + b) - _lgamma(near))
+
+
+def beta_inc(a, b, x, rest=None):
+    """Regularised incomplete beta function I_x(a, b). ``rest`` is 1 - x, where it is known better."""
+    rest = 1 - np.asarray(x, float) if rest is None else rest
+    a, b, x, rest = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x, rest)))
+    inner, outer = np.maximum(x, _TINY), np.maximum(rest, _TINY)
+    log_inner = np.where(outer < 0.5, np.log1p(-np.minimum(outer, 0.5)), np.log(inner))
+    log_outer = np.where(inner < 0.5, np.log1p(-np.minimum(inner, 0.5)), np.log(outer))
+    large, small = np.maximum(a, b), np.minimum(a, b)
+    front = np.exp(_lgamma_step(large, small) - _lgamma(small) + a * log_inner + b * log_outer)
     direct = inner < (a + 1) / (a + b + 2)
     low = front * _beta_fraction(np.where(direct, a, b), np.where(direct, b, a),
-                                 np.where(direct, inner, 1 - inner)) / np.where(direct, a, b)
+                                 np.where(direct, inner, outer)) / np.where(direct, a, b)
     result = np.where(direct, low, 1 - low)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, result))
+    return np.where(x <= 0, 0.0, np.where(rest <= 0, 1.0, result))
 
 
 def gamma_upper(s, x):
@@ -85,13 +103,16 @@ def gamma_upper(s, x):
 
 
 def f_tail_value(f, df1, df2):
-    f, df1, df2 = (np.asarray(v, float) for v in (f, df1, df2))
-    return beta_inc(df2 / 2, df1 / 2, df2 / (df2 + df1 * np.maximum(f, 0)))
+    f, df1, df2 = np.broadcast_arrays(*(np.asarray(v, float) for v in (f, df1, df2)))
+    scaled = df1 * np.minimum(np.maximum(f, 0), 1e300)
+    bounded = np.minimum(df2, _LIMIT)
+    exact = beta_inc(bounded / 2, df1 / 2, bounded / (bounded + scaled), scaled / (bounded + scaled))
+    tail = np.where(df2 > _LIMIT, gamma_upper(df1 / 2, np.minimum(scaled, 1e4) / 2), exact)
+    return np.where(np.isposinf(f), 0.0, tail)
 
 
 def t_tail_value(t, df):
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    return beta_inc(df / 2, 0.5, df / (df + t * t))
+    return f_tail_value(np.asarray(t, float) ** 2, 1.0, df)
 
 
 def chi2_tail_value(stat, df):

@@ -113,13 +113,13 @@ def mean_ci_bootstrap(
     return null_safe_join(means, replicated, keys)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that matches null keys with null keys."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join that matches null keys with null keys; the keys of a left or inner join are the left ones."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
-    return left.join(renamed, condition).drop(*[f"_right_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def class_summary(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

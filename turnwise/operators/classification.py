@@ -33,7 +33,7 @@ def confusion_matrix(df: DataFrame, by: Sequence[str], true: str, predicted: str
         .select(*by, "_labels", F.explode("_labels").alias("true"))
         .select(*by, "true", F.explode("_labels").alias("predicted"))
     )
-    filled = grid.join(cells, [*by, "true", "predicted"], "left").na.fill(0, ["n"])
+    filled = null_safe_join(grid, cells, [*by, "true", "predicted"], "left").na.fill(0, ["n"])
     row = Window.partitionBy(*by, "true")
     return filled.withColumn("share", ratio(F.col("n"), F.sum("n").over(row)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.numeric import percent_change
+from turnwise.operators.aggregates import null_safe_join
 from turnwise.operators.ranking import top_per_group
 
 # The feature families, in table order.
@@ -66,7 +67,8 @@ def family_importance(coefficients: DataFrame, by: Sequence[str], demographics:
     every = coefficients.select(*by).distinct().withColumn(
         "family", F.explode(F.array(*[F.lit(f) for f in FAMILIES]))
     )
-    return every.join(found, [*by, "family"], "left").na.fill(0.0)
+    joined = null_safe_join(every, found, [*by, "family"], "left")
+    return joined.na.fill(0.0, ["max_importance", "mean_importance"])
 
 
 def side_importance(coefficients: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -100,8 +102,9 @@ def importance_change(
     a feature the full fit does not select counts as 0 there."""
     of_reduced = memberships(reduced, demographics).filter(F.col("family") == "demographic")
     of_full = memberships(full, demographics).filter(F.col("family") == "demographic")
-    joined = of_reduced.select(*by, "feature", F.abs("coefficient").alias("_old")).join(
-        of_full.select(*by, "feature", F.abs("coefficient").alias("_new")), [*by, "feature"], "left"
+    joined = null_safe_join(
+        of_reduced.select(*by, "feature", F.abs("coefficient").alias("_old")),
+        of_full.select(*by, "feature", F.abs("coefficient").alias("_new")), [*by, "feature"], "left",
     )
     change = percent_change(F.coalesce(F.col("_new"), F.lit(0.0)), F.col("_old"))
     return joined.groupBy(*by).agg(

@@ -36,7 +36,11 @@ def topic_from_prompt(df: DataFrame, flag: Column, prompt: Column) -> DataFrame:
 def pending_questions(questions: DataFrame, answers: DataFrame, keys: Sequence[str] = ("q_id",)) -> DataFrame:
     """Questions that no stored answer refers to. Distinct ids are taken first, so the anti-join
     moves one row per answered question, not the answers."""
-    return questions.join(answers.select(*keys).distinct(), list(keys), "left_anti")
+    done = answers.select(*[F.col(k).alias(f"_done_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_done_{k}"))
+    return questions.join(done, same, "left_anti")
 
 
 def bounded_rows(df: DataFrame, columns: Sequence[str], limit: int) -> list | None:

@@ -30,7 +30,8 @@ def concreteness(
     found = words(tokens(F.col(side)))
     if eligible is not None:
         found = F.when(eligible, found)
-    rated = lexicon.select("word", "weight").filter(F.col("weight").isNotNull())
+    # A word that is listed twice has its highest rating.
+    rated = lexicon.filter(F.col("weight").isNotNull()).groupBy("word").agg(F.max("weight").alias("weight"))
     joined = _token_rows(df, keys, found).join(rated, "word", "left")
     total = F.first("_total")
     return joined.groupBy(*keys).agg(

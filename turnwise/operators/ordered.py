@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.operators.aggregates import null_safe_join
+
 SEGMENT_TURNS = 1024
 SEGMENT = "_segment"
 
@@ -54,7 +56,7 @@ def sums_before(
 ) -> DataFrame:
     """Per measure ``<name>_before``: its sum over the rows of the key that come earlier.
 
-    ``df`` carries a segment column and the order is total within a key; keys are not null. Rows
+    ``df`` carries a segment column and the order is total within a key. Rows
     partitioned by key and segment are not shuffled again.
     """
     keys = list(keys)
@@ -70,7 +72,7 @@ def sums_before(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     df = df.withColumns({f"_inside_{m}": F.sum(m).over(inside) for m in measures})
-    joined = df.join(offsets, [*keys, SEGMENT])
+    joined = null_safe_join(df, offsets, [*keys, SEGMENT])
     zero = F.lit(0)
     return joined.withColumns(
         {
@@ -99,10 +101,9 @@ def previous(df: DataFrame, keys: Sequence[str], order: str, column: str, into:
     )
     carried = _carried(summary, keys, {"_carry": F.last("_end", ignorenulls=True)})
     inside = Window.partitionBy(*keys, SEGMENT).orderBy(order)
+    inner = df.withColumn("_row", F.row_number().over(inside)).withColumn("_lag", F.lag(column).over(inside))
     return (
-        df.withColumn("_row", F.row_number().over(inside))
-        .withColumn("_lag", F.lag(column).over(inside))
-        .join(carried, [*keys, SEGMENT])
+        null_safe_join(inner, carried, [*keys, SEGMENT])
         .withColumn(
             into, F.when(F.col("_row") > 1, F.col("_lag")).otherwise(F.col(f"_carry.{column}"))
         )
@@ -121,8 +122,7 @@ def all_so_far(df: DataFrame, keys: Sequence[str], order: str, flag: str, into:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        df.withColumn("_inside", F.min(flag).over(inside))
-        .join(carried, [*keys, SEGMENT])
+        null_safe_join(df.withColumn("_inside", F.min(flag).over(inside)), carried, [*keys, SEGMENT])
         .withColumn(into, F.col("_inside") & F.coalesce(F.col("_carry"), F.lit(True)))
         .drop("_inside", "_carry")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from turnwise.config import ALPHA_RATIO, L1_RATIOS, MAX_ITER, N_ALPHAS, VIF_THRESHOLD
 from turnwise.functions.structs import numeric_columns
+from turnwise.functions.numeric import clean
 from turnwise.operators.aggregates import null_safe_join
 from turnwise.operators.gram import contiguous_matrix, gram, merge
 from turnwise.session import cut_lineage
@@ -33,13 +34,13 @@ def standardise(df: DataFrame, columns: Sequence[str] | None = None, by: Sequenc
     columns = numeric_columns(df) if columns is None else list(columns)
     columns = [c for c in columns if c not in by]
     stats = df.groupBy(*by).agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns],
+        *[F.avg(clean(F.col(c).cast("double"))).alias(f"_m_{c}") for c in columns],
+        *[F.stddev_pop(clean(F.col(c).cast("double"))).alias(f"_s_{c}") for c in columns],
     )
     if by:
         center = {c: F.col(f"_m_{c}") for c in columns}
         scale = {c: F.col(f"_s_{c}") for c in columns}
-        source = df.join(stats, list(by))
+        source = null_safe_join(df, stats, list(by))
     else:
         row = stats.first()
         center = {c: F.lit(row[f"_m_{c}"]) for c in columns}

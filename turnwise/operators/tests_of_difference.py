@@ -24,7 +24,8 @@ def anova_from_stats(
     """The full one-way table from (n, mean, sample variance) per group.
 
     ``status`` names what makes a test impossible: fewer than two groups, a group below ``min_n``
-    rows, or a negative variance. The statistics are then null.
+    rows, a negative variance, or no spread at all. The statistics are then null. Without spread
+    within groups whose means differ, F is infinite and its probability 0.
     """
     by = list(by)
     size, center = F.col(n), F.col(mean)
@@ -47,6 +48,7 @@ def anova_from_stats(
         .when(F.col("_min_n") < min_n, "small_group")
         .when(F.col("_min_var") < 0, "negative_variance")
         .when(F.col("n_total") <= F.col("n_groups"), "no_residual")
+        .when((F.col("ss_within") == 0) & (F.col("diff_mean") == 0), "no_variance")
         .otherwise("ok")
     )
     valid = F.col("status") == "ok"
@@ -62,7 +64,10 @@ def anova_from_stats(
             "ms_within": ratio(F.col("ss_within"), F.col("df_within")),
         }
     )
-    return table.withColumn("F", ratio(F.col("ms_between"), F.col("ms_within"))).select(
+    # Unequal groups without any spread differ for certain.
+    certain = valid & (F.col("ss_within") == 0)
+    statistic = F.when(certain, F.lit(float("inf"))).otherwise(ratio(F.col("ms_between"), F.col("ms_within")))
+    return table.withColumn("F", statistic).select(
         *by, "n_groups", "n_total", "ss_between", "ss_within", "df_between", "df_within", "ms_between",
         "ms_within", "F", "diff_mean", "status",
     )

@@ -9,15 +9,32 @@ from pyspark.sql import functions as F
 
 from turnwise.config import ALPHA_GROUPS, AMOUNT_DOMAIN, DEMOGRAPHIC_ALIASES, UNKNOWN_MARKERS
 from turnwise.functions.answers import score_amount, score_yes_no
-from turnwise.operators.aggregates import grouping_sets, outcome_per_conversation
+from turnwise.operators.aggregates import (
+    grouping_sets,
+    null_safe_join,
+    outcome_per_conversation,
+)
 from turnwise.operators.filters import known, recode
 from turnwise.operators.reshape import unpivot_demographics
 from turnwise.operators.tests_of_difference import anova, significant, with_f_tail
 
 
+BANK_KEYS = ["model", "condition", "q_id"]
+
+
 def scored_answers(answers: DataFrame, questions: DataFrame, trim: bool = False) -> DataFrame:
-    """Answers with their domain and score: 0/1 against the key, or the first amount."""
-    keyed = answers.join(questions.select("q_id", "domain", "correct_answer"), "q_id")
+    """Answers with their domain and score: 0/1 against the key, or the first amount.
+
+    A bank, its question ids and its key belong to one model and condition, so both count as far as
+    the two tables have them. A key that the bank holds twice is an error.
+    """
+    keys = [k for k in BANK_KEYS if k in questions.columns and k in answers.columns]
+    bank = questions.groupBy(*keys).agg(
+        F.first("domain").alias("domain"), F.first("correct_answer").alias("correct_answer"), F.count("*").alias("_n")
+    )
+    twice = F.raise_error(F.concat(F.lit("question listed twice: "), F.to_json(F.struct(*keys))))
+    bank = bank.select(*keys, F.when(F.col("_n") > 1, twice).otherwise(F.col("domain")).alias("domain"), "correct_answer")
+    keyed = null_safe_join(answers, bank, keys)
     score = F.when(
         F.col("domain") == AMOUNT_DOMAIN, score_amount(F.col("answer"))
     ).otherwise(score_yes_no(F.col("answer"), F.col("correct_answer"), trim))

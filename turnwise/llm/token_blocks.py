@@ -14,6 +14,7 @@ text). A null or empty text is the end id alone.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,11 +32,12 @@ BLOCK = 128
 #: Ids after which a file row is closed; it then ends with the current document.
 ROW_IDS = 1 << 17
 #: Distinct stems whose ids a worker keeps from batch to batch.
-CACHE_STEMS = 400_000
+CACHE_STEMS = 700_000
 #: Documents that are encoded together.
-BATCH_DOCS = 1000
-#: Marks at a word's end that the tokenizer splits off.
-MARKS = [".", ","]
+BATCH_DOCS = 2000
+#: Marks at a word's end that the tokenizer splits off as one piece, and the letters before them.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
 
 FILE_SCHEMA = (
     "part int, seq int, doc_ids array<bigint>, n_tokens array<bigint>, n_ids bigint, "
@@ -59,7 +61,7 @@ def pack_blocks(ids: np.ndarray, share: float = 0.9) -> dict[str, bytes]:
     minima = values.min(axis=1) if n_blocks else np.zeros(0, np.uint64)
     values -= minima[:, None]
     rank = min(BLOCK - 1, int(np.ceil(share * BLOCK)) - 1)
-    limit = np.partition(values, rank, axis=1)[:, rank] if n_blocks else minima
+    limit = np.partition(values.astype(np.uint32), rank, axis=1)[:, rank] if n_blocks else minima
     widths = np.ceil(np.log2(limit.astype(np.float64) + 1)).astype(np.int64)
     rows, places = np.nonzero(values >> widths[:, None].astype(np.uint64))
     starts = np.zeros(n_blocks + 1, np.int64)
@@ -131,12 +133,15 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return values.T
 
 
+_LETTERS = re.compile(LETTERS)
+
+
 class WordEncoder:
     """A tokenizer of white-space separated words, with the ids of the last stems kept.
 
     No token crosses a space or a line feed, which the tokenizer drops, so a text's ids are those of
-    its pieces between them. A piece that is ASCII letters and one full stop or comma is looked up
-    in its two parts, which the tokenizer splits as well, and letters in lower case. Arrow finds the
+    its pieces between them. A piece that is Latin letters and a run of marks is looked up in
+    its two parts, which the tokenizer splits as well, and ASCII letters in lower case. Arrow finds the
     distinct words of a batch, so Python sees each of them once.
     """
 
@@ -146,24 +151,46 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether a token ends a word; nowhere if the vocabulary does not say.
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.stems: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, stems: list[str]) -> list[bytes]:
         if len(self.stems) > CACHE_STEMS // 2:
             self.older, self.stems = self.stems, {}
-        known, older, new = self.stems, self.older, []
-        for stem in stems:
-            if stem not in known:
-                if stem in older:
-                    known[stem] = older[stem]
-                else:
-                    new.append(stem)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((stem, array("I", e.ids).tobytes()) for stem, e in zip(part, encoded))
-        return [known[stem] for stem in stems]
+        known, older = self.stems, self.older
+        unknown = [stem for stem in stems if stem not in known]
+        new = [stem for stem in unknown if stem not in older]
+        if len(new) < len(unknown):
+            known.update((stem, older[stem]) for stem in unknown if stem in older)
+        letters = [stem for stem in new if _LETTERS.match(stem)]
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            known.update(zip(part, self._together(part)))
+        others = [stem for stem in new if stem not in known]
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            known.update(zip(part, self._apart(part)))
+        return list(map(known.__getitem__, stems))
+
+    def _apart(self, stems: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def _together(self, stems: list[str]) -> list[bytes]:
+        """Stems of letters are one word each, so in one text their last tokens tell them apart."""
+        encoded = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
+        ids = np.asarray(encoded[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(stems):
+            return self._apart(stems)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and each text's number of ids."""
@@ -171,21 +198,17 @@ class WordEncoder:
         pieces = pc.split_pattern(spaced, pattern=" ")
         words = pieces.flatten().dictionary_encode()
         distinct = words.dictionary
-        last = pc.utf8_slice_codeunits(distinct, -1, None)
-        body = pc.utf8_slice_codeunits(distinct, 0, -1)
-        marked = pc.and_(pc.is_in(last, pa.array(MARKS)), pc.string_is_ascii(body))
-        marked = pc.and_(marked, pc.ascii_is_alpha(body))
-        stem = pc.if_else(marked, body, distinct)
-        plain = pc.and_(pc.string_is_ascii(stem), pc.ascii_is_alpha(stem))
-        stem = pc.if_else(plain, pc.ascii_lower(stem), stem).dictionary_encode()
-        found = self._ids([*MARKS, "", *stem.dictionary.to_pylist()])
+        body = pc.utf8_rtrim(distinct, characters=MARKS)
+        split = pc.match_substring_regex(body, pattern=LETTERS)
+        mark = _ends(distinct, body)
+        stem = pc.if_else(split, pc.ascii_lower(body), distinct)
+        mark = pc.if_else(split, mark, "")
+        both = pa.concat_arrays([stem, mark]).dictionary_encode()
+        found = self._ids(both.dictionary.to_pylist())
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = np.frombuffer(b"".join(found), "<u4")
-        # Each distinct word is two entries of this table: its stem, and its mark or nothing.
-        halves = np.full((len(distinct), 2), len(MARKS), np.int64)
-        halves[:, 0] = stem.indices.to_numpy() + len(MARKS) + 1
-        marks = pc.fill_null(pc.index_in(last, pa.array(MARKS)), 0).to_numpy()
-        halves[:, 1] = np.where(marked.to_numpy(zero_copy_only=False), marks, len(MARKS))
+        # Each distinct word is two entries: its stem, and its mark or nothing.
+        halves = both.indices.to_numpy().astype(np.int64).reshape(2, -1).T
         word_ids = _gather(ids, lengths, halves.reshape(-1))
         word_lengths = lengths[halves].sum(axis=1)
         order = words.indices.to_numpy()
@@ -194,6 +217,16 @@ class WordEncoder:
         return out, np.diff(ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()])
 
 
+def _ends(words: pa.Array, starts: pa.Array) -> pa.Array:
+    """What follows each start in its word."""
+    lengths = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, starts)]
+    first = int(np.frombuffer(words.buffers()[1], np.int32)[words.offset]) if len(words) else 0
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[first : first + lengths[0].sum()]
+    place = _gather(np.arange(len(data)), np.stack([lengths[1], lengths[0] - lengths[1]], axis=1).reshape(-1), np.arange(len(words)) * 2 + 1)
+    ends = np.append(0, np.cumsum(lengths[0] - lengths[1])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(data[place].tobytes()))
+
+
 def _gather(values: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The runs of ``values`` that have these lengths, concatenated in the given order."""
     starts = np.cumsum(lengths) - lengths

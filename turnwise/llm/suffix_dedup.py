@@ -46,6 +46,8 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: The symbol after the end of a piece.
 END = -(1 << 63)
 SETTLED, OPEN = 0, 1
+#: Texts that a task handles at once.
+BATCH_DOCS = 500
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -118,12 +120,29 @@ def anchors_of(data: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(x) for x in ((around, single), (whole, check), (cuts, pad), (low, bare), (high, bare))]
 
 
+def _joined_runs(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows of each text, runs that touch joined."""
+    order = np.lexsort((low, keys))
+    keys, low, high = keys[order], low[order], high[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (low[1:] > high[:-1] + 1)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(keys))[: len(starts)] - 1
+    return keys[starts], low[starts], high[ends]
+
+
 ANCHORS = "around bigint, whole bigint, class bigint, cut int, low int, high int, kind int, times int"
 _ANCHORS = pa.schema([
     (c.split(" ")[0], pa.int64() if c.endswith("bigint") else pa.int32()) for c in ANCHORS.split(", ")
 ])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_DOCS):
+            yield batch.slice(at, BATCH_DOCS)
+
+
 def _batch(columns: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema
@@ -146,7 +165,7 @@ def find_anchors(texts: DataFrame) -> DataFrame:
     """Settled and open cuts (ANCHORS) of ``class``, ``text``. Copies within a task are settled there, and
     one row for them goes on."""
     def emit(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             found = []
             for key, text in zip(batch.column("class").to_pylist(), batch.column("text")):
                 columns = anchors_of(np.frombuffer(text.as_buffer(), np.uint8))
@@ -159,9 +178,9 @@ def find_anchors(texts: DataFrame) -> DataFrame:
             columns = [x[order] for x in (around, whole, keys, cut, low, high)]
             copies = n > 1
             # A settled row needs no partner, so it goes to any task.
-            settled = [c[copies] for c in columns] + [np.full(copies.sum(), SETTLED), np.ones(copies.sum(), np.int64)]
-            settled[0] = mixed(settled[2], settled[3])
-            yield _batch(settled, _ANCHORS)
+            keys, low, high = _joined_runs(*(c[copies] for c in (columns[2], columns[4], columns[5])))
+            none = np.zeros(len(keys), np.int64)
+            yield _batch([mixed(keys, low), none, keys, none, low, high, none + SETTLED, none + 1], _ANCHORS)
             yield _batch([c[first] for c in columns] + [np.full(first.sum(), OPEN), np.minimum(n[first], 2)], _ANCHORS)
 
     def settle(batches):
@@ -173,13 +192,15 @@ def find_anchors(texts: DataFrame) -> DataFrame:
         yield from done.to_batches()
         table = table.filter(pa.compute.equal(table.column("kind"), OPEN))
         columns = [c.to_numpy() for c in table.columns]
+        del held, done, table
         if not len(columns[0]):
             return
         order, first, n, wholes = _settle(columns[0], columns[1], columns[7])
         columns = [c[order] for c in columns]
         copies = n > 1
-        columns[6] = np.where(copies, SETTLED, OPEN)
-        yield _batch([c[copies] for c in columns], _ANCHORS)
+        keys, low, high = _joined_runs(*(columns[i][copies] for i in (2, 4, 5)))
+        none = np.zeros(len(keys), np.int64)
+        yield _batch([none, none, keys, none, low, high, none + SETTLED, none + 1], _ANCHORS)
         left = first & (wholes > 1)
         columns[6], columns[7] = np.full(len(order), OPEN), np.minimum(n, 2)
         yield _batch([c[left] for c in columns], _ANCHORS)
@@ -405,7 +426,7 @@ def write_pieces(open_texts: DataFrame, folder: str) -> DataFrame:
         os.makedirs(folder, exist_ok=True)
         name, offset, rows = f"{folder}/{uuid.uuid4().hex}", 0, []
         with open(name, "wb") as file:
-            for batch in batches:
+            for batch in _slices(batches):
                 for row in batch.to_pylist():
                     data = np.frombuffer(row["text"].encode(), np.uint8)
                     anchors = sorted((a["cut"], a["low"], a["high"], a["times"]) for a in row["anchors"])
@@ -618,7 +639,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     )
 
     def cut(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for key, value, spans in zip(batch.column("class").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
                 data = value.as_buffer().to_pybytes()

@@ -35,7 +35,7 @@ from turnwise.llm.common import stored
 PER_CLASS = 3000
 MAX_FEATURES = 4096
 #: Least absolute log odds ratio of a kept feature, in standard errors.
-LEAST_Z = 4.5
+LEAST_Z = 4.0
 PENALTY = 1e-5
 STEPS = 400
 TRIMMED = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}<>*#$%&@/\\|=+~^`_-…“”„«»¿¡"

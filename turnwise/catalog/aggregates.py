@@ -273,7 +273,7 @@ def _(t):
 
 @query("agg14_mean_interval_bootstrap")
 def _(t):
-    return mean_ci_bootstrap(t.lineitem, ["l_returnflag"], "l_quantity", replicates=500, seed=42)
+    return mean_ci_bootstrap(t.lineitem, ["l_returnflag"], "l_quantity", replicates=1000, seed=42)
 
 
 @query(

@@ -15,11 +15,11 @@ from turnwise.sources.tables import read_csv, read_lexicon, read_responses, read
 
 @query(
     "src1_read_table",
-    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 25",
+    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
 )
 def _(t):
     schema = "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE"
-    return read_table(t.spark, f"{t.folder}/lineitem.parquet", schema).filter("l_quantity > 25")
+    return read_table(t.spark, f"{t.folder}/lineitem.parquet", schema)
 
 
 @query("src2_read_csv", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")

@@ -146,9 +146,9 @@ def _(t):
     return marks.select("analysis", "family", "measure", *rounded("value"), "rank")
 
 
-@query("srt4_first_rows")
+@query("srt4_first_rows", "SELECT * FROM conversations ORDER BY conv_id, turn, role, text LIMIT 5")
 def _(t):
-    return t.conversations.limit(5)
+    return t.conversations.orderBy("conv_id", "turn", "role", "text").limit(5)
 
 
 @query(

@@ -16,11 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.operators.aggregates import null_safe_join
 from turnwise.operators.ordered import SEGMENT, by_value, value_buckets
 from turnwise.session import cut_lineage
 
-SMALL = 10_000
-
 
 def _positions(n: int, dt: float) -> np.ndarray:
     grid = np.arange(dt, 1, dt)
@@ -50,72 +49,21 @@ def violation(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def aso(
     df: DataFrame, by: Sequence[str], first: str, second: str, seed: int = 0, confidence: float = 0.95,
-    dt: float = 0.005, replicates: int = 1000, small: int = SMALL,
+    dt: float = 0.005, replicates: int = 1000,
 ) -> DataFrame:
-    """Score per analysis for the columns ``first`` and ``second``."""
+    """Score per analysis for the columns ``first`` and ``second``. An analysis without a value on
+    either side is left out; null keys are a key."""
     by = list(by)
     long = df.select(*by, F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"))
     values = long.unpivot(by, ["a", "b"], "_side", "_v").filter(F.col("_v").isNotNull())
     histogram = cut_lineage(
         values.groupBy(*by, "_side", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
-    sizes = histogram.groupBy(*by, "_side").agg(
-        F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_values")
-    )
-    widest = sizes.groupBy(*by).agg(F.max("_values").alias("_widest"))
-    if (widest.agg(F.max("_widest")).first()[0] or 0) <= small:
-        return _aso_packed(histogram, by, seed, confidence, dt, replicates)
-    compact = histogram.join(widest.filter(F.col("_widest") <= small), by, "left_semi")
-    wide = histogram.join(widest.filter(F.col("_widest") > small), by, "left_semi")
-    return _aso_packed(compact, by, seed, confidence, dt, replicates).unionByName(
-        _aso_ranked(wide, by, seed, confidence, dt, replicates)
-    )
-
-
-def _result_schema(df: DataFrame, by: Sequence[str]) -> str:
-    fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
-    return ", ".join([*fields, "n_first BIGINT", "n_second BIGINT", "violation DOUBLE", "aso DOUBLE"])
-
+    return _ranked(histogram, by, seed, confidence, dt, replicates)
 
-def _bound(share, n_first, n_second, confidence):
-    """Upper confidence bound on the ratio from its bootstrap spread; share[0] is the sample's."""
-    scale = np.sqrt(n_first * n_second / (n_first + n_second))
-    spread = np.std(scale * (share[1:] - share[0]))
-    return float(np.clip(share[0] - spread / scale * NormalDist().inv_cdf(1 - confidence), 0, 1))
 
-
-def _aso_packed(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
-    """Groups with few distinct values: each is one row that holds its two histograms."""
-    side = lambda s: F.array_sort(
-        F.collect_list(F.when(F.col("_side") == s, F.struct("_v", "_c")))
-    )
-    packed = histogram.groupBy(*by).agg(side("a").alias("_a"), side("b").alias("_b"))
-    packed = packed.filter((F.size("_a") > 0) & (F.size("_b") > 0)).withColumn(
-        "_seed", F.xxhash64(F.lit(seed), *by)
-    )
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for _, row in pdf.iterrows():
-                quantiles, n = [], []
-                for i, column in enumerate(("_a", "_b")):
-                    value = np.array([cell["_v"] for cell in row[column]], float)
-                    upto = np.cumsum([cell["_c"] for cell in row[column]])
-                    ranks = draw_ranks(
-                        int(upto[-1]), dt, replicates, (int(row["_seed"]) + i) & 0xFFFFFFFFFFFFFFFF
-                    )
-                    quantiles.append(value[np.searchsorted(upto, ranks)])
-                    n.append(int(upto[-1]))
-                share = violation(*quantiles)
-                rows.append([*[row[k] for k in by], *n, float(share[0]), _bound(share, *n, confidence)])
-            yield pd.DataFrame(rows, columns=[*by, "n_first", "n_second", "violation", "aso"])
-
-    return packed.mapInPandas(score, _result_schema(histogram, by))
-
-
-def _aso_ranked(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
-    """Groups with many distinct values: ranks are looked up in ordered segments of the histogram."""
+def _ranked(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
+    """Ranks are looked up in ordered segments of the histogram."""
     keys = [*by, "_side"]
     bucketed = by_value(histogram, "_v", value_buckets(histogram, "_v"))
     earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
@@ -127,9 +75,9 @@ def _aso_ranked(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
     inside = (
         Window.partitionBy(*keys, SEGMENT).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     )
+    counted = bucketed.withColumn("_inside", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     placed = (
-        bucketed.withColumn("_inside", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-        .join(starts, [*keys, SEGMENT])
+        null_safe_join(counted, starts, [*keys, SEGMENT])
         .select(
             *keys, SEGMENT, (F.col("_start") + F.col("_inside") + 1).alias("_rank"),
             F.col("_v"), F.lit(None).cast("int").alias("_replicate"),
@@ -164,7 +112,7 @@ def _aso_ranked(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
         ranks, f"{fields}, _replicate INT, _point INT, _rank BIGINT"
     )
     found = F.filter("_starts", lambda s: s["_start"] < F.col("_rank"))
-    lookups = wanted.join(segments, keys).select(
+    lookups = null_safe_join(wanted, segments.drop("_n"), keys).select(
         *keys, F.element_at(found, -1)[SEGMENT].alias(SEGMENT), "_rank",
         F.lit(None).cast("double").alias("_v"), "_replicate", "_point",
     )
@@ -198,7 +146,8 @@ def _aso_ranked(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
     )
     z = NormalDist().inv_cdf(1 - confidence)
     score = F.col("violation") - F.col("_spread") * z
-    return sizes.join(spread, by).select(
+    sizes = sizes.filter("n_first IS NOT NULL AND n_second IS NOT NULL")
+    return null_safe_join(sizes, spread, by).select(
         *by, "n_first", "n_second", "violation",
         F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("aso"),
     )

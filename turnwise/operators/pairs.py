@@ -93,9 +93,10 @@ def pair_table(
         .agg(*[F.sum(m).alias(m) for m in ("_n", "_s1", "_s2", "_lean")])
     )
     n = F.col("_n")
+    exact = n.cast("decimal(18,0)")  # squares of counts pass the range of a long, and of exact doubles
     summed = totals.groupBy(*by, "kind").agg(
-        F.sum(n * n).alias("pairs"),
-        F.sum(n).alias("selves"),
+        F.sum(exact * exact).cast("decimal(38,0)").alias("pairs"),
+        F.sum(exact).cast("decimal(38,0)").alias("selves"),
         F.sum(2 * (F.col("_lean") - n * F.col("_s1"))).alias("abs_sum"),
         F.sum(2 * (n * F.col("_s2") - F.pow("_s1", 2))).alias("sq_sum"),
     )
@@ -114,25 +115,28 @@ def pair_table(
         .groupBy(*by, "cell")
         .agg(
             *[
-                F.sum(F.col(m) * F.col("weight")).alias(m)
-                for m in ("pairs", "selves", "abs_sum", "sq_sum")
-            ]
+                F.sum(F.col(m) * F.col("weight").cast("decimal(2,0)")).cast("decimal(38,0)").alias(m)
+                for m in ("pairs", "selves")
+            ],
+            *[F.sum(F.col(m) * F.col("weight")).alias(m) for m in ("abs_sum", "sq_sum")],
         )
     )
     if unordered:
         combined = combined.withColumns(
             {
-                "pairs": (F.col("pairs") - F.when(F.col("cell") == "same_group_same_topic", F.col("selves")).otherwise(0.0)) / 2,
+                "pairs": (
+                    (F.col("pairs") - F.when(F.col("cell") == "same_group_same_topic", F.col("selves")).otherwise(F.lit(0))) / 2
+                ).cast("decimal(38,0)"),
                 "abs_sum": F.col("abs_sum") / 2,
                 "sq_sum": F.col("sq_sum") / 2,
             }
         )
-    count = F.col("pairs")
+    count = F.col("pairs").cast("double")
     spread = F.col("sq_sum") - ratio(F.pow("abs_sum", 2), count)
     return combined.select(
         *by,
         "cell",
-        count.cast("bigint").alias("n"),
+        F.col("pairs").alias("n"),
         ratio(F.col("abs_sum"), count).alias("mean"),
         ratio(spread, count - 1).alias("var"),
         F.sqrt(F.greatest(ratio(spread, count - 1), F.lit(0.0))).alias("sd"),

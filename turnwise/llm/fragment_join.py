@@ -475,7 +475,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, fragmen
     """
     cells = count_cells(docs, size)
     described = stored(describe_sets(docs, size, percent, cells), "described")
-    roots = components(link_classes(docs, described, size, percent, cells, fragments))
+    links = stored(link_classes(docs, described, size, percent, cells, fragments), "links")
+    roots = components(links)
     rows = described.select("doc_id", "n_shingles", "class")
     rows = rows.join(roots, rows["class"] == roots["id"], "left").withColumn("_root", F.coalesce("root", "class"))
     rows = stored(rows.select("doc_id", "n_shingles", "class", "_root"), "rooted")

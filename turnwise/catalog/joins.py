@@ -161,7 +161,7 @@ def _(t):
              CASE WHEN a.topic = b.topic THEN 'same_topic' ELSE 'diff_topic' END AS cell,
              abs(a.x - b.x) AS d
       FROM long a JOIN long b ON a.demo = b.demo)
-    SELECT cell, count(*) AS n, round(avg(d), 5) AS mean, round(stddev_samp(d), 5) AS sd
+    SELECT cell, CAST(count(*) AS DECIMAL(38,0)) AS n, round(avg(d), 5) AS mean, round(stddev_samp(d), 5) AS sd
     FROM pairs GROUP BY 1""",
 )
 def _(t):

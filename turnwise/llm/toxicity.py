@@ -16,9 +16,7 @@ kinds of labels every severity is 0.
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -104,58 +102,48 @@ def fit_cumulative_link(
     return point[:n_columns], point[n_columns] + np.concatenate([[0.0], np.cumsum(gap)])
 
 
-def _without_copies(texts: list[str]) -> np.ndarray:
-    """Places of the texts whose three words of least hash are no earlier text's, so that a passage
-    copied many times does not count as that many texts that agree."""
-    seen, kept = set(), []
-    for place, text in enumerate(texts):
-        least = tuple(sorted(zlib.crc32(word.encode()) for word in set(text.split()))[:3])
-        if least not in seen:
-            seen.add(least)
-            kept.append(place)
-    return np.asarray(kept, np.int64)
+def _signature(text: str) -> str:
+    """The three words of least hash. A passage copied many times has them in common, so that it need
+    not count as that many texts that agree."""
+    return " ".join(map(str, sorted(zlib.crc32(word.encode()) for word in set(text.split()))[:3]))
 
 
-def fit_severity(texts: list[str], toxic: np.ndarray, weights: np.ndarray) -> SeverityModel:
-    """Fit on a sample with 0/1 labels. Toxic documents are grade 1, or 2 where more different
-    features tell that they are toxic than in the median toxic document."""
-    if not len(texts) or toxic.min() == toxic.max():
-        return SeverityModel()
-    single = _without_copies(texts)
-    texts, toxic, weights = [texts[i] for i in single], toxic[single], weights[single]
-    if toxic.min() == toxic.max():
-        return SeverityModel()
-    counted = [text_features(text) for text in texts]
-    held = [Counter(), Counter()]
-    for found, label in zip(counted, toxic.tolist()):
-        held[label].update(found)
-    n_toxic, n_clean = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    told = {}
-    for name in held[0].keys() | held[1].keys():
-        a, b = held[1][name], held[0][name]
-        odds = math.log((a + 0.5) / (n_toxic - a + 0.5)) - math.log((b + 0.5) / (n_clean - b + 0.5))
-        error = math.sqrt(1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (b + 0.5) + 1 / (n_clean - b + 0.5))
-        if abs(odds) / error >= LEAST_Z:
-            told[name] = odds / error
-    kept = sorted(told, key=lambda name: (-abs(told[name]), name))[:MAX_FEATURES]
-    place = {name: i for i, name in enumerate(kept)}
-    rows, columns, values, told_toxic = [], [], [], np.zeros(len(texts))
-    for row, found in enumerate(counted):
-        for name in found & place.keys():
-            rows.append(row)
-            columns.append(place[name])
-            values.append(1.0)
-            told_toxic[row] += told[name] > 0
-    grades = toxic + ((toxic == 1) & (told_toxic > np.median(told_toxic[toxic == 1])))
-    w, thresholds = fit_cumulative_link(
-        np.asarray(rows, np.int64), np.asarray(columns, np.int64), np.asarray(values), grades, weights,
-        len(kept), int(grades.max()) + 1,
+SAMPLED = "doc_id bigint, toxic int, signature string, features array<string>"
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            piece = batch.slice(at, 200)
+            texts = piece.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("doc_id"), piece.column("toxic"), pa.array(map(_signature, texts), pa.string()),
+                    pa.array([sorted(text_features(t)) for t in texts], pa.list_(pa.string())),
+                ],
+                names=["doc_id", "toxic", "signature", "features"],
+            )
+
+
+def telling_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, float]]:
+    """At most MAX_FEATURES features and their log odds ratios in standard errors, the largest first."""
+    counts = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     )
-    return SeverityModel(dict(zip(kept, w.tolist())), thresholds.tolist())
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    c, d = n_toxic - F.col("a") + 0.5, n_clean - F.col("b") + 0.5
+    z = (F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    told = counts.select("feature", z.alias("z")).filter(F.abs("z") >= LEAST_Z)
+    rows = told.orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES).collect()
+    return [(r["feature"], r["z"]) for r in rows]
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> SeverityModel:
-    """Draw the sample and fit. ``labels``: ``doc_id`` and ``toxic`` 0/1."""
+    """Draw the sample and fit. ``labels``: ``doc_id`` and ``toxic`` 0/1.
+
+    Toxic documents are grade 1, or 2 where more features tell that they are toxic than in the median
+    toxic document. The driver gets the chosen features of each document of the sample, no text.
+    """
     known = labels.filter("doc_id IS NOT NULL AND toxic >= 0").groupBy("doc_id").agg(
         F.least(F.max("toxic"), F.lit(1)).cast("int").alias("toxic")
     )
@@ -166,13 +154,31 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         for label in (0, 1)
     ]
     sample = stored(parts[0].unionByName(parts[1]), "sample")
-    texts = docs.select("doc_id", "text").filter("text <> ''").join(sample, "doc_id")
-    texts = texts.groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.*")
-    found = texts.orderBy("doc_id").toPandas()
-    toxic = found["toxic"].to_numpy(np.int64)
-    drawn = np.maximum(np.bincount(toxic, minlength=2), 1)
-    weights = np.array([totals.get(0, 0), totals.get(1, 0)])[toxic] / drawn[toxic]
-    return fit_severity(found["text"].tolist(), toxic, weights)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text <> ''")
+    texts = texts.join(sample, "doc_id").select("doc_id", "text", "toxic")
+    described = stored(texts.mapInArrow(_describe, SAMPLED), "described")
+    first = described.groupBy("signature").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select("signature", "r.*")
+    single = described.join(first, ["signature", "doc_id", "toxic"]).dropDuplicates(["signature"])
+    single = stored(single, "single")
+    drawn = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(drawn) < 2:
+        return SeverityModel()
+    kept = telling_features(single, drawn[1], drawn[0])
+    place = {name: i for i, (name, _) in enumerate(kept)}
+    chosen = F.array_intersect("features", F.lit(list(place)) if place else F.array().cast("array<string>"))
+    rows = single.orderBy("doc_id").select("toxic", chosen.alias("features")).collect()  # the bounded sample
+    toxic = np.array([r["toxic"] for r in rows], np.int64)
+    columns = [np.array([place[f] for f in r["features"]], np.int64) for r in rows]
+    tells = np.array([z > 0 for _, z in kept], bool)
+    told = np.array([tells[c].sum() for c in columns])
+    grades = toxic + ((toxic == 1) & (told > np.median(told[toxic == 1])))
+    weights = np.array([totals[label] / drawn[label] for label in (0, 1)])[toxic]
+    flat = np.concatenate(columns)
+    w, thresholds = fit_cumulative_link(
+        np.repeat(np.arange(len(rows)), [len(c) for c in columns]), flat, np.ones(len(flat)), grades, weights,
+        len(kept), int(grades.max()) + 1,
+    )
+    return SeverityModel(dict(zip(place, w.tolist())), thresholds.tolist())
 
 
 def score_texts(texts: pa.Array, weights: dict[str, float]) -> np.ndarray:

@@ -139,6 +139,23 @@ def test_fragment_join_of_odd_texts(spark, odd_docs, size, percent):
     assert got == brute_components(texts_of(odd_docs), size, percent)
 
 
+@pytest.mark.parametrize("size,percent,least", [(3, 90, 9), (5, 80, 4), (2, 50, 1), (3, 100, 9)])
+def test_fragment_join_of_sets_with_one_ngram_more(spark, size, percent, least):
+    """A set links with one that has all its n-grams and one more, from the least size on that allows it."""
+    texts = []
+    for n in range(1, least + 3):
+        words = [f"n{n}w{k}" for k in range(n + size - 1)]
+        for more in ([], ["before"], None):
+            copy = [*words, "after"] if more is None else [*more, *words]
+            texts.append((len(texts), " ".join(copy)))
+        # The same sets from long texts that repeat themselves.
+        texts.append((len(texts), " ".join(f"r{n}w{k % n}" for k in range(50 * n + size))))
+        texts.append((len(texts), texts[-1][1] + " last"))
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_documents(docs, size, percent).collect())
+    assert got == brute_components(texts, size, percent)
+
+
 def test_fragment_join_of_near_copies_in_long_lists(spark, no_docs, monkeypatch):
     """Groups of near copies of which only some pairs link, in posting lists and tiles of several parts."""
     monkeypatch.setattr(fragment_join, "LIST_ROWS", 8)

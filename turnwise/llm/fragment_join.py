@@ -125,11 +125,11 @@ def describe_sets(docs: DataFrame, size: int, percent: int, cells: np.ndarray) -
                 n.append(len(grams))
                 classes.append(xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None)
                 size_of = np.int64(len(grams))
-                if len(grams) and spare(size_of, percent):
+                if len(grams) and 100 * len(grams) >= percent * (len(grams) + 1):
                     order = np.lexsort((grams, cells[_cells(grams)]))
                     order = order[: spare(size_of, percent) + needed(size_of, percent)]
                     prefixes.append(grams[order].view(np.int64))
-                else:  # too small to be similar without being equal
+                else:  # too small to link even with a set of one n-gram more
                     prefixes.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],

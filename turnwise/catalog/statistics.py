@@ -14,7 +14,7 @@ from turnwise.operators.classification import (
     summary_scores,
 )
 from turnwise.operators.dominance import aso
-from turnwise.operators.filters import known
+from turnwise.operators.filters import known, recode
 from turnwise.operators.pairs import pair_table
 from turnwise.operators.reshape import unpivot_demographics
 from turnwise.operators.tests_of_difference import (
@@ -383,27 +383,34 @@ def _(t):
     return with_t_tail(ttest_from_stats(_pair_cells(t)))
 
 
+# Words for the statuses that no other word of a response holds.
+_STATUS_WORDS = {"F": "FINISHED", "O": "ONGOING", "P": "PENDING"}
+
+
 # Responses about the orders: two thirds name the right segment and status, the rest another one.
 def _responses(t):
     off = F.col("conversation_id") % 3 == 0
     segment = F.when(off, "BUILDING").otherwise(F.col("segment"))
     status = F.when(off, F.when(F.col("status") == "F", "O").otherwise("F")).otherwise(F.col("status"))
+    status = recode(status, _STATUS_WORDS)
     answer = F.to_json(F.struct(segment.alias("Segment"), status.alias("Order status")))
+    sentence = F.concat(F.lit("It is "), segment, F.lit(", and the order is "), status)
     return t.outcomes.select(
         F.concat(F.lit("request-"), "conversation_id").alias("custom_id"),
-        F.when(F.col("conversation_id") % 5 == 0, F.concat(F.lit("It is "), segment)).otherwise(answer).alias("content"),
+        F.when(F.col("conversation_id") % 5 == 0, sentence).otherwise(answer).alias("content"),
     )
 
 
 def _inferred(t):
     labels = {
         "segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"],
-        "status": ["F", "O", "P"],
+        "status": list(_STATUS_WORDS.values()),
     }
-    # Texts that are no JSON hold letters of every status; only their segment is read.
     keys = {"segment": "Segment", "status": "Order status"}
-    rows = inferred_labels(_responses(t), t.outcomes, labels=labels, json_keys=keys, recodes={}, markers=["HOUSEHOLD"])
-    return rows.filter((F.col("demo") == "segment") | (F.col("conversation_id") % 5 != 0))
+    recodes = {"status": _STATUS_WORDS}
+    rows = inferred_labels(_responses(t), t.outcomes, labels=labels, json_keys=keys, recodes=recodes, markers=["HOUSEHOLD"])
+    letters = {word: letter for letter, word in _STATUS_WORDS.items()}
+    return rows.withColumns({c: recode(F.col(c), letters) for c in ("true", "predicted")})
 
 
 _INFERRED = WITH_OUT + """, r AS (SELECT conversation_id, segment, status, conversation_id % 3 = 0 AS off FROM out),
@@ -417,7 +424,9 @@ _INFERRED = WITH_OUT + """, r AS (SELECT conversation_id, segment, status, conve
     _INFERRED + """ SELECT demo, a AS "true", p AS predicted, count(*) AS n FROM c GROUP BY 1, 2, 3""",
 )
 def _(t):
-    return confusion_counts(_inferred(t), ["demo"], "true", "predicted")
+    # Its SQL leaves out the status of each fifth conversation.
+    rows = _inferred(t).filter((F.col("demo") == "segment") | (F.col("conversation_id") % 5 != 0))
+    return confusion_counts(rows, ["demo"], "true", "predicted")
 
 
 @query("st8_inference_scores")

@@ -78,6 +78,32 @@ def test_secrets_of_many_owners_are_copied(spark):
     assert got[1].n_copied == 2 and "bearer" not in got[1].spans and got[1].n_assign == 1  # four owners
 
 
+def key_block(body, kind="RSA "):
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+
+
+def test_private_keys_are_told_apart_by_their_body(spark):
+    line = lambda c: c * 64 + "\n" + c.upper() * 20 + "=="
+    own = [f"see {key_block(line(c))} end" for c in "abcd"]
+    copied = [f"{'x' * k} {key_block(line('z').replace(chr(10), end))}" for k, end in enumerate(["\n", "\r\n", "\\n"])]
+    fields = key_block("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + line("q"))
+    cut = f"-----BEGIN PRIVATE KEY-----\n{line('e')[:80]}"
+    two = key_block(line("m"), "") + "\n" + key_block(line("n"), "EC ")
+    bare = "-----BEGIN PRIVATE KEY----- is a header"
+    long = key_block("\n".join("k" * 64 for _ in range(3000)) + "-k" * 50_000)
+    texts = [*own, *copied, fields, cut, two, bare, long]
+    docs = spark.createDataFrame([(i, t, f"o{i}") for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, source STRING")
+    got = {r.doc_id: r for r in report(scan_secrets(docs, "doc_id", "source")).collect()}
+    spans = lambda i: [s for s in got[i].spans.split(",") if s.startswith("private")]
+    for i, text in enumerate(own):
+        assert spans(i) == [f"private:4:{len(text) - 4}"]  # four owners of the header, one of the key
+    assert [spans(i) for i in (4, 5, 6)] == [[], [], []] and got[4].n_copied == 1  # three owners of one key
+    assert spans(7) == [f"private:0:{len(fields)}"] and spans(8) == [f"private:0:{len(cut)}"]
+    middle = two.index("\n-----BEGIN")
+    assert spans(9) == [f"private:0:{middle}", f"private:{middle + 1}:{len(two)}"]
+    assert spans(10) == ["private:0:27"] and spans(11) == [f"private:0:{len(long)}"]
+
+
 # --- decontamination ---------------------------------------------------------------------------------
 
 

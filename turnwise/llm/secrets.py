@@ -3,7 +3,7 @@
 Candidates are found in every whole text. Their values' hashes are counted over the corpus by
 distinct repository and owner: a value that many owners hold is a copied example, one that few owners
 hold looks live. Base kinds are always reported; the method adds spans of further kinds (bearer
-tokens, signed web tokens, private key blocks) where their value looks live.
+tokens, signed web tokens, private key blocks by their body) where their value looks live.
 
 Only DataFrame functions are used. A row's place in a text is the sum of the lengths of the pieces
 and matches before it, in code points. Texts are read once; only candidates are shuffled, and counts
@@ -33,15 +33,31 @@ KINDS = [
     ("private", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 0, 0),
 ]
 BASE = 3
+_PRIVATE = "PRIVATE\\x20KEY-----"
+#: A private key block with its body as the group: all up to the END line, or where that is missing the
+#: header fields and base64 lines that follow. KINDS has the header alone, as the SQL takes it.
+PRIVATE_BLOCK = (
+    rf"-----BEGIN\x20[A-Z\x20]*{_PRIVATE}"
+    rf"([^-]*+(?:-(?!----)[^-]*+)*+(?=-----END\x20[A-Z\x20]*{_PRIVATE})"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++"
+    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{1,15}+(?:={1,2}|(?=\s*+\z)))?+)?+)"
+    rf"(?:-----END\x20[A-Z\x20]*{_PRIVATE})?"
+)
 #: A value that more owners than this hold is a copied example.
 LIVE_OWNERS = 2
 
 
 def _matches(text: Column, rank: int) -> Column:
     """Leftmost non-overlapping matches of one kind: struct(start, rank, end, value)."""
-    _, pattern, group, least = KINDS[rank]
+    kind, pattern, group, least = KINDS[rank]
+    if kind == "private":
+        pattern, group = PRIVATE_BLOCK, 1
     wholes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = wholes if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if kind == "private":
+        # A key is the same however its lines are broken; a header without a body is its own value.
+        bodies = F.transform(values, lambda body: F.regexp_replace(body, r"\s|\\[nr]", ""))
+        values = F.zip_with(wholes, bodies, lambda whole, body: F.when(body == "", whole).otherwise(body))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     triples = F.arrays_zip(gaps.alias("gap"), wholes.alias("whole"), values.alias("value"))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")

@@ -106,6 +106,14 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {("a", "x"): 10, ("a", "y"): 390, ("b", "x"): 0, ("b", "y"): 0}
 
 
+def test_weights_of_zero_below_the_top_are_no_capacity(spark):
+    leaves = spark.createDataFrame([("a", "x", 1000), ("a", "y", 10), ("b", "x", 1000)], "domain STRING, lang STRING, capacity BIGINT")
+    path = F.concat("domain", "lang")
+    for zero in (F.when(path == "ax", 0).otherwise(1), F.when(path != "ax", 1), F.when(path == "ax", -2).otherwise(1)):
+        rows = allocate(leaves, LEVELS, {"domain": F.lit(1), "lang": zero}, F.lit(400)).collect()
+        assert {(r.domain, r.lang): int(r.tokens) for r in rows} == {("a", "x"): 0, ("a", "y"): 10, ("b", "x"): 390}
+
+
 def test_mix_takes_epochs_and_a_prefix(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(i, "a b c", "en" if i % 4 else "de", None) for i in range(400)], "doc_id BIGINT, text STRING, lang STRING, domain STRING")
     weights = {"domain": F.lit(1), "lang": F.lit(1)}

@@ -11,7 +11,8 @@ ranges of the order's hash, and only the one range in which the budget ends is o
 with a third of all rows is no task of its own.
 
 Null path columns count as the empty name, null texts have no tokens. Rows with the same document id
-are read at the same place of an epoch. A weight of null or below zero counts as 0 and gets nothing.
+are read at the same place of an epoch. A weight of null or below zero counts as 0 and gets nothing; what
+lies below it is no capacity of the nodes above.
 """
 
 from __future__ import annotations
@@ -42,10 +43,15 @@ def allocate(leaves: DataFrame, levels: list[str], weights: Mapping[str, Column]
     fills are the first ones. Shares are rounded down.
     """
     given = leaves.agg(_big(budget).alias("given"))
+    weight_of = {c: _big(F.greatest(F.coalesce(weights[c], F.lit(0)), F.lit(0))) for c in levels}
     for depth, level in enumerate(levels):
         path, parents = levels[: depth + 1], levels[:depth]
-        nodes = leaves.groupBy(*path).agg(_big(F.sum("capacity")).alias("capacity"))
-        nodes = nodes.withColumn("weight", _big(F.greatest(F.coalesce(weights[level], F.lit(0)), F.lit(0))))
+        usable = F.lit(True)
+        for below in levels[depth + 1 :]:
+            usable = usable & (weight_of[below] > 0)
+        capacity = F.when(usable, F.col("capacity")).otherwise(0)
+        nodes = leaves.groupBy(*path).agg(_big(F.sum(capacity)).alias("capacity"))
+        nodes = nodes.withColumn("weight", weight_of[level])
         nodes = nodes.join(given, parents) if parents else nodes.withColumn("given", given.scalar())
         ratio = F.when(F.col("weight") > 0, F.col("capacity").cast("double") / F.col("weight").cast("double"))
         family = Window.partitionBy(*(parents or [F.lit(0)]))

@@ -26,12 +26,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of documents that share 0.8 of their five-word
-    shingles. Rows with the same id and text, or no id, are one document; those without words stay."""
-    found = similar_documents(docs.select("doc_id", "text"), size=5, percent=80)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    shingles. Rows with the same id and text are one document; one of a group's texts with its smallest id,
+    or without any id, stays; those without words all stay."""
+    text_of = F.xxhash64("text")
+    found = similar_documents(docs.select("doc_id", "text", text_of.alias("_of")), size=5, percent=80, carried=["_of"])
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    empty = F.when(F.col("root").isNull(), F.col("_of"))
+    kept = kept.groupBy(F.col("doc_id").alias("_kept"), "root", empty.alias("_empty")).agg(F.min("_of").alias("_of"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (text_of == F.col("_of"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

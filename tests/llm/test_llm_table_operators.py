@@ -129,6 +129,18 @@ def test_mix_takes_epochs_and_a_prefix(spark, odd_docs, no_docs):
     assert mix(no_docs.withColumn("domain", F.lit("d")), LEVELS, weights).count() == 0
 
 
+def test_copies_are_judged_by_id_and_text(spark, no_docs):
+    """A text whose id also has another text is dropped or kept for its own sake."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (6, b + " end"), (None, a), (None, "alone " * 3), (7, ""), (7, None), (8, "c d"), (8, "e f")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = texts_of(corpus_pipeline.near_duplicates(spark, docs, ""))
+    assert sorted(got, key=repr) == sorted([(3, a), (5, b), (None, "alone " * 3), (7, ""), (7, None), *rows[8:]], key=repr)
+    copies = spark.createDataFrame([(1, a), (1, a + " end"), (1, a), (2, a)], "doc_id BIGINT, text STRING")
+    assert len(texts_of(corpus_pipeline.near_duplicates(spark, copies, ""))) == 1
+    assert corpus_pipeline.near_duplicates(spark, no_docs, "").count() == 0
+
+
 def test_thresholds_share_weights():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 2))

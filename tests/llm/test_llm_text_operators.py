@@ -245,6 +245,17 @@ def test_repeated_bytes(spark, odd_docs, no_docs):
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
 
 
+def test_repeated_bytes_of_an_id_with_two_texts(spark):
+    rng = np.random.default_rng(8)
+    random = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    shared = random(450)
+    a, b = random(900), random(200) + shared + random(150) + shared
+    texts = [(3, a), (5, a), (5, b), (6, random(100) + b[300:900]), (7, random(700))]
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_bytes(docs).collect())
+    assert got == brute_removed(texts)
+
+
 # --- language model ----------------------------------------------------------------------------------
 
 

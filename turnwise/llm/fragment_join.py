@@ -19,7 +19,7 @@ set and links with nothing. Repeated rows and rows with the same id are in the c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +113,10 @@ def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def describe_sets(docs: DataFrame, size: int, percent: int, cells: np.ndarray) -> DataFrame:
+def describe_sets(docs: DataFrame, size: int, percent: int, cells: np.ndarray, carried: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``class`` (of the set; null where empty), ``prefix``: the rarest
-    n-grams in order, as many as any linked pair must share ``needed`` of."""
-    schema = "doc_id bigint, n_shingles bigint, class bigint, prefix array<bigint>"
+    n-grams in order, as many as any linked pair must share ``needed`` of; and the bigints ``carried``."""
+    schema = ", ".join(["doc_id bigint, n_shingles bigint, class bigint, prefix array<bigint>", *(f"{c} bigint" for c in carried)])
 
     def describe(batches):
         for batch in _slices(batches):
@@ -132,11 +132,11 @@ def describe_sets(docs: DataFrame, size: int, percent: int, cells: np.ndarray) -
                 else:  # too small to link even with a set of one n-gram more
                     prefixes.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class", "prefix"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *(batch.column(c) for c in carried)],
+                names=["doc_id", "n_shingles", "class", "prefix", *carried],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(describe, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carried).mapInArrow(describe, schema)
 
 
 PAIRS = "a bigint, n bigint, others array<bigint>, sizes array<bigint>, common array<bigint>"
@@ -467,19 +467,23 @@ def _tiles(pairs: DataFrame, sides: DataFrame, spark) -> DataFrame:
     )
 
 
-def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, fragments: int = FRAGMENTS) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class`` and ``component_id`` of each row of ``docs``.
+def similar_documents(
+    docs: DataFrame, size: int = 5, percent: int = 80, fragments: int = FRAGMENTS, carried: Sequence[str] = ()
+) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``class``, ``component_id`` and ``root`` of each row of ``docs``, and its
+    bigint columns ``carried``.
 
     Two documents link when ``100 * intersection >= percent * union``; the component is the smallest
-    document id reachable by links.
+    document id reachable by links. ``root`` is the component's own key, null for an empty set.
     """
     cells = count_cells(docs, size)
-    described = stored(describe_sets(docs, size, percent, cells), "described")
+    described = stored(describe_sets(docs, size, percent, cells, carried), "described")
     links = stored(link_classes(docs, described, size, percent, cells, fragments), "links")
     roots = components(links)
-    rows = described.select("doc_id", "n_shingles", "class")
+    rows = described.select("doc_id", "n_shingles", "class", *carried)
     rows = rows.join(roots, rows["class"] == roots["id"], "left").withColumn("_root", F.coalesce("root", "class"))
-    rows = stored(rows.select("doc_id", "n_shingles", "class", "_root"), "rooted")
+    rows = stored(rows.select("doc_id", "n_shingles", "class", "_root", *carried), "rooted")
     least = rows.filter("_root IS NOT NULL").groupBy("_root").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(least, "_root", "left")
-    return rows.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.coalesce("component_id", "doc_id").alias("component_id")
+    return rows.select("doc_id", "n_shingles", "class", component, F.col("_root").alias("root"), *carried)

@@ -617,13 +617,14 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     )
     rows = stored(rows, "documents")
     copies = stored(rows.groupBy("class").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "copies")
-    # One text of each class goes on; the ids of the others are few beside the texts.
+    # One text of each class goes on; the ids of the others are few beside the texts. An id may have other texts too.
     others = stored(
-        rows.join(copies.filter("n > 1 and first IS NOT NULL"), "class").filter("NOT doc_id <=> first").select(F.col("doc_id").alias("_id")).distinct(),
+        rows.join(copies.filter("n > 1 and first IS NOT NULL"), "class").filter("NOT doc_id <=> first").select(F.col("doc_id").alias("_id"), F.col("class").alias("_class")).distinct(),
         "others",
     )
     texts = docs.select("doc_id", F.xxhash64(text).alias("class"), text.alias("text")).filter(F.octet_length("text") >= WINDOW)
-    texts = texts.join(others, F.col("doc_id") == F.col("_id"), "left_anti").select("class", "text")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("class") == F.col("_class"))
+    texts = texts.join(others, same, "left_anti").select("class", "text")
     anchors = stored(find_anchors(texts), "anchors")
     listed = anchors.groupBy("class").agg(F.collect_list(F.struct("cut", "low", "high", "kind", "times")).alias("anchors"))
     held = stored(texts.join(listed, "class").dropDuplicates(["class"]), "held")

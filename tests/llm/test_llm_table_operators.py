@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -175,6 +176,35 @@ def test_severity(spark, odd_docs, no_docs):
     assert not any(r.toxic for r in score_severity(odd_docs, nothing).collect())
 
 
+def test_texts_of_one_vocabulary_and_both_labels_are_no_copies(spark):
+    """All share the words of least hash, and each toxic text has a clean one of smaller id beside it."""
+    rng = np.random.default_rng(6)
+    words = sorted((f"plain{i}" for i in range(400)), key=lambda w: zlib.crc32(w.encode()))
+    docs = [(i, " ".join([*words[:5], *rng.choice(words[5:], 40), *(["vileword"] if i % 2 else [])])) for i in range(400)]
+    docs += [(1000 + i, text) for i, text in docs[1:100:2]]
+    labels = [(i, i % 2) for i in range(400)] + [(1000 + i, 0) for i, _ in docs[1:100:2]]
+    frame = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    model = fit_on_labels(frame, spark.createDataFrame(labels, "doc_id BIGINT, toxic INT"))
+    got = {r.doc_id: r.toxic for r in score_severity(frame, model).collect()}
+    assert all(got[i] == bool(i % 2) for i in range(400))
+
+
+def test_grades_of_the_labels_are_kept(spark):
+    rng = np.random.default_rng(7)
+    plain, vile = [f"plain{i}" for i in range(300)], [f"vile{i}" for i in range(8)]
+    docs, labels = [], []
+    for i in range(800):
+        grade = (0, 1, 2, 4)[i % 4]
+        docs.append((i, " ".join([*rng.choice(plain, 30), *rng.choice(vile, (0, 2, 4, 8)[i % 4], replace=False)])))
+        labels.append((i, grade))
+    frame = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    model = fit_on_labels(frame, spark.createDataFrame(labels, "doc_id BIGINT, toxic INT"))
+    assert len(model.thresholds) == 4
+    got = {r.doc_id: r.severity for r in score_severity(frame, model).collect()}
+    means = [np.mean([got[i] for i in range(k, 800, 4)]) for k in range(4)]
+    assert means == sorted(means) and means[0] < 0.5 and means[3] > 3
+
+
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

@@ -5,8 +5,8 @@ The grades 0 < 1 < ... of a text share one weight for each sparse feature across
 probabilities. Features are the words of a text and their first four and five letters, each counted; those are kept whose presence tells toxic from
 clean documents in the sample.
 
-The model is fitted on a bounded sample of labelled rows: ``PER_CLASS`` documents of each label, the
-first by a hash of their id, weighted to the labels' true shares. Scores cover every row and its whole
+The model is fitted on a bounded sample of labelled rows: ``PER_CLASS`` documents of each grade, the
+first by a hash of their id, weighted to the grades' true shares. Scores cover every row and its whole
 text; a worker sees each distinct word of a batch once.
 
 Labels that are null or negative and labelled documents without text are left out of the sample, and
@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ MAX_FEATURES = 4096
 LEAST_Z = 4.0
 PENALTY = 1e-5
 STEPS = 400
+#: Least word hashes by which copies in the sample are told.
+SKETCH = 32
 TRIMMED = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}<>*#$%&@/\\|=+~^`_-…“”„«»¿¡"
 SEPARATORS = " \n\t\r\x0b\x0c"
 
@@ -103,12 +106,12 @@ def fit_cumulative_link(
 
 
 def _signature(text: str) -> str:
-    """The three words of least hash. A passage copied many times has them in common, so that it need
+    """The SKETCH words of least hash. A passage copied many times has them in common, so that it need
     not count as that many texts that agree."""
-    return " ".join(map(str, sorted(zlib.crc32(word.encode()) for word in set(text.split()))[:3]))
+    return " ".join(map(str, sorted(zlib.crc32(word.encode()) for word in set(text.split()))[:SKETCH]))
 
 
-SAMPLED = "doc_id bigint, toxic int, signature string, features array<string>"
+SAMPLED = "doc_id bigint, grade int, signature string, features array<string>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +121,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = piece.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column("doc_id"), piece.column("toxic"), pa.array(map(_signature, texts), pa.string()),
+                    piece.column("doc_id"), piece.column("grade"), pa.array(map(_signature, texts), pa.string()),
                     pa.array([sorted(text_features(t)) for t in texts], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "toxic", "signature", "features"],
+                names=["doc_id", "grade", "signature", "features"],
             )
 
 
@@ -139,46 +142,51 @@ def telling_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tupl
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> SeverityModel:
-    """Draw the sample and fit. ``labels``: ``doc_id`` and ``toxic`` 0/1.
+    """Draw the sample and fit. ``labels``: ``doc_id`` and ``toxic``, 0/1 or a grade.
 
-    Toxic documents are grade 1, or 2 where more features tell that they are toxic than in the median
-    toxic document. The driver gets the chosen features of each document of the sample, no text.
+    Without grades above 1, toxic documents are grade 1, or 2 where more features tell that they are toxic
+    than in the median toxic document. Copies count once for each grade they have. The driver gets the chosen features of each document of the sample, no text.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic >= 0").groupBy("doc_id").agg(
-        F.least(F.max("toxic"), F.lit(1)).cast("int").alias("toxic")
+        F.max("toxic").cast("int").alias("grade")
     )
     known = stored(known, "labels")
-    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    totals = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    if 0 not in totals or len(totals) < 2:
+        return SeverityModel()
     parts = [
-        known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        for label in (0, 1)
+        known.filter(F.col("grade") == grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        for grade in sorted(totals)
     ]
-    sample = stored(parts[0].unionByName(parts[1]), "sample")
+    sample = stored(reduce(DataFrame.unionByName, parts), "sample")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text <> ''")
-    texts = texts.join(sample, "doc_id").select("doc_id", "text", "toxic")
+    texts = texts.join(sample, "doc_id").select("doc_id", "text", "grade")
     described = stored(texts.mapInArrow(_describe, SAMPLED), "described")
-    first = described.groupBy("signature").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select("signature", "r.*")
-    single = described.join(first, ["signature", "doc_id", "toxic"]).dropDuplicates(["signature"])
-    single = stored(single, "single")
-    drawn = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(drawn) < 2:
+    first = described.groupBy("signature", "grade").agg(F.min("doc_id").alias("doc_id"))
+    single = described.join(first, ["signature", "grade", "doc_id"]).dropDuplicates(["signature", "grade"])
+    single = stored(single.withColumn("toxic", F.least("grade", F.lit(1))), "single")
+    drawn = {r["grade"]: r["n"] for r in single.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    if 0 not in drawn or len(drawn) < 2:
         return SeverityModel()
-    kept = telling_features(single, drawn[1], drawn[0])
+    kept = telling_features(single, sum(drawn.values()) - drawn[0], drawn[0])
     place = {name: i for i, (name, _) in enumerate(kept)}
     chosen = F.array_intersect("features", F.lit(list(place)) if place else F.array().cast("array<string>"))
-    rows = single.orderBy("doc_id").select("toxic", chosen.alias("features")).collect()  # the bounded sample
-    toxic = np.array([r["toxic"] for r in rows], np.int64)
+    rows = single.orderBy("doc_id").select("grade", chosen.alias("features")).collect()  # the bounded sample
+    levels, grades = np.unique([r["grade"] for r in rows], return_inverse=True)
+    weights = np.array([totals[grade] / drawn[grade] for grade in levels.tolist()])[grades]
     columns = [np.array([place[f] for f in r["features"]], np.int64) for r in rows]
-    tells = np.array([z > 0 for _, z in kept], bool)
-    told = np.array([tells[c].sum() for c in columns])
-    grades = toxic + ((toxic == 1) & (told > np.median(told[toxic == 1])))
-    weights = np.array([totals[label] / drawn[label] for label in (0, 1)])[toxic]
+    if levels.tolist() == [0, 1]:
+        tells = np.array([z > 0 for _, z in kept], bool)
+        told = np.array([tells[c].sum() for c in columns])
+        grades = grades + ((grades == 1) & (told > np.median(told[grades == 1])))
+        levels = np.arange(grades.max() + 1)
     flat = np.concatenate(columns)
     w, thresholds = fit_cumulative_link(
         np.repeat(np.arange(len(rows)), [len(c) for c in columns]), flat, np.ones(len(flat)), grades, weights,
         len(kept), int(grades.max()) + 1,
     )
-    return SeverityModel(dict(zip(place, w.tolist())), thresholds.tolist())
+    # A grade that no document has lies as high as the next one.
+    return SeverityModel(dict(zip(place, w.tolist())), np.repeat(thresholds, np.diff(levels)).tolist())
 
 
 def score_texts(texts: pa.Array, weights: dict[str, float]) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import table
+from turnwise.llm.common import UPPER, WORD, table
 from turnwise.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,3 +296,142 @@ def op7(spark, folder):
     from turnwise.llm.suffix_dedup import repeated_bytes
 
     return repeated_bytes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def _personal_sql() -> str:
+    from turnwise.llm import personal_data as own
+
+    def match_sql(kind: str) -> str:
+        """Proposals of one kind, without what RE2 has no word for and does not need."""
+        pattern = own.PATTERNS[kind].replace("(?<![0-9])", "").replace("++", "+")
+        return (f"[{own.LOCAL}]+" if kind == "email" else "") + pattern
+
+    near = lambda words: "'" + own.whole_words(words) + "'"
+    digits = "replace(replace(m, ' ', ''), '-', '')"
+    luhn = (
+        f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1"
+        f" THEN reverse({digits})[i]::INT ELSE (2 * reverse({digits})[i]::INT) // 10 + (2 * reverse({digits})[i]::INT) % 10 END)) % 10 = 0"
+    )
+    lengths = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in own.IBAN_LENGTHS.items()) + "}"
+    account = "replace(substr(text, s + 1, e - s), ' ', '')"
+    mod_97 = (
+        f"list_reduce(list_concat([0], list_transform(string_split(substr({account}, 5) || substr({account}, 1, 4), ''),"
+        " lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)),"
+        " lambda a, x: (CASE WHEN x > 9 THEN a * 100 + x ELSE a * 10 + x END) % 97) = 1"
+    )
+    outside = lambda inside: (
+        f"NOT regexp_matches(CASE WHEN s > 0 THEN substr(text, s, 1) ELSE '' END, '[{inside}]')"
+        f" AND NOT regexp_matches(substr(text, e + 1, 1), '[{inside}]')"
+    )
+    checks = {
+        "email": "true", "ip": f"regexp_full_match(m, '{own.ADDRESS}')",
+        "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}",
+        "phone": "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15",
+        "iban": f"e <= s + length(m) AND {outside('0-9A-Za-z')} AND {mod_97}",
+        "pan": f"{outside('0-9')} AND {luhn}",
+        "ssn": f"{outside('0-9A-Za-z-')} AND NOT regexp_full_match(m, '{own.UNUSED_SSN}')",
+        "national": outside("0-9+"),
+    }
+    finds = []
+    for rank, (kind, prior) in enumerate(own.KINDS.items()):
+        p = "'" + match_sql(kind) + "'"
+        end = "s + length(m)"
+        if kind == "iban":
+            length = f"{lengths}[substr(m, 1, 2)]"
+            end = f"s + {length} + CASE WHEN substr(m, 5, 1) = ' ' THEN ({length} - 1) // 4 ELSE 0 END"
+        finds.append(
+            f"""SELECT row, {rank} AS rank, s, e, '{kind}:' || s || ':' || e AS label,
+              {prior} + CASE WHEN regexp_matches(pre, {near(own.CONTEXT[kind])}) OR regexp_matches(post, {near(own.CONTEXT[kind])}) THEN {own.WEIGHT} ELSE 0 END
+                - CASE WHEN regexp_matches(pre, {near(own.DENIAL)}) OR regexp_matches(post, {near(own.DENIAL)}) THEN {own.WEIGHT} ELSE 0 END AS score
+            FROM (SELECT *, translate(substr(text, greatest(s - {own.NEAR}, 0) + 1, least(s, {own.NEAR})), '{UPPER}', '{UPPER.lower()}') AS pre,
+                    translate(substr(text, e + 1, {own.NEAR}), '{UPPER}', '{UPPER.lower()}') AS post
+                  FROM (SELECT *, {end} AS e
+                        FROM (SELECT row, text, wholes[i] AS m,
+                                (list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+                                 + coalesce(list_sum(list_transform(wholes[1:i - 1], lambda g: length(g))), 0))::BIGINT AS s
+                              FROM (SELECT row, text, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS wholes
+                                    FROM d WHERE regexp_matches(text, {p})), unnest(range(1, len(wholes) + 1)) AS t(i)))
+                  WHERE e IS NOT NULL AND {checks[kind]})"""
+        )
+    counts = ", ".join(f"count(*) FILTER (rank = {rank}) AS n_{kind}" for rank, kind in enumerate(own.NAMES[: own.BASE]))
+    names = [f"n_{kind}" for kind in own.NAMES[: own.BASE]]
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    c AS ({" UNION ALL ".join(finds)}),
+    kept AS (SELECT * FROM c WHERE rank < {own.BASE} OR (score >= {own.THRESHOLD} AND NOT EXISTS (
+      SELECT 1 FROM c b WHERE b.row = c.row AND b.rank < {own.BASE} AND b.s < c.e AND c.s < b.e))),
+    g AS (SELECT row, {counts}, string_agg(label, ',' ORDER BY s, rank) FILTER (rank < {own.BASE}) AS base,
+            string_agg(label, ',' ORDER BY s, rank) AS spans, string_agg(score::VARCHAR, ',' ORDER BY s, rank) AS scores
+          FROM kept GROUP BY row)
+    SELECT doc_id, {", ".join(f"coalesce({n}, 0) AS {n}" for n in names)}, sha256(coalesce(base, '')) AS base_sha256,
+      coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (row)"""
+
+
+@query("op11_personal_data", _personal_sql())
+def op11(spark, folder):
+    from turnwise.llm.personal_data import report, scan_personal
+
+    return report(scan_personal(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with a text that repeats its own words from some place on, for a tenth of all ids."""
+    key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seed = F.floor(key / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = seed % n
+        p = 1 + F.floor((n - a) / (3 + seed % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        copied = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i).cast("int")))
+        return F.array_join(F.when(n > 0, copied).otherwise(words), " ")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    # As the argument of a function the words are found once, not once for each place.
+    text = F.get(F.transform(F.array(words), planted), F.lit(0))
+    return docs.withColumn("text", F.when(key % 10 == 0, text).otherwise(F.col("text")))
+
+
+@query("op12_periodic_runs")
+def op12(spark, folder):
+    from turnwise.llm.periodic_runs import find_runs, report
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return report(find_runs(with_planted_periods(docs)))
+
+
+def _divergence_sql() -> str:
+    from turnwise.llm.source_divergence import MIN_DOCUMENTS, PARTS, TOP_TERMS
+
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS text FROM documents),
+    t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT row) >= {MIN_DOCUMENTS}),
+    v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    g AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    dense AS (SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c,
+        1 + ({PARTS}::HUGEINT * (coalesce(c, 0) + 1)) // (n + v)::HUGEINT AS p
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+    whole AS (SELECT lang, term, 1 + ({PARTS}::HUGEINT * (sum(c)::HUGEINT + 1)) // (n + v)::HUGEINT AS q
+      FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(c) AS n FROM c GROUP BY lang) USING (lang) GROUP BY lang, term, n, v),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+      FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    parts AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM dense JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+    WHERE part = 'pair' OR rank <= {TOP_TERMS}"""
+
+
+@query("op13_source_divergence", _divergence_sql())
+def op13(spark, folder):
+    from turnwise.llm.source_divergence import audit
+
+    return audit(table(spark, folder, "documents").select("text", "lang", "source"))

@@ -2,10 +2,10 @@
 
 1.  *Iceberg prefix refinement.* Terms are cut to their first 4 bytes, and the distinct documents of each
     (language, prefix) are counted. Prefixes below the threshold are discarded with all terms below them.
-    Prefixes shorter than the cut are complete terms with their exact count; the others grow to 8, 16, ...
+    Prefixes shorter than the cut are complete terms with their exact count; the others grow to 12, 36, ...
     bytes, until only complete terms are left. Rare terms so leave while they are still part of a
-    short prefix, and before any term is exchanged. A document's equal prefixes are neighbours in its row and count once, and
-    counts combine before each exchange, so a prefix that all documents hold is one row a task.
+    short prefix, and before any term is exchanged. A document's equal prefixes follow each other and count
+    once, and counts combine before each exchange, so a prefix that all documents hold is one row a task.
 2.  *Between levels* the kept prefixes are a bit table that grows with their number. It only saves work:
     each level counts again, so a prefix that passes by chance is discarded then.
 3.  *Occurrences* of kept terms are counted by (language, source, term). From them follow the shares of
@@ -19,18 +19,28 @@ without kept terms has pairs of value 0. Only the four named columns are read.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import UPPER, stored
+from turnwise.llm.common import stored
 
-BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A-Z in lower case, all that is no letter as a space; bytes from 128 on belong to letters.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes of two terms that are compared at once.
+HEAD = 40
+#: Bytes of text whose terms a worker hands over together.
+BATCH_BYTES = 1 << 22
 MIN_DOCUMENTS = 3
+#: Bytes of the first prefixes, and how much longer those of the next level are.
 FIRST_BYTES = 4
+GROWTH = 3
 #: Parts that a share is counted in.
 PARTS = 1_000_000_000
 #: Bits a prefix, and the largest table: beyond it more prefixes pass by chance, to be counted again.
@@ -44,17 +54,50 @@ STEP = 2048
 TOP_TERMS = 200
 
 
-def terms_of(text: Column) -> Column:
-    """All terms of a text in order, A-Z lower-cased, as strings that hold one character for each byte."""
-    words = F.split(F.translate(text, UPPER, UPPER.lower()), BREAK)
-    return F.array_sort(
-        F.transform(F.filter(words, lambda w: w != ""), lambda w: F.decode(w.cast("binary"), "ISO-8859-1"))
-    )
-
+def _common_prefixes(terms: list[bytes], firsts: list[int]) -> np.ndarray:
+    """How many bytes each term shares with the one before; -1 at the places in ``firsts``."""
+    shared = np.full(len(terms), -1, np.int32)
+    if len(terms) > 1:
+        heads = np.array(terms, f"S{HEAD}").view(np.uint8).reshape(len(terms), HEAD)
+        differ = heads[1:] != heads[:-1]
+        shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), HEAD)
+    shared[firsts] = -1
+    for at in np.flatnonzero(shared == HEAD).tolist():
+        shared[at] = len(commonprefix(terms[at - 1 : at + 1]))
+    return shared
+
+
+def postings_of(docs: DataFrame) -> DataFrame:
+    """One row for each distinct term of each row of ``docs``, in order: ``lang``, ``source``, ``term`` (its
+    bytes), ``n`` (occurrences) and ``shared`` (bytes it has in common with the document's term before, -1
+    for the first). A row without terms has one row, with a null term."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [batch.column(i) for i in (0, 1)]
+            held, terms, counts, sizes, begin = 0, [], [], [], 0
+            for at, text in enumerate(batch.column(2).cast(pa.binary())):
+                data = text.as_py()
+                found = Counter(data.translate(_LETTERS).split()) or {None: 0}
+                order = sorted(found) if len(found) > 1 else list(found)
+                terms += order
+                counts += map(found.__getitem__, order)
+                sizes.append(len(order))
+                held += len(data)
+                if held < BATCH_BYTES and at + 1 < batch.num_rows:
+                    continue
+                row = pa.array(np.repeat(np.arange(begin, at + 1), sizes))
+                firsts = np.cumsum([0, *sizes[:-1]]).tolist()
+                shared = _common_prefixes([term or b"" for term in terms], firsts)
+                yield pa.RecordBatch.from_arrays(
+                    [*(name.take(row) for name in names), pa.array(terms, pa.binary()), pa.array(counts, pa.int64()), pa.array(shared)],
+                    ["lang", "source", "term", "n", "shared"],
+                )
+                held, terms, counts, sizes, begin = 0, [], [], [], at + 1
 
-def whole_term(term: Column) -> Column:
-    """The term that these bytes are."""
-    return F.encode(term, "ISO-8859-1").cast("string")
+    blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+    rows = docs.select(blank("lang"), blank("source"), blank("text"))
+    return rows.mapInArrow(counted, "lang string, source string, term binary, n bigint, shared int")
 
 
 class BitTable:
@@ -90,28 +133,23 @@ class BitTable:
         return bit.bitwiseAND(F.lit(1)) == 1
 
 
-def _prefixes(docs: DataFrame, width: int, table: BitTable | None) -> DataFrame:
+def _prefixes(postings: DataFrame, width: int, table: BitTable | None) -> DataFrame:
     """(``lang``, ``prefix``): each document's distinct prefixes that the level before kept.
 
-    Terms are in order, so equal prefixes are neighbours, and all terms of a prefix were kept or none.
+    A document's terms are in order, so a prefix is new where less than its width is shared with the term
+    before; and of the terms of a prefix, all were kept by the level before or none.
     """
-    pairs = F.arrays_zip(F.array_prepend("terms", F.lit(None)).alias("before"), F.col("terms").alias("term"))
-    rows = docs.select("lang", F.inline(pairs)).filter(F.col("term").isNotNull())
-    rows = rows.select("lang", "term", F.substring("term", 1, width).alias("prefix"), F.substring("before", 1, width).alias("before"))
-    rows = rows.filter(~F.col("prefix").eqNullSafe(F.col("before")))
+    rows = postings.filter(F.col("term").isNotNull() & (F.col("shared") < width))
     if table is not None:
         rows = rows.filter((F.length("term") >= table.width) & table.holds(F.col("lang"), F.col("term")))
-    return rows.select("lang", "prefix")
-
+    return rows.select("lang", F.substring("term", 1, width).alias("prefix"))
 
-def kept_terms(docs: DataFrame, least: int = MIN_DOCUMENTS, first: int = FIRST_BYTES) -> DataFrame:
-    """(``lang``, ``term``) of the terms in at least so many of the language's documents.
 
-    ``docs`` has ``lang`` and ``terms`` (in order), one row for each document.
-    """
+def kept_terms(postings: DataFrame, least: int = MIN_DOCUMENTS, first: int = FIRST_BYTES) -> DataFrame:
+    """(``lang``, ``term``) of the terms in at least so many of the language's documents."""
     width, complete, table = first, [], None
     while True:
-        counted = _prefixes(docs, width, table).groupBy("lang", "prefix").count()
+        counted = _prefixes(postings, width, table).groupBy("lang", "prefix").count()
         level = stored(counted.filter(F.col("count") >= least).select("lang", "prefix"), "level")
         complete.append(level.filter(F.length("prefix") < width).withColumnRenamed("prefix", "term"))
         open_ones = level.filter(F.length("prefix") == width)
@@ -119,12 +157,15 @@ def kept_terms(docs: DataFrame, least: int = MIN_DOCUMENTS, first: int = FIRST_B
         if not size:
             return reduce(DataFrame.unionByName, complete)
         table = BitTable(open_ones, width, size)
-        width *= 2
+        width *= GROWTH
 
 
 def _share(count: str, total: str) -> Column:
-    """1 + floor(PARTS * (count + 1) / (total + terms)), exactly."""
-    return F.expr(f"1 + (CAST({count} + 1 AS DECIMAL(20,0)) * {PARTS}) div ({total} + kept)")
+    """1 + floor(PARTS * (count + 1) / (total + kept)), exactly: in long integers while these suffice."""
+    return F.expr(
+        f"1 + CASE WHEN {count} < {(1 << 62) // PARTS} THEN ({count} + 1) * {PARTS} div ({total} + kept)"
+        f" ELSE (CAST({count} + 1 AS DECIMAL(20,0)) * {PARTS}) div ({total} + kept) END"
+    )
 
 
 def _excess(p: str, q: str) -> Column:
@@ -174,7 +215,7 @@ def _pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = max(1, -(-counts.count() // BLOCK_ROWS))
     rows = counts.select("lang", "number", "tiles", "share", "term", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"))
     every = groups.select(
-        "lang", "number", "tiles", F.col("base").alias("share"), F.lit(None).cast("string").alias("term"),
+        "lang", "number", "tiles", F.col("base").alias("share"), F.lit(None).cast("binary").alias("term"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"),
     )
     tile = F.expr(f"number div {TILE}")
@@ -200,19 +241,19 @@ def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS) ->
     Part ``pair`` has the divergence of each source from each other one of its language, part ``term`` the
     ``top`` terms that a source uses more than its language does.
     """
-    blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
-    docs = stored(
-        docs.select(blank("lang"), blank("source"), terms_of(F.coalesce("text", F.lit(""))).alias("terms")), "terms"
-    )
-    kept = stored(kept_terms(docs, least), "kept")
+    postings = stored(postings_of(docs), "postings")
+    kept = stored(kept_terms(postings, least), "kept")
     table = BitTable(kept.withColumnRenamed("term", "prefix"), None, kept.count())
-    used = docs.select("lang", "source", F.explode("terms").alias("term")).filter(table.holds(F.col("lang"), F.col("term")))
-    used = used.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"))
-    used = stored(used.join(kept, ["lang", "term"], "left_semi"), "used")
+    used = postings.filter(F.col("term").isNotNull() & table.holds(F.col("lang"), F.col("term")))
+    used = used.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
+    of_lang = Window.partitionBy("lang", "term")
+    # What passed by chance is in too few documents here as well.
+    used = used.select("lang", "source", "term", "n", F.sum("n").over(of_lang).alias("lang_n"), F.sum("documents").over(of_lang).alias("documents"))
+    used = stored(used.filter(F.col("documents") >= least).drop("documents"), "used")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     by_source = Window.partitionBy("lang").orderBy("source")
-    groups = docs.select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left")
+    groups = postings.select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left")
     groups = groups.select(
         "lang", "source", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("total", F.lit(0)).alias("total"),
         (F.row_number().over(by_source) - 1).cast("bigint").alias("number"),
@@ -228,12 +269,10 @@ def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS) ->
     value = F.coalesce(F.col("kept") * _excess("p", "q") + F.col("extra"), F.lit(0)).alias("value")
     pairs = _ranked(pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value))
 
-    in_lang = used.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     lang_totals = totals.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    terms = shares.join(in_lang, ["lang", "term"]).join(lang_totals, "lang")
-    terms = terms.withColumn("mean", _share("lang_n", "lang_total")).filter(F.col("share") > F.col("mean"))
-    terms = terms.select(
-        "lang", "source", F.lit("term").alias("part"), whole_term(F.col("term")).alias("item"),
+    terms = shares.join(lang_totals, "lang").withColumn("mean", _share("lang_n", "lang_total"))
+    terms = terms.filter(F.col("share") > F.col("mean")).select(
+        "lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"),
         _excess("share", "mean").alias("value"),
     )
     return pairs.unionByName(_ranked(terms).filter(F.col("rank") <= top))

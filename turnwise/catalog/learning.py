@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.catalog.registry import OUTCOMES, query, rounded
+from turnwise.catalog.registry import OUTCOMES, query, rounded, sql_hash_mod
 from turnwise.operators.gram import gram, gram_long, merge
 from turnwise.operators.importance import families_of, importance_change
 from turnwise.operators.probe import (
@@ -240,6 +240,21 @@ def _(t):
     return better_layers(scores, ["layer"])
 
 
+@query(
+    "ml8_held_out_rows",
+    f"""SELECT layer, cv, count(*) AS n, count(*) FILTER (label < 5) AS low FROM embeddings,
+      (SELECT unnest([0, 1]) AS layer), (SELECT unnest(range(5))::INT AS cv)
+    WHERE embedding IS NOT NULL AND {sql_hash_mod("concat_ws('/', CAST(vec_id AS VARCHAR), CAST(cv AS VARCHAR))", 0, 1000000)} < 250000
+    GROUP BY ALL""",
+)
+def _(t):
+    """How many rows each of the fits holds out, and predicts."""
+    predictions = probe_predictions(_layers(t), "group", "features", "layer", "vec_id", repeats=5)
+    return predictions.filter(F.col("predicted").isNotNull()).groupBy("layer", "cv").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("true") == "low").alias("low")
+    )
+
+
 @query(
     "ml9_probe_dataset_balanced",
     f"""WITH {OUTCOMES}, b AS (SELECT conversation_id, CASE region WHEN 'EUROPE' THEN 0 ELSE 1 END AS region,

@@ -3,13 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +17,7 @@ from turnwise.operators.classification import (
 )
 from turnwise.operators.dominance import aso
 from turnwise.operators.filters import binarize, known
+from turnwise.operators.logistic import fit_cells, predict_cells
 from turnwise.operators.ranking import balance, hold_out
 from turnwise.session import cut_lineage
 
@@ -46,48 +41,31 @@ def representations_of(representations: DataFrame, rows: DataFrame, key: str) ->
 
 def probe_predictions(
     df: DataFrame, label: str, features: str, layer: str, key: str, repeats: int = REPEATS,
-    share: float = TEST_SHARE, seed: int = 0, parallelism: int = 8,
+    share: float = TEST_SHARE, seed: int = 0,
 ) -> DataFrame:
     """(layer, cv, key, true, predicted) on the held-out rows of every repeat.
 
-    Each fit is a distributed logistic regression with the penalty ½|w|²; rows are never gathered.
-    ``parallelism`` fits are submitted at a time, so that short stages fill the cluster.
+    All layers and repeats are fitted together, with the penalty ½|w|². Rows without a label or a
+    representation are left out. A repeat of a layer without training rows has no predictions. Classes are
+    few: their names are collected.
     """
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
-    model = indexer.fit(df)
-    names = F.array(*[F.lit(v) for v in model.labels])
-    data = cut_lineage(
-        model.transform(df).select(
-            layer, key, F.col(label).cast("string").alias("true"), "_label",
-            array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
-        )
+    rows = df.select(
+        F.col(layer).alias("_layer"), F.col(key).alias("_key"), F.col(label).cast("string").alias("_true"),
+        F.col(features).cast("array<double>").alias("features"),
+        F.array(*[hold_out(key, cv, share, seed) for cv in range(repeats)]).alias("held"),
+    ).filter(F.col("_true").isNotNull() & F.col("features").isNotNull())
+    # In order of layer, so that a task has the sums of one layer's fits at a time.
+    rows = cut_lineage(rows.repartitionByRange("_layer", F.xxhash64("_key")).sortWithinPartitions("_layer"))
+    names = rows.agg(F.array_sort(F.collect_set("_true"))).first()[0]
+    number = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("_true")) - 1
+    rows = rows.withColumn("y", number.cast("int"))
+    fits = fit_cells(rows.drop("_key", "_true"), len(names))
+    predicted = predict_cells(rows, fits, ["_key", "_true"])
+    listed = F.array(*map(F.lit, names)).cast("array<string>")
+    return predicted.select(
+        F.col("_layer").alias(layer), F.col("repeat").alias("cv"), F.col("_key").alias(key), F.col("_true").alias("true"),
+        F.get(listed, "predicted").alias("predicted"),
     )
-    layers = sorted(r[0] for r in data.select(layer).distinct().collect())
-    sizes = {
-        (r[layer], r["cv"]): r["n"]
-        for r in data.withColumn("cv", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .filter(~hold_out(key, F.col("cv"), share, seed))
-        .groupBy(layer, "cv")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-
-    def fitted(cell: tuple) -> DataFrame:
-        at, cv = cell
-        held = hold_out(key, cv, share, seed)
-        of_layer = data.filter(F.col(layer) == F.lit(at))
-        fit = LogisticRegression(
-            featuresCol="_x", labelCol="_label", regParam=1.0 / max(sizes.get(cell, 1), 1),
-            elasticNetParam=0.0, standardization=False, maxIter=100,
-        ).fit(of_layer.filter(~held))
-        return fit.transform(of_layer.filter(held)).select(
-            layer, F.lit(cv).alias("cv"), key, "true",
-            F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
-        )
-
-    cells = [(at, cv) for at in layers for cv in range(repeats)]
-    with ThreadPool(parallelism) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(fitted), cells))
 
 
 def probe_scores(predictions: DataFrame, layer: str, key: str, seed: int = 0) -> DataFrame:

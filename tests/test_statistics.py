@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -30,6 +31,7 @@ from turnwise.operators.classification import (
     random_baseline,
     summary_scores,
 )
+from turnwise.operators import dominance
 from turnwise.operators.dominance import aso, draw_ranks, violation
 from turnwise.operators.pairs import pair_table
 from turnwise.operators.tests_of_difference import (
@@ -291,3 +293,31 @@ def test_aso_both_ways(spark):
     assert row.k is None and math.isclose(row.violation, got["same"].violation) and abs(row.aso - got["same"].aso) < 0.2
     binary = spark.createDataFrame([("k", float(i % 10 < 8), float(i % 10 < 3)) for i in range(1000)], "k STRING, a DOUBLE, b DOUBLE")
     assert aso(binary, ["k"], "a", "b").first().aso == 0.0
+
+
+def sorted_draws(spark, values, key, side, seed, replicates):
+    """Bootstrap quantiles of a sample by indexing its sorted values."""
+    drawn = spark.range(1).select(F.xxhash64(F.lit(seed), F.lit(key), F.lit(side))).first()[0]
+    return np.sort(values)[draw_ranks(len(values), 0.005, replicates, drawn & 0xFFFFFFFFFFFFFFFF) - 1]
+
+
+@pytest.mark.parametrize("range_values", [1 << 19, 7])
+def test_aso_equals_sorted_samples(spark, monkeypatch, range_values):
+    """Samples of any size and in any number of ranges; ties and unequal sizes."""
+    monkeypatch.setattr(dominance, "RANGE_VALUES", range_values)
+    rng = np.random.default_rng(8)
+    samples = {
+        "ties": (rng.integers(0, 6, 90).astype(float), rng.integers(1, 5, 90).astype(float)),
+        "sizes": (rng.normal(size=31), rng.normal(0.3, 2, size=90)), "single": (np.array([1.5]), rng.normal(size=90)),
+    }
+    rows = []
+    for k, (a, b) in samples.items():
+        rows += [(k, float(a[i]) if i < len(a) else None, float(b[i])) for i in range(90)]
+    df = spark.createDataFrame(rows, "k STRING, a DOUBLE, b DOUBLE").repartition(3)
+    got = {r.k: r for r in aso(df, ["k"], "a", "b", seed=4, replicates=200).collect()}
+    for k, (a, b) in samples.items():
+        share = violation(*(sorted_draws(spark, v, k, side, 4, 200) for v, side in ((a, "a"), (b, "b"))))
+        assert (got[k].n_first, got[k].n_second) == (len(a), len(b))
+        assert math.isclose(got[k].violation, share[0], abs_tol=1e-12)
+        bound = share[0] - share[1:].std() * NormalDist().inv_cdf(0.05)
+        assert math.isclose(got[k].aso, min(max(bound, 0.0), 1.0), abs_tol=1e-9)

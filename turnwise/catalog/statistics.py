@@ -334,6 +334,23 @@ def _(t):
     return aso(lines, ["k"], "first", "second", seed=1)
 
 
+@query(
+    "st10_samples_apart",
+    """SELECT l_returnflag AS k, l_linestatus AS s, count(*) AS n_first, count(*) AS n_second,
+      CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS violation,
+      CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS aso
+    FROM lineitem GROUP BY ALL""",
+)
+def _(t):
+    """Where all of one sample lies above the other, every draw does, whatever values it has."""
+    apart = F.when(F.col("l_returnflag") == "N", 1).otherwise(-1) * (100 + 1000 * F.col("l_tax"))
+    lines = t.lineitem.select(
+        F.col("l_returnflag").alias("k"), F.col("l_linestatus").alias("s"), F.col("l_quantity").alias("first"),
+        (F.col("l_quantity") + apart).alias("second"),
+    )
+    return aso(lines, ["k", "s"], "first", "second", seed=1)
+
+
 @query("st10_almost_stochastic_order_ranked")
 def _(t):
     prices = t.outcomes.select("segment", "outcome", (F.col("outcome") * 0.99 + 500).alias("other"))

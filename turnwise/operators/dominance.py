@@ -4,22 +4,31 @@ The score bounds from above the share of the squared quantile distance on which
 is the smaller one; below one half the first sample is almost stochastically larger. Samples enter
 as value histograms. A bootstrap quantile of a sample of size n is the sample's value at rank
 ceil(n·U), where U is a uniform order statistic, so replicates draw ranks, not rows.
+
+A histogram is cut into ranges of values. The task that holds a range draws all ranks of its sample (a
+seed makes them the same everywhere), keeps those that fall into the range and looks their values up
+in its cumulated counts. What meets in one task per analysis are two arrays of replicates × grid points,
+whatever the size of the samples.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnwise.operators.aggregates import null_safe_join
 from turnwise.operators.ordered import SEGMENT, by_value, value_buckets
 from turnwise.session import cut_lineage
 
+#: Distinct values of all samples that fall into one range.
+RANGE_VALUES = 1 << 19
+
 
 def _positions(n: int, dt: float) -> np.ndarray:
     grid = np.arange(dt, 1, dt)
@@ -59,95 +68,67 @@ def aso(
     histogram = cut_lineage(
         values.groupBy(*by, "_side", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
-    return _ranked(histogram, by, seed, confidence, dt, replicates)
-
-
-def _ranked(histogram, by, seed, confidence, dt, replicates) -> DataFrame:
-    """Ranks are looked up in ordered segments of the histogram."""
-    keys = [*by, "_side"]
-    bucketed = by_value(histogram, "_v", value_buckets(histogram, "_v"))
-    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        bucketed.groupBy(*keys, SEGMENT)
-        .agg(F.sum("_c").alias("_in"))
-        .withColumn("_start", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
-    )
-    inside = (
-        Window.partitionBy(*keys, SEGMENT).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    counted = bucketed.withColumn("_inside", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    placed = (
-        null_safe_join(counted, starts, [*keys, SEGMENT])
-        .select(
-            *keys, SEGMENT, (F.col("_start") + F.col("_inside") + 1).alias("_rank"),
-            F.col("_v"), F.lit(None).cast("int").alias("_replicate"),
-            F.lit(None).cast("int").alias("_point"),
-        )
-    )
-    segments = starts.groupBy(*keys).agg(
-        F.sum("_in").alias("_n"), F.array_sort(F.collect_list(F.struct("_start", SEGMENT))).alias("_starts")
-    )
-    seeded = segments.withColumn("_seed", F.xxhash64(F.lit(seed), *keys))
-
-    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                drawn = draw_ranks(
-                    int(row["_n"]), dt, replicates, int(row["_seed"]) & 0xFFFFFFFFFFFFFFFF
-                )
-                n_draws, n_points = drawn.shape
-                out = pd.DataFrame(
-                    {
-                        "_replicate": np.repeat(np.arange(n_draws), n_points),
-                        "_point": np.tile(np.arange(n_points), n_draws),
-                        "_rank": drawn.ravel(),
-                    }
-                )
-                for k in keys:
-                    out[k] = row[k]
-                yield out[[*keys, "_replicate", "_point", "_rank"]]
-
-    fields = ", ".join(f"`{k}` {histogram.schema[k].dataType.simpleString()}" for k in keys)
-    wanted = seeded.select(*keys, "_n", "_seed").mapInPandas(
-        ranks, f"{fields}, _replicate INT, _point INT, _rank BIGINT"
-    )
-    found = F.filter("_starts", lambda s: s["_start"] < F.col("_rank"))
-    lookups = null_safe_join(wanted, segments.drop("_n"), keys).select(
-        *keys, F.element_at(found, -1)[SEGMENT].alias(SEGMENT), "_rank",
-        F.lit(None).cast("double").alias("_v"), "_replicate", "_point",
-    )
-    upto = (
-        Window.partitionBy(*keys, SEGMENT)
-        .orderBy("_rank", F.col("_v").isNull())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    looked_up = (
-        placed.unionByName(lookups)
-        .withColumn("_q", F.last("_v", ignorenulls=True).over(upto))
-        .filter(F.col("_replicate").isNotNull())
-    )
-    per_point = looked_up.groupBy(*by, "_replicate", "_point").agg(
-        F.max(F.when(F.col("_side") == "a", F.col("_q"))).alias("_qa"),
-        F.max(F.when(F.col("_side") == "b", F.col("_q"))).alias("_qb"),
-    )
-    gap = F.col("_qb") - F.col("_qa")
-    share = F.coalesce(
-        F.try_divide(F.sum(F.pow(F.greatest(gap, F.lit(0.0)), 2)), F.sum(gap * gap)), F.lit(0.5)
-    )
-    per_replicate = per_point.groupBy(*by, "_replicate").agg(share.alias("_share"))
-    drawn = F.col("_replicate") > 0
-    spread = per_replicate.groupBy(*by).agg(
-        F.max(F.when(~drawn, F.col("_share"))).alias("violation"),
-        F.stddev_pop(F.when(drawn, F.col("_share"))).alias("_spread"),
-    )
-    sizes = segments.groupBy(*by).agg(
-        F.max(F.when(F.col("_side") == "a", F.col("_n"))).alias("n_first"),
-        F.max(F.when(F.col("_side") == "b", F.col("_n"))).alias("n_second"),
-    )
+    looked_up = _quantiles(_ranged(histogram, [*by, "_side"], seed), by, dt, replicates)
     z = NormalDist().inv_cdf(1 - confidence)
     score = F.col("violation") - F.col("_spread") * z
-    sizes = sizes.filter("n_first IS NOT NULL AND n_second IS NOT NULL")
-    return null_safe_join(sizes, spread, by).select(
+    return _violations(looked_up, by, dt, replicates).select(
         *by, "n_first", "n_second", "violation",
         F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("aso"),
     )
+
+
+def _ranged(histogram: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """The histogram with each value's range, the sample's size and how many rows lie in the ranges before."""
+    buckets = -(-histogram.count() // RANGE_VALUES)
+    bucketed = by_value(histogram, "_v", value_buckets(histogram, "_v", buckets))
+    of_sample = Window.partitionBy(*keys)
+    earlier = of_sample.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = bucketed.groupBy(*keys, SEGMENT).agg(F.sum("_c").alias("_in")).select(
+        *keys, SEGMENT, F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_start"),
+        F.sum("_in").over(of_sample).alias("_n"), F.xxhash64(F.lit(seed), *keys).alias("_seed"),
+    )
+    return null_safe_join(bucketed, ranges, [*keys, SEGMENT])
+
+
+def _quantiles(ranged: DataFrame, by: list[str], dt: float, replicates: int) -> DataFrame:
+    """(by, side, size, places, values): what one range holds of the drawn quantiles. A place is
+    replicate × grid points + point; replicate 0 is the sample itself."""
+    keys = [*by, "_side"]
+
+    def look_up(table: pa.Table) -> pa.Table:
+        value, count = (table.column(name).to_numpy() for name in ("_v", "_c"))
+        order = np.argsort(value)
+        n, start, seed = (table.column(name)[0].as_py() for name in ("_n", "_start", "_seed"))
+        upto = start + np.cumsum(count[order])
+        ranks = draw_ranks(n, dt, replicates, seed & 0xFFFFFFFFFFFFFFFF).ravel()
+        places = np.flatnonzero((ranks > start) & (ranks <= upto[-1]))
+        found = value[order][np.searchsorted(upto, ranks[places])]
+        lists = [pa.array([places.astype(np.int32)], pa.list_(pa.int32())), pa.array([found], pa.list_(pa.float64()))]
+        return pa.table([*(table.column(k).slice(0, 1) for k in [*keys, "_n"]), *lists], [*keys, "_n", "_places", "_values"])
+
+    fields = [ranged.schema[k] for k in [*keys, "_n"]]
+    more = StructType.fromDDL("_places array<int>, _values array<double>").fields
+    return ranged.groupBy(*keys, SEGMENT).applyInArrow(look_up, StructType([*fields, *more]))
+
+
+def _violations(looked_up: DataFrame, by: list[str], dt: float, replicates: int) -> DataFrame:
+    """(by, n_first, n_second, violation, _spread) of analyses that have both samples."""
+    points = len(_positions(1, dt))
+    fields = [looked_up.schema[k] for k in by]
+    numbers = StructType.fromDDL("n_first bigint, n_second bigint, violation double, _spread double")
+    schema = StructType([*fields, *numbers.fields])
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = table.column("_side").to_pylist()
+        if len(set(sides)) < 2:
+            return pa.table([table.column(k).slice(0, 0) for k in by] + [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], schema.names)
+        size: dict[str, int] = {}
+        drawn = {side: np.empty((replicates + 1) * points) for side in "ab"}
+        for side, n, places, values in zip(sides, *(table.column(c) for c in ("_n", "_places", "_values"))):
+            size[side] = n.as_py()
+            drawn[side][places.values.to_numpy()] = values.values.to_numpy()
+        share = violation(*(drawn[side].reshape(-1, points) for side in "ab"))
+        row = [size["a"], size["b"], share[0], share[1:].std() if replicates else 0.0]
+        return pa.table([*(table.column(k).slice(0, 1) for k in by), *([x] for x in row)], schema.names)
+
+    return looked_up.groupBy(*by).applyInArrow(compare, schema)

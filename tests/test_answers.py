@@ -94,17 +94,36 @@ def test_cross_prompts_pairs_everything(spark, limit):
     assert cross_prompts(conversations, questions.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("chars", [10**6, 0])
-def test_label_by_key_both_ways(spark, chars):
+@pytest.mark.parametrize("chars", [1 << 21, 30])
+def test_label_by_key_in_one_shard_or_many(spark, chars):
     texts = ["the red fox runs home tonight", "ab", "", None, "a red fox", "x" * 50 + "needle in hay" + "y" * 50, "the red fo"]
     keys = ["the red fox runs", "the red fox runs home", "ab", "needle in hay", "zebra crossing", "b"]
     questions = spark.createDataFrame(list(enumerate(texts)), "i INT, question STRING")
     key_rows = spark.createDataFrame([(k,) for k in keys], "key STRING")
-    got = {r.i: r.correct_answer for r in label_by_key(questions, key_rows, chars=chars).collect()}
+    got = {r.i: r.correct_answer for r in label_by_key(questions, key_rows, shard_chars=chars).collect()}
     expected = {i: "yes" if t is not None and any(k in t for k in keys) else "no" for i, t in enumerate(texts)}
     assert got == expected
 
 
+def test_label_by_key_of_many_keys(spark):
+    """More than a million characters of keys; keys inside each other; no keys; the empty key."""
+    keys = spark.range(60_000).select(F.concat(F.lit("key "), F.sha1(F.col("id").cast("string"))).alias("key"))
+    held = F.concat(F.lit("... key "), F.sha1((F.col("id") * 7).cast("string")), F.lit(" ..."))
+    texts = spark.range(200).select("id", F.when(F.col("id") % 3 == 0, held).otherwise("... key none").alias("question"))
+    got = {r.id: r.correct_answer for r in label_by_key(texts, keys).collect()}
+    assert got == {i: "yes" if i % 3 == 0 else "no" for i in range(200)}
+    assert label_by_key(texts, keys.limit(0)).filter("correct_answer = 'yes'").count() == 0
+    empty = spark.createDataFrame([("",), (None,)], "key STRING")
+    assert label_by_key(texts, empty).filter("correct_answer = 'yes'").count() == 200
+
+
+def test_label_by_key_moves_no_text(spark):
+    keys = spark.createDataFrame([("a",)], "key STRING")
+    texts = spark.createDataFrame([(1, "xay")], "i INT, question STRING")
+    plan = label_by_key(texts, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_pending_questions_null_keys(spark):
     questions = spark.createDataFrame([("q_0",), ("q_1",)], "q_id STRING")
     answers = spark.createDataFrame([("q_1",), ("q_1",), (None,)], "q_id STRING")

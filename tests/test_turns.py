@@ -113,13 +113,21 @@ def test_wide_utterances_equal_three_melts(spark, rows):
     assert rows(got) == sorted(expected, key=repr)
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small ranges are not joined, so values are handed on between them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 30), st.sampled_from(["user", "assistant", None])), max_size=40))
-def test_collapse_keeps_run_starts(spark, data):
+def test_collapse_keeps_run_starts(spark, many_ranges, data):
     unique = {(c, t): r for c, t, r in data}
     table = [(c, t, r) for (c, t), r in unique.items()]
     df = spark.createDataFrame(table, "conversation_id STRING, turn INT, role STRING")
-    got = {(r.conversation_id, r.turn) for r in collapse_same_role(df, segment=4).collect()}
+    got = {(r.conversation_id, r.turn) for r in collapse_same_role(df).collect()}
     expected = set()
     for c in "ab":
         before = object()
@@ -132,11 +140,36 @@ def test_collapse_keeps_run_starts(spark, data):
     assert got == expected
 
 
-def test_until_first_missing_across_segments(spark, rows):
-    data = [("a", i, i != 7) for i in range(10)] + [("b", i, True) for i in range(5)] + [("c", 0, None)]
+@pytest.mark.parametrize("first_missing", [0, 7, 63, 199, None])
+def test_until_first_missing_across_ranges(spark, rows, many_ranges, first_missing):
+    data = [("a", i, i != first_missing) for i in range(200)] + [("b", i, True) for i in range(5)] + [("c", 0, None)]
+    data += [(None, i, i < 3) for i in range(6)]
     df = spark.createDataFrame(data, "conversation_id STRING, turn INT, ok BOOLEAN")
-    got = until_first_missing(df, F.col("ok"), segment=3).select("conversation_id", "turn")
-    assert rows(got) == sorted([("a", i) for i in range(7)] + [("b", i) for i in range(5)], key=repr)
+    got = until_first_missing(df, F.col("ok")).select("conversation_id", "turn")
+    left = 200 if first_missing is None else first_missing
+    expected = [("a", i) for i in range(left)] + [("b", i) for i in range(5)] + [(None, i) for i in range(3)]
+    assert rows(got) == sorted(expected, key=repr)
+
+
+def test_hot_key_with_a_sparse_order(spark, rows, many_ranges):
+    """One key holds most rows, at times far apart; it lies in several ranges and no table of keys is made."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("conversation_id"),
+        (F.timestamp_seconds(F.col("id") * 86_400 * 37)).alias("turn"), F.concat(F.lit("r"), F.floor(F.col("id") / 7) % 2).alias("role"), "id",
+    )
+    got = collapse_same_role(df)
+    before = F.lag("role").over(Window.partitionBy("conversation_id").orderBy("turn"))
+    expected = df.withColumn("before", before).filter(~F.col("role").eqNullSafe(F.col("before"))).select("id")
+    assert rows(got.select("id")) == rows(expected)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    ranges = got.select(F.spark_partition_id().alias("p"), "conversation_id").filter("conversation_id = 'hot'").distinct()
+    assert ranges.count() > 1
+
+
+def test_scans_of_nothing(spark, many_ranges):
+    df = spark.createDataFrame([], "conversation_id STRING, turn INT, role STRING")
+    assert collapse_same_role(df).count() == 0 and until_first_missing(df, F.lit(True)).count() == 0
 
 
 @pytest.mark.parametrize("buckets", [1, 3, 16])

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions.sampling import hash_mod
+from turnwise.operators.contained import SHARD_CHARS, contains_any
 
 BANK_ROWS = 1000
-KEY_CHARS = 1_000_000
-GRAM = 8
 
 
 def attach_survey(facts: DataFrame, survey: DataFrame, key: str = "user_id") -> DataFrame:
@@ -96,62 +95,8 @@ def _paged_prompts(
 
 def label_by_key(
     questions: DataFrame, keys: DataFrame, key: str = "key", question: str = "question",
-    into: str = "correct_answer", chars: int = KEY_CHARS,
+    into: str = "correct_answer", shard_chars: int = SHARD_CHARS,
 ) -> DataFrame:
-    """``yes`` where any key string occurs in the question, else ``no``.
-
-    Keys of a checked total length are tested inside each row. A larger set is joined: every key
-    is looked up by its rarest fragment, and each fragment hit is verified.
-    """
-    keys = keys.select(key).filter(F.col(key).isNotNull()).distinct()
-    size = keys.agg(F.coalesce(F.sum(F.length(key)), F.lit(0)), F.count(F.lit(1))).first()
-    if size[0] + size[1] <= chars:
-        listed = F.array(*[F.lit(r[0]) for r in keys.collect()]).cast("array<string>")
-        found = F.exists(listed, lambda k: F.contains(F.col(question), k))
-    else:
-        return _label_by_fragment(questions, keys, key, question, into)
-    return questions.withColumn(into, F.when(found, "yes").otherwise("no"))
-
-
-def fragments(text: Column, width: Column | int) -> Column:
-    """Distinct substrings of one width."""
-    width = F.lit(width) if isinstance(width, int) else width
-    last = F.length(text) - width + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, width))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _label_by_fragment(
-    questions: DataFrame, keys: DataFrame, key: str, question: str, into: str
-) -> DataFrame:
-    """Keys shorter than a fragment are looked up whole; their few lengths are known up front."""
-    short = [r[0] for r in keys.select(F.length(key)).filter(F.length(key) < GRAM).distinct().collect()]
-    widths = sorted({*short, GRAM})
-    of_key = keys.withColumn(
-        "_fragment",
-        F.explode(
-            F.when(F.length(key) < GRAM, F.array(key)).otherwise(fragments(F.col(key), GRAM))
-        ),
-    )
-    frequency = of_key.groupBy("_fragment").agg(F.count(F.lit(1)).alias("_n"))
-    anchors = (
-        of_key.join(frequency, "_fragment")
-        .groupBy(key)
-        .agg(F.min(F.struct("_n", "_fragment"))["_fragment"].alias("_fragment"))
-    )
-    spread = F.flatten(F.array(*[fragments(F.col(question), w) for w in widths]))
-    texts = questions.select(question).distinct()
-    hits = (
-        texts.withColumn("_fragment", F.explode(spread))
-        .join(anchors, "_fragment")
-        .filter(F.contains(F.col(question), F.col(key)))
-        .select(question)
-        .distinct()
-        .withColumn("_hit", F.lit(True))
-    )
-    return questions.join(hits, question, "left").select(
-        *questions.columns,
-        F.when(F.col("_hit"), "yes").otherwise("no").alias(into),
-    )
+    """``yes`` where any key string occurs in the question, else ``no``."""
+    marked = contains_any(questions, question, keys.select(key), "_holds_key", shard_chars)
+    return marked.withColumn(into, F.when(F.col("_holds_key"), "yes").otherwise("no")).drop("_holds_key")

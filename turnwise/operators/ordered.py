@@ -1,32 +1,32 @@
 """Order-dependent values without gathering a whole key in one task.
 
-Rows of a key are cut into ordered segments. A window works inside a segment, a small table with
+Sums: rows of a key are cut into ordered segments. A window works inside a segment, a small table with
 one row per (key, segment) carries the values over from the segments before, and an equi-join
 brings them back. A key that holds a third of the table is then many segments, not one sort.
+
+Scans: rows are sorted in ranges of (key, order), and each range hands one row on to the next. A row's
+value then needs the rows before it in its range alone, and no table of keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from turnwise.operators.aggregates import null_safe_join
+from turnwise.session import cut_lineage
 
-SEGMENT_TURNS = 1024
 SEGMENT = "_segment"
 
 
-def turn_segment(turn: str, size: int = SEGMENT_TURNS) -> Column:
-    return F.floor(F.col(turn) / size)
-
-
-def by_turn(df: DataFrame, turn: str, size: int = SEGMENT_TURNS) -> DataFrame:
-    return df.withColumn(SEGMENT, turn_segment(turn, size))
-
-
 def value_buckets(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
     """Boundaries that split the column into ranges of about equal row counts."""
     if buckets is None:
@@ -93,36 +93,89 @@ def _carried(summary: DataFrame, keys: Sequence[str], values: Mapping[str, Colum
     )
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: str, column: str, into: str) -> DataFrame:
-    """The value of ``column`` in the row before; null in the first row of a key."""
-    keys = list(keys)
-    summary = df.groupBy(*keys, SEGMENT).agg(
-        F.max(F.struct(F.col(order), F.col(column))).alias("_end")
-    )
-    carried = _carried(summary, keys, {"_carry": F.last("_end", ignorenulls=True)})
-    inside = Window.partitionBy(*keys, SEGMENT).orderBy(order)
-    inner = df.withColumn("_row", F.row_number().over(inside)).withColumn("_lag", F.lag(column).over(inside))
-    return (
-        null_safe_join(inner, carried, [*keys, SEGMENT])
-        .withColumn(
-            into, F.when(F.col("_row") > 1, F.col("_lag")).otherwise(F.col(f"_carry.{column}"))
-        )
-        .drop("_row", "_lag", "_carry")
-    )
+@dataclass
+class Carry:
+    """What a scan has seen of the rows before: the last key, and a value that belongs to it."""
 
+    key: tuple | None = None
+    value: object = None
 
-def all_so_far(df: DataFrame, keys: Sequence[str], order: str, flag: str, into: str) -> DataFrame:
-    """Whether the flag holds in this row and in every row of the key before it."""
-    keys = list(keys)
-    summary = df.groupBy(*keys, SEGMENT).agg(F.min(flag).alias("_segment_all"))
-    carried = _carried(summary, keys, {"_carry": F.min("_segment_all")})
-    inside = (
-        Window.partitionBy(*keys, SEGMENT)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        null_safe_join(df.withColumn("_inside", F.min(flag).over(inside)), carried, [*keys, SEGMENT])
-        .withColumn(into, F.col("_inside") & F.coalesce(F.col("_carry"), F.lit(True)))
-        .drop("_inside", "_carry")
-    )
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``df`` in ranges of (keys, order), each in order. A key with many rows is many ranges, however its
+    order values are spread."""
+    return cut_lineage(df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order))
+
+
+def scan_in_order(
+    ranges: DataFrame, keys: Sequence[str], value: Column, into: str,
+    scan: Callable[[Carry, np.ndarray, tuple[pa.Array, ...], pa.Array], tuple[np.ndarray, object]],
+    hand_on: Callable[[Carry, Carry, bool], object],
+) -> DataFrame:
+    """``ranges`` (of ``in_ranges``) with a boolean that ``scan`` computes from each row and those before it.
+
+    ``scan`` gets the carry, where keys begin, the key arrays and the values of a batch, and returns the
+    booleans and the value that belongs to the last key. A first pass reads the keys and the value alone and
+    ends with one row a range; ``hand_on`` (carry into the range, carry at its end if none had come in, whether
+    the range is one key) says what the next range starts from. The second pass adds the column.
+    """
+    rows = ranges.withColumn("_value", value)
+    columns = [*keys, "_value"]
+    fields = StructType([StructField("_range", IntegerType()), *rows.select(*columns).schema.fields, StructField("_one_key", BooleanType())])
+
+    def last_of_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, one_key, types = Carry(), True, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = batch.schema.types
+            *key, values = batch.columns
+            starts = _key_starts(carry, key)
+            one_key = one_key and not starts[1:].any() and (carry.key is None or not starts[0])
+            carry = Carry(_key_at(key, -1), scan(carry, starts, tuple(key), values)[1])
+        if carry.key is not None:
+            here = TaskContext.get().partitionId()
+            arrays = [pa.array([v], t) for v, t in zip((*carry.key, carry.value), types)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([here], pa.int32()), *arrays, pa.array([one_key], pa.bool_())], ["_range", *columns, "_one_key"]
+            )
+
+    ends = sorted(rows.select(*columns).mapInArrow(last_of_range, fields).collect(), key=lambda row: row[0])
+    carries: dict[int, Carry] = {}
+    carry = Carry()
+    for row in ends:
+        carries[row[0]] = carry
+        own = Carry(tuple(row[1 : 1 + len(keys)]), row["_value"])
+        carry = Carry(own.key, hand_on(carry, own, row["_one_key"]))
+
+    def scanned(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        carry = carries.get(TaskContext.get().partitionId(), Carry())
+        for *key, values in batches:
+            if not len(values):
+                yield pa.array([], pa.bool_())
+                continue
+            flags, last = scan(carry, _key_starts(carry, key), tuple(key), values)
+            carry = Carry(_key_at(key, -1), last)
+            yield pa.array(flags, pa.bool_())
+
+    # It reads rows in their order, so Spark may neither move nor repeat it.
+    flag = F.arrow_udf("boolean")(scanned).asNondeterministic()
+    return rows.withColumn(into, flag(*columns)).drop("_value")
+
+
+def same_as_before(array: pa.Array) -> np.ndarray:
+    """Whether each value but the first equals the one before; null equals null."""
+    codes = array.dictionary_encode("encode").indices.to_numpy()
+    return codes[1:] == codes[:-1]
+
+
+def _key_at(key: Sequence[pa.Array], at: int) -> tuple:
+    return tuple(array[at].as_py() for array in key)
+
+
+def _key_starts(carry: Carry, key: Sequence[pa.Array]) -> np.ndarray:
+    same = np.ones(len(key[0]), bool)
+    same[0] = carry.key == _key_at(key, 0)
+    for array in key:
+        same[1:] &= same_as_before(array)
+    return ~same

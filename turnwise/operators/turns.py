@@ -4,35 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.operators.ordered import SEGMENT_TURNS, all_so_far, by_turn, previous
+from turnwise.operators.ordered import Carry, in_ranges, same_as_before, scan_in_order
+
+
+def _differs(carry: Carry, starts: np.ndarray, key: tuple[pa.Array, ...], roles: pa.Array) -> tuple[np.ndarray, object]:
+    """Whether a row's role is another one than that of the key's row before; the first has none before."""
+    known = roles.is_valid().to_numpy(zero_copy_only=False)
+    same = np.append(False, same_as_before(roles))
+    same[0] = roles[0].as_py() == carry.value
+    return np.where(starts, known, ~same), roles[-1].as_py()
+
+
+def _still(carry: Carry, starts: np.ndarray, key: tuple[pa.Array, ...], present: pa.Array) -> tuple[np.ndarray, object]:
+    """Whether the flag holds in this row and in all rows of the key before it."""
+    missing = np.cumsum(~present.to_numpy(zero_copy_only=False))
+    first = np.maximum.accumulate(np.where(starts, np.arange(len(starts)), -1))
+    before = np.where(first > 0, missing[np.maximum(first - 1, 0)], 0)
+    still = missing == before
+    if carry.value is False:
+        still &= first >= 0
+    return still, bool(still[-1])
 
 
 def collapse_same_role(
     df: DataFrame, conversation: str = "conversation_id", turn: str = "turn", role: str = "role",
-    segment: int = SEGMENT_TURNS,
 ) -> DataFrame:
-    """Keep the first turn of every run of one role; the comparison is to the original neighbour."""
-    columns = df.columns
-    with_previous = previous(
-        by_turn(df, turn, segment), [conversation], turn, role, "_previous_role"
-    )
-    return with_previous.filter(~F.col(role).eqNullSafe(F.col("_previous_role"))).select(*columns)
+    """Keep the first turn of every run of one role; the comparison is to the original neighbour. A first turn
+    without a role is dropped."""
+    ranges = in_ranges(df, [conversation], turn)
+    kept = scan_in_order(ranges, [conversation], F.col(role), "_kept", _differs, lambda before, own, one_key: own.value)
+    return kept.filter("_kept").select(*df.columns)
 
 
 def until_first_missing(
     df: DataFrame, present: Column, conversation: str = "conversation_id", turn: str = "turn",
-    segment: int = SEGMENT_TURNS,
 ) -> DataFrame:
     """The turns before the first one that lacks a value."""
-    columns = df.columns
-    flagged = by_turn(df, turn, segment).withColumn(
-        "_present", F.coalesce(present, F.lit(False))
+    flagged = df.withColumn("_present", F.coalesce(present, F.lit(False)))
+
+    def hand_on(before: Carry, own: Carry, one_key: bool) -> bool:
+        # Only where the range is one key can rows of that key lie in the ranges before.
+        return own.value and not (one_key and before.key == own.key and before.value is False)
+
+    kept = scan_in_order(
+        in_ranges(flagged, [conversation], turn), [conversation], F.col("_present"), "_kept", _still, hand_on
     )
-    running = all_so_far(flagged, [conversation], turn, "_present", "_still")
-    return running.filter("_still").select(*columns)
+    return kept.filter("_kept").select(*df.columns)
 
 
 def nest_turns(

@@ -305,3 +305,51 @@ def test_pair_model(spark, odd_docs, no_docs):
     assert {r.train_tokens for r in rows} == {n_all}
     empty = kneser_ney.train(no_docs, spark)
     assert [r.n_known for r in kneser_ney.score_documents(docs.limit(1), held_out, empty).collect()] == [0]
+
+
+def test_private_keys_match_sql(spark, tmp_path):
+    """Whole and cut keys, in one line and in several, with fields, without a body, and held by several owners."""
+    import duckdb
+
+    from check import compare
+    from turnwise.llm.catalog import ORACLES, QUERIES
+
+    line = lambda c: c * 64 + "\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"key {begin}\n{line(c) * 3}{c}=\n{end} ." for c in "abcd"] + [f"{begin}\n{line('z') * 2}{end}"] * 4
+    texts += [
+        f"{begin}\n{line('e')}eee=\n rest", f"{begin}\n{line('f')}fff", f"{begin}\n{line('g')}ggg \n\t ", f"{begin} is a header",
+        f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00  ", f"{begin}\nProc-Type: 4\n{line('h')}{end}",
+        f"{begin}\\n{'i' * 64}\\n{'i' * 20}\\n{end}", f"{begin}{end}", f"{begin}\n{end}", f"{begin}a-b--c---d----e{end}",
+        f"{begin}x------END RSA PRIVATE KEY-----", f"{begin}\n{line('j')}{begin}\n{line('k')}{end}", f"{begin}\n\x0b{line('l')}l==",
+        f"{begin}\n{line('m')}mmm stop", "-----BEGIN PRIVATE KEY-----" * 3,
+    ]
+    rows = [(i, text, f"src{i}") for i, text in enumerate(texts)] + [(90, None, None), (91, "", "src1")]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = QUERIES["op1_secret_ownership"](spark, str(tmp_path))
+    assert found.filter("spans LIKE '%private%'").count() > 10
+    assert compare(found, connection, ORACLES["op1_secret_ownership"]) is None
+
+
+def test_ids_of_every_letter_before_every_mark():
+    """And of random words of such letters and marks."""
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from turnwise.llm.token_blocks import LETTERS, MARKS, WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = WordEncoder(path), Tokenizer.from_file(path)
+    words = [letter + mark for letter in LETTERS for mark in MARKS] + ["TAKSİ.", "BELEDİYESİ,", "İ" * 30 + "!?"]
+    rng = random.Random(4)
+    pool = LETTERS + list(MARKS) + list("  \n\té́̇日本0123456789  ß\U0001f600")
+    words += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    ids, sizes = encoder.encode(pa.array(words))
+    expected = [e.ids for e in plain.encode_batch_fast(words, add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, expected))
+    assert ids.tolist() == [i for own in expected for i in own]

@@ -160,18 +160,39 @@ def op10(spark, folder):
 
 
 def _secrets_sql() -> str:
-    from turnwise.llm.secrets import BASE, KINDS, LIVE_OWNERS
+    from turnwise.llm import secrets as own
 
+    def re2(pattern: str) -> str:
+        """The same strings in RE2's words, which has neither possessive repeats nor lookaheads."""
+        for repeat in "*+?}":
+            pattern = pattern.replace(repeat + "+", repeat)
+        return pattern.replace(r"\s", r"[\x09-\x0D\x20]")
+
+    BASE, KINDS, LIVE_OWNERS = own.BASE, own.KINDS, own.LIVE_OWNERS
     finds = []
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         p = "'" + pattern.replace("'", "''") + "'"
+        wholes, values = f"regexp_extract_all(text, {p})", f"regexp_extract_all(text, {p}, {group})"
+        if kind == "private":
+            cut = own.CUT_BODY.replace(own.AT_END, r"\s*\z")
+            end = own.PRIVATE_END
+            p = f"'{own.PRIVATE_BEGIN}(?:((?:-{{0,4}}[^-])*){end}|({re2(cut)})(?:{end})?)'"
+            # A body cut off by the text's end is without the spaces that RE2 must take along.
+            spaces = r"[\x09-\x0D\x20]+$"
+            trimmed = (
+                f"CASE WHEN regexp_matches(x, '(Proc-Type|DEK-Info):[^\\r\\n]*$') THEN x ELSE regexp_replace(x, '{spaces}', '') END"
+            )
+            wholes = f"list_transform(regexp_extract_all(text, {p}), lambda x: {trimmed})"
+            bodies = f"list_zip({wholes}, regexp_extract_all(text, {p}, 1), regexp_extract_all(text, {p}, 2))"
+            body = f"regexp_replace(coalesce(nullif(z[2], ''), z[3], ''), '{re2(own.BREAKS)}', '', 'g')"
+            values = f"list_transform({bodies}, lambda z: coalesce(nullif({body}, ''), z[1]))"
         finds.append(
             f"""SELECT row, doc_id, source, '{kind}' AS kind, {rank} AS rank, starts[i] AS s, starts[i] + length(wholes[i]) AS e, vals[i] AS value
             FROM (SELECT *, list_transform(range(1, len(wholes) + 1), lambda i:
                     (list_sum(list_transform(gaps[1:i], lambda g: length(g)))
                      + coalesce(list_sum(list_transform(wholes[1:i - 1], lambda g: length(g))), 0))::BIGINT) AS starts
                   FROM (SELECT row, doc_id, source, string_split_regex(text, {p}) AS gaps,
-                          regexp_extract_all(text, {p}) AS wholes, regexp_extract_all(text, {p}, {group}) AS vals
+                          {wholes} AS wholes, {values} AS vals
                         FROM d WHERE regexp_matches(text, {p}))),
                  unnest(range(1, len(wholes) + 1)) AS t(i)
             WHERE length(vals[i]) >= {least}"""

@@ -23,6 +23,20 @@ from turnwise.llm.common import stored
 
 _KEYS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 ASSIGN_VALUE = 6
+_PRIVATE = "PRIVATE\\x20KEY-----"
+#: A private key block with its body as the group: all up to the END line, or where that is missing the
+#: header fields and base64 lines that follow.
+PRIVATE_BEGIN = rf"-----BEGIN\x20[A-Z\x20]*{_PRIVATE}"
+PRIVATE_END = rf"-----END\x20[A-Z\x20]*{_PRIVATE}"
+WHOLE_BODY = r"[^-]*+(?:-(?!----)[^-]*+)*+"
+AT_END = r"(?=\s*+\z)"
+CUT_BODY = (
+    r"(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++"
+    rf"(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|{AT_END}))?+)?+"
+)
+PRIVATE_BLOCK = rf"{PRIVATE_BEGIN}({WHOLE_BODY}(?={PRIVATE_END})|{CUT_BODY})(?:{PRIVATE_END})?"
+#: What a private key's body is without: its value is the same however its lines are broken.
+BREAKS = r"\s|\\[nr]"
 #: Kinds in the order of reports: name, pattern, group of the value, least length of the value.
 KINDS = [
     ("assign", f"({_KEYS})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, ASSIGN_VALUE),
@@ -30,19 +44,9 @@ KINDS = [
     ("hex", "[0-9a-f]{24,}", 0, 0),
     ("bearer", r"Bearer\x20+([A-Za-z0-9+/_.=-]{16,})", 1, 0),
     ("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("private", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 0, 0),
+    ("private", PRIVATE_BLOCK, 1, 0),
 ]
 BASE = 3
-_PRIVATE = "PRIVATE\\x20KEY-----"
-#: A private key block with its body as the group: all up to the END line, or where that is missing the
-#: header fields and base64 lines that follow. KINDS has the header alone, as the SQL takes it.
-PRIVATE_BLOCK = (
-    rf"-----BEGIN\x20[A-Z\x20]*{_PRIVATE}"
-    rf"([^-]*+(?:-(?!----)[^-]*+)*+(?=-----END\x20[A-Z\x20]*{_PRIVATE})"
-    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++"
-    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{1,15}+(?:={1,2}|(?=\s*+\z)))?+)?+)"
-    rf"(?:-----END\x20[A-Z\x20]*{_PRIVATE})?"
-)
 #: A value that more owners than this hold is a copied example.
 LIVE_OWNERS = 2
 
@@ -50,13 +54,11 @@ LIVE_OWNERS = 2
 def _matches(text: Column, rank: int) -> Column:
     """Leftmost non-overlapping matches of one kind: struct(start, rank, end, value)."""
     kind, pattern, group, least = KINDS[rank]
-    if kind == "private":
-        pattern, group = PRIVATE_BLOCK, 1
     wholes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = wholes if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     if kind == "private":
         # A key is the same however its lines are broken; a header without a body is its own value.
-        bodies = F.transform(values, lambda body: F.regexp_replace(body, r"\s|\\[nr]", ""))
+        bodies = F.transform(values, lambda body: F.regexp_replace(body, BREAKS, ""))
         values = F.zip_with(wholes, bodies, lambda whole, body: F.when(body == "", whole).otherwise(body))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     triples = F.arrays_zip(gaps.alias("gap"), wholes.alias("whole"), values.alias("value"))

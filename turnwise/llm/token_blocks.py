@@ -35,9 +35,10 @@ ROW_IDS = 1 << 17
 CACHE_STEMS = 700_000
 #: Documents that are encoded together.
 BATCH_DOCS = 2000
-#: Marks at a word's end that the tokenizer splits off as one piece, and the letters before them.
+#: Marks at a word's end, and the Latin letters before them, of which an encoder takes those that its tokenizer
+#: splits from every mark.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+LETTERS = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250)) if c not in (0xD7, 0xF7)]
 
 FILE_SCHEMA = (
     "part int, seq int, doc_ids array<bigint>, n_tokens array<bigint>, n_ids bigint, "
@@ -133,9 +134,6 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return values.T
 
 
-_LETTERS = re.compile(LETTERS)
-
-
 class WordEncoder:
     """A tokenizer of white-space separated words, with the ids of the last stems kept.
 
@@ -157,9 +155,21 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         if suffix:
             self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.letters = f"^[{''.join(self._split_letters())}]+$"
+        self.is_letters = re.compile(self.letters)
         self.stems: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _split_letters(self) -> list[str]:
+        """Letters whose ids no mark behind them changes. A letter whose lower case ends with a combining mark is
+        none, as the mark joins those behind it. With another kind of tokenizer there may be no such letter, and
+        words are looked up whole; \0 keeps the class from being empty."""
+        alone = {x: e for x, e in zip([*LETTERS, *MARKS], self._apart([*LETTERS, *MARKS]))}
+        pairs = [(letter, mark) for letter in LETTERS for mark in MARKS]
+        both = self._apart([letter + mark for letter, mark in pairs])
+        joined = {letter for (letter, mark), ids in zip(pairs, both) if ids != alone[letter] + alone[mark]}
+        return [letter for letter in LETTERS if letter not in joined] or ["\\x00"]
+
     def _ids(self, stems: list[str]) -> list[bytes]:
         if len(self.stems) > CACHE_STEMS // 2:
             self.older, self.stems = self.stems, {}
@@ -168,7 +178,7 @@ class WordEncoder:
         new = [stem for stem in unknown if stem not in older]
         if len(new) < len(unknown):
             known.update((stem, older[stem]) for stem in unknown if stem in older)
-        letters = [stem for stem in new if _LETTERS.match(stem)]
+        letters = [stem for stem in new if self.is_letters.match(stem)]
         for at in range(0, len(letters), 4096):
             part = letters[at : at + 4096]
             known.update(zip(part, self._together(part)))
@@ -199,7 +209,7 @@ class WordEncoder:
         words = pieces.flatten().dictionary_encode()
         distinct = words.dictionary
         body = pc.utf8_rtrim(distinct, characters=MARKS)
-        split = pc.match_substring_regex(body, pattern=LETTERS)
+        split = pc.match_substring_regex(body, pattern=self.letters)
         mark = _ends(distinct, body)
         stem = pc.if_else(split, pc.ascii_lower(body), distinct)
         mark = pc.if_else(split, mark, "")

@@ -324,16 +324,21 @@ def test_explain_outcome(spark):
         tokens, joy = rng.normal(), rng.normal()
         data.append((i, gender, topic, float(tokens), float(joy), 1.0, float(5 * (i % 4 == 0) + joy + 0.1 * rng.normal())))
     data.append((200, "f", "alone", 0.0, 0.0, 1.0, 99.0))
-    data.append((201, None, "t0", 0.0, 0.0, 1.0, 99.0))
+    data.append((201, None, "t0", 0.0, 0.0, 1.0, 5.0))
+    data.append((202, "f", "t0", 0.0, 0.0, 1.0, None))
     schema = "id BIGINT, gender STRING, topic STRING, num_sents_x_user_prompt DOUBLE, e_joy_user_prompt DOUBLE, num_tokens_user_prompt DOUBLE, y DOUBLE"
     df = spark.createDataFrame(data, schema)
     features = ["num_sents_x_user_prompt", "e_joy_user_prompt", "num_tokens_user_prompt"]
     out = explain_outcome(df, "y", features, ["gender"], "topic", "id")
     fit = {r.feature: r for r in out.elastic_net.collect()}
-    assert "num_tokens_user_prompt" in COLLINEAR_FEATURES and "num_tokens_user_prompt" not in fit
+    least = {r.feature: r for r in out.ols.collect()}
+    # Least squares leaves collinear features and rows without a group out, the elastic net neither.
+    assert "num_tokens_user_prompt" in COLLINEAR_FEATURES and "num_tokens_user_prompt" not in least
+    assert set(fit) == {*least, "num_tokens_user_prompt"}
+    assert {r.n for r in least.values()} == {200} and {r.n for r in fit.values()} == {201}
     assert "dummy_topic_alone" not in fit and fit["dummy_topic_t0"].coefficient > 1 and fit["e_joy_user_prompt"].r2 > 0.95
     reduced = {r.feature for r in out.without_topic.collect()}
     assert reduced == {f for f in fit if not f.startswith("dummy_topic_")}
     families = {r.family: r.max_importance for r in out.families.collect()}
     assert families["topic"] > families["demographic"]
-    assert out.ols.count() == len(fit) and out.change.count() <= 1
+    assert out.change.count() <= 1

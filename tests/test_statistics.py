@@ -22,6 +22,7 @@ from turnwise.operators.aggregates import (
     group_spread,
     mean_ci,
     mean_ci_bootstrap,
+    moments,
 )
 from turnwise.operators.classification import (
     class_scores,
@@ -321,3 +322,16 @@ def test_aso_equals_sorted_samples(spark, monkeypatch, range_values):
         assert math.isclose(got[k].violation, share[0], abs_tol=1e-12)
         bound = share[0] - share[1:].std() * NormalDist().inv_cdf(0.05)
         assert math.isclose(got[k].aso, min(max(bound, 0.0), 1.0), abs_tol=1e-9)
+
+
+def test_nan_is_skipped_like_null(spark):
+    """As pandas does: in moments, group means, intervals, the bootstrap and ANOVA."""
+    rows = [("k", "a", 1.0), ("k", "a", 2.0), ("k", "b", 4.0), ("k", "b", 7.0)]
+    odd = [("k", "a", float("nan")), ("k", "b", None), ("k", "c", float("nan"))]
+    plain, mixed = (spark.createDataFrame(r, "k STRING, g STRING, v DOUBLE") for r in (rows, rows + odd))
+    for summary in (
+        lambda df: moments(df, ["k"], "v"), lambda df: mean_ci(df, ["k"], "v"), lambda df: group_spread(df, ["k"], "g", "v"),
+        lambda df: mean_ci_bootstrap(df, ["k"], "v", replicates=50), lambda df: anova(df, ["k"], "g", "v"),
+    ):
+        assert summary(mixed).collect() == summary(plain).collect()
+    assert anova(mixed, ["k"], "g", "v").first().status == "ok"

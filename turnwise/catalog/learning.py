@@ -3,6 +3,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnwise.catalog.registry import OUTCOMES, query, rounded, sql_hash_mod
+from turnwise.config import L1_RATIOS, N_ALPHAS
+from turnwise.operators.cross_moments import cross_moments, dense_moments, feature_names, with_intercept
 from turnwise.operators.gram import gram, gram_long, merge
 from turnwise.operators.importance import families_of, importance_change
 from turnwise.operators.probe import (
@@ -15,14 +17,14 @@ from turnwise.operators.probe import (
 from turnwise.operators.ranking import assign_fold
 from turnwise.operators.regression import (
     best_penalty,
-    elastic_net_cv,
+    elastic_net_cv_from_gram,
     elastic_net_fit,
     elastic_net_grid,
     ols,
+    ols_from_gram,
     standardise,
     vif_step,
 )
-from turnwise.operators.reshape import dummies
 from turnwise.session import cut_lineage
 from turnwise.sources.tables import spread
 
@@ -49,11 +51,11 @@ def _lines(t):
     )
 
 
-def _design(t):
-    """Scaled regressors and one-hot groups, with a fold of each order."""
-    coded = dummies(standardise(_lines(t), REGRESSORS), ["topic", "age"])
-    xs = [*REGRESSORS, *[c for c in coded.columns if c.startswith("dummy_")]]
-    return assign_fold(coded, "l_orderkey", 5, 42), xs
+def _moments(t, keys=()):
+    """Cross moments of scaled regressors and two groups, read in one scan, and the columns of a fit."""
+    lines = assign_fold(_lines(t), "l_orderkey", 5, 42) if keys else _lines(t)
+    cross = cross_moments(lines, REGRESSORS, ["topic", "age"], TARGET, keys)
+    return cross, feature_names(cross)
 
 
 @query(
@@ -83,8 +85,25 @@ def _(t):
 
 @query("ml2_ols")
 def _(t):
-    rows, xs = _design(t)
-    return ols(rows, TARGET, xs)
+    cross, xs = _moments(t)
+    return with_intercept(ols_from_gram(dense_moments(cross, xs), xs), cross)
+
+
+@query(
+    "ml2_ols_two_regressors",
+    """WITH m AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my,
+        var_pop(l_quantity) AS a, var_pop(l_discount) AS b, covar_pop(l_quantity, l_discount) AS ab,
+        covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS byy, var_pop(l_extendedprice) AS yy
+      FROM lineitem GROUP BY 1),
+    w AS (SELECT *, (ay * b - byy * ab) / (a * b - ab * ab) AS wa, (byy * a - ay * ab) / (a * b - ab * ab) AS wb FROM m)
+    SELECT l_returnflag, unnest(['l_quantity', 'l_discount']) AS feature, round(unnest([wa, wb]), 4) AS coefficient,
+      round(my - wa * ma - wb * mb, 4) AS intercept, round((wa * ay + wb * byy) / yy, 7) AS r2, n FROM w""",
+)
+def _(t):
+    cross = cross_moments(t.lineitem, ["l_quantity", "l_discount"], [], "l_extendedprice", ["l_returnflag"])
+    xs = feature_names(cross)
+    fit = with_intercept(ols_from_gram(dense_moments(cross, xs, scale=False), xs, ["l_returnflag"]), cross)
+    return fit.select("l_returnflag", "feature", *rounded("coefficient", "intercept", digits=4), *rounded("r2", digits=7), "n")
 
 
 def _net(t):
@@ -107,8 +126,8 @@ _NET = """d AS (SELECT l_linenumber AS fold, l_extendedprice / 1000 AS x,
     f"""WITH {_NET},
     train AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v
       FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY 1),
-    grid AS (SELECT l1, i, abs((SELECT covar_pop(x, y) FROM d)) / l1 * pow(0.001, i / 19.0) AS alpha
-      FROM (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS l1), (SELECT unnest(generate_series(0, 19)) AS i)),
+    grid AS (SELECT l1, i, abs((SELECT covar_pop(x, y) FROM d)) / l1 * pow(0.001, i / {N_ALPHAS - 1}.0) AS alpha
+      FROM (SELECT unnest({L1_RATIOS}::DOUBLE[]) AS l1), (SELECT unnest(range({N_ALPHAS})) AS i)),
     fit AS (SELECT fold, l1, i, alpha, mx, my,
       sign(c) * greatest(abs(c) - alpha * l1, 0) / (v + alpha * (1 - l1)) AS w FROM train, grid)
     SELECT f.fold, l1 AS l1_ratio, CAST(i AS INT) AS alpha_index, round(any_value(alpha), 5) AS alpha,
@@ -116,7 +135,7 @@ _NET = """d AS (SELECT l_linenumber AS fold, l_extendedprice / 1000 AS x,
     FROM fit f JOIN d ON d.fold = f.fold GROUP BY 1, 2, 3""",
 )
 def _(t):
-    grid = elastic_net_grid(_net(t), "fold", l1_ratios=[0.5, 1.0], n_alphas=20)
+    grid = elastic_net_grid(_net(t), "fold")
     return grid.select("fold", "l1_ratio", "alpha_index", *rounded("alpha", "mse", digits=5))
 
 
@@ -139,8 +158,8 @@ def _(t):
 
 @query("ml3_elastic_net_cv")
 def _(t):
-    rows, xs = _design(t)
-    return elastic_net_cv(rows, TARGET, xs, "fold")
+    cross, xs = _moments(t, ["fold"])
+    return with_intercept(elastic_net_cv_from_gram(dense_moments(cross, xs), xs, "fold"), cross)
 
 
 @query(
@@ -168,8 +187,8 @@ def _(t):
 
 @query("ml5_refit_without_topics")
 def _(t):
-    rows, xs = _design(t)
-    moments = cut_lineage(gram(rows, xs, TARGET, ["fold"]))
+    cross, xs = _moments(t, ["fold"])
+    moments = cut_lineage(dense_moments(cross, xs))
     penalty = cut_lineage(best_penalty(elastic_net_grid(moments, "fold")))
     total = merge(moments, [])
     topics = [x for x in xs if x.startswith("dummy_topic_")]

@@ -432,8 +432,7 @@ def _inferred(t):
 
 _INFERRED = WITH_OUT + """, r AS (SELECT conversation_id, segment, status, conversation_id % 3 = 0 AS off FROM out),
     c AS (SELECT 'segment' AS demo, segment AS a, CASE WHEN off THEN 'BUILDING' ELSE segment END AS p FROM r WHERE segment <> 'HOUSEHOLD'
-      UNION ALL SELECT 'status', status, CASE WHEN NOT off THEN status WHEN status = 'F' THEN 'O' ELSE 'F' END FROM r
-        WHERE conversation_id % 5 <> 0)"""
+      UNION ALL SELECT 'status', status, CASE WHEN NOT off THEN status WHEN status = 'F' THEN 'O' ELSE 'F' END FROM r)"""
 
 
 @query(
@@ -441,9 +440,7 @@ _INFERRED = WITH_OUT + """, r AS (SELECT conversation_id, segment, status, conve
     _INFERRED + """ SELECT demo, a AS "true", p AS predicted, count(*) AS n FROM c GROUP BY 1, 2, 3""",
 )
 def _(t):
-    # Its SQL leaves out the status of each fifth conversation.
-    rows = _inferred(t).filter((F.col("demo") == "segment") | (F.col("conversation_id") % 5 != 0))
-    return confusion_counts(rows, ["demo"], "true", "predicted")
+    return confusion_counts(_inferred(t), ["demo"], "true", "predicted")
 
 
 @query("st8_inference_scores")

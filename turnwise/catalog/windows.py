@@ -16,6 +16,7 @@ from turnwise.operators.ranking import (
     rank_by_magnitude,
     sample_n,
     top_n,
+    top_per_group,
 )
 from turnwise.operators.turns import collapse_same_role, until_first_missing
 from turnwise.plans.disparity import compare_conditions
@@ -122,13 +123,24 @@ def _(t):
 
 @query(
     "srt2_top_features",
-    f"""WITH {COEFFICIENTS} SELECT feature, round(coefficient, 6) AS coefficient FROM coefficients
-    WHERE analysis = 'N' ORDER BY abs(coefficients.coefficient) DESC, feature LIMIT 20""",
+    f"""WITH {COEFFICIENTS} SELECT analysis, feature, round(coefficient, 6) AS coefficient, rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY analysis ORDER BY abs(coefficients.coefficient) DESC, feature) AS INT) AS rank
+      FROM coefficients) WHERE rank <= 20""",
 )
 def _(t):
-    of_one = coefficients_view(t).filter("analysis = 'N'")
-    best = top_n(of_one, 20, [F.abs("coefficient").desc(), F.col("feature")])
-    return best.select("feature", *rounded("coefficient"))
+    order = [F.abs("coefficient").desc(), F.col("feature")]
+    best = top_per_group(coefficients_view(t), ["analysis"], 20, order, F.col("feature"))
+    return best.select("analysis", "feature", *rounded("coefficient"), "rank")
+
+
+@query(
+    "srt2_top_features_of_all",
+    f"""WITH {COEFFICIENTS} SELECT analysis, feature, round(coefficient, 6) AS coefficient FROM coefficients
+    ORDER BY abs(coefficients.coefficient) DESC, feature, analysis LIMIT 20""",
+)
+def _(t):
+    best = top_n(coefficients_view(t), 20, [F.abs("coefficient").desc(), F.col("feature"), F.col("analysis")])
+    return best.select("analysis", "feature", *rounded("coefficient"))
 
 
 @query(

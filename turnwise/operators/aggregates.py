@@ -23,8 +23,8 @@ def conversation_means(df: DataFrame, keys: Sequence[str], features: Sequence[st
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, second central moment and both variances."""
-    v = F.col(value)
+    """Count, mean, second central moment and both variances; NaN is skipped like null."""
+    v = clean(F.col(value).cast("double"))
     return df.groupBy(*keys).agg(
         F.count(v).alias("n"),
         F.avg(v).alias("mean"),
@@ -35,10 +35,10 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def group_means(df: DataFrame, by: Sequence[str], group: str, outcome: str) -> DataFrame:
+    """Count, mean and variance of each group; NaN is skipped like null."""
+    v = clean(F.col(outcome).cast("double"))
     return df.groupBy(*by, group).agg(
-        F.count(outcome).alias("n"),
-        F.avg(outcome).alias("mean"),
-        F.var_samp(outcome).alias("var"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var")
     )
 
 
@@ -53,13 +53,14 @@ def group_spread(df: DataFrame, by: Sequence[str], group: str, outcome: str) ->
 
 
 def mean_ci(df: DataFrame, keys: Sequence[str], value: str, z: float = 1.96) -> DataFrame:
-    """Mean with its normal interval."""
-    half = F.lit(z) * F.stddev_samp(value) / F.sqrt(F.count(value))
+    """Mean with its normal interval; NaN is skipped like null."""
+    v = clean(F.col(value).cast("double"))
+    half = F.lit(z) * F.stddev_samp(v) / F.sqrt(F.count(v))
     return df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        (F.avg(value) - half).alias("low"),
-        (F.avg(value) + half).alias("high"),
+        F.count(v).alias("n"),
+        F.avg(v).alias("mean"),
+        (F.avg(v) - half).alias("low"),
+        (F.avg(v) + half).alias("high"),
     )
 
 
@@ -74,7 +75,7 @@ def mean_ci_bootstrap(
     """
     keys = list(keys)
     histogram = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(clean(F.col(value).cast("double")).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_count"))
         .withColumn("_seed", F.xxhash64(F.lit(seed), *keys, "_value"))

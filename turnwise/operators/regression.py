@@ -259,8 +259,14 @@ def elastic_net_cv(
     df: DataFrame, y: str, xs: Sequence[str], fold: str, by: Sequence[str] = (), **grid_options
 ) -> DataFrame:
     """Coefficients at the cross-validated penalty. The data are scanned once."""
-    by = list(by)
-    moments = cut_lineage(gram(df, xs, y, [*by, fold]))
+    return elastic_net_cv_from_gram(gram(df, xs, y, [*by, fold]), xs, fold, by, **grid_options)
+
+
+def elastic_net_cv_from_gram(
+    moments: DataFrame, xs: Sequence[str], fold: str, by: Sequence[str] = (), **grid_options
+) -> DataFrame:
+    """The same from the moment matrices of the folds."""
+    by, moments = list(by), cut_lineage(moments)
     penalties = best_penalty(elastic_net_grid(moments, fold, by, **grid_options), by)
     return elastic_net_fit(merge(moments, by), penalties, xs, by)
 

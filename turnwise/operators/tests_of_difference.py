@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.config import ALPHA_GROUPS
-from turnwise.functions.numeric import ratio
+from turnwise.functions.numeric import clean, ratio
 from turnwise.functions.tails import chi2_tail, f_tail, t_tail
 from turnwise.operators.aggregates import group_means, null_safe_join
 
@@ -74,8 +74,9 @@ def anova_from_stats(
 
 
 def anova(df: DataFrame, by: Sequence[str], group: str, outcome: str) -> DataFrame:
-    """One-way ANOVA of the outcome over groups, and the spread of the group means."""
-    groups = group_means(df.filter(F.col(outcome).isNotNull()), by, group, outcome)
+    """One-way ANOVA of the outcome over groups, and the spread of the group means. Rows without an
+    outcome (null or NaN) are left out."""
+    groups = group_means(df.filter(clean(F.col(outcome).cast("double")).isNotNull()), by, group, outcome)
     return anova_from_stats(groups, by)
 
 

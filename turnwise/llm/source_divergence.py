@@ -260,7 +260,8 @@ def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS) ->
     )
     groups = groups.withColumn("base", F.when(F.col("kept") > 0, _share("0", "total")))
     tiles = F.expr(f"1 + (max(number) OVER (PARTITION BY lang)) div {TILE}")
-    groups = stored(groups.withColumn("tiles", tiles), "groups")
+    lang_total = F.sum("total").over(Window.partitionBy("lang"))
+    groups = stored(groups.withColumns({"tiles": tiles, "lang_total": lang_total}), "groups")
     shares = used.join(groups.drop("base"), ["lang", "source"]).withColumn("share", _share("n", "total"))
     sums = _pair_sums(shares, groups.filter(F.col("kept") > 0))
     ones = groups.select("lang", "kept", "source", F.col("number").alias("one"), F.col("base").alias("p"))
@@ -269,8 +270,7 @@ def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS) ->
     value = F.coalesce(F.col("kept") * _excess("p", "q") + F.col("extra"), F.lit(0)).alias("value")
     pairs = _ranked(pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value))
 
-    lang_totals = totals.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    terms = shares.join(lang_totals, "lang").withColumn("mean", _share("lang_n", "lang_total"))
+    terms = shares.withColumn("mean", _share("lang_n", "lang_total"))
     terms = terms.filter(F.col("share") > F.col("mean")).select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"),
         _excess("share", "mean").alias("value"),

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from turnwise.catalog import QUERIES, learning, statistics
 from turnwise.catalog.registry import Tables
-from turnwise.operators.regression import alpha_path, descend
+from turnwise.operators.ranking import assign_fold
+from turnwise.operators.regression import alpha_path, descend, standardise
+from turnwise.operators.reshape import dummies
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -49,7 +51,11 @@ def test_refit_without_topics_searches_the_whole_grid(spark, monkeypatch):
     searched = made[0].select("l1_ratio", "alpha_index", "fold").collect()
     assert sorted(searched) == [(r, i, f) for r in ratios for i in range(100) for f in range(5)]
 
-    rows, xs = learning._design(Tables(spark, FOLDER))
+    # The dense one-hot matrix, which the query never builds.
+    lines = learning._lines(Tables(spark, FOLDER))
+    coded = dummies(standardise(lines, learning.REGRESSORS), ["topic", "age"])
+    xs = [*learning.REGRESSORS, *[c for c in coded.columns if c.startswith("dummy_")]]
+    rows = assign_fold(coded, "l_orderkey", 5, 42)
     data = rows.select("fold", *(F.col(c).cast("double") for c in [*xs, learning.TARGET])).toPandas()
     fold, z = data["fold"].to_numpy(), data[[*xs, learning.TARGET]].to_numpy()
     second = np.cov(z.T, ddof=0)

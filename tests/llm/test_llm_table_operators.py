@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ from turnwise.llm.budget_mix import allocate, mix
 from turnwise.llm.catalog import QUERIES
 from turnwise.llm.components import components
 from turnwise.llm.product_quantisation import similar_vectors
-from turnwise.llm.toxicity import fit_cumulative_link, fit_on_labels, score_severity
+from turnwise.llm.toxicity import LEAST_Z, SeverityModel, fit_cumulative_link, fit_on_labels, score_severity, text_features
 from turnwise.llm.url_cascade import build_cascade, judge_urls
 
 from .conftest import texts_of
@@ -205,6 +207,57 @@ def test_grades_of_the_labels_are_kept(spark):
     assert means == sorted(means) and means[0] < 0.5 and means[3] > 3
 
 
+def test_severity_matches_brute_force(spark, odd_docs, tmp_path):
+    """The kept features from plain counts, and the rows of the query from plain sums over sets of features."""
+    rng = np.random.default_rng(9)
+    plain, vile = [f"plain{i}" for i in range(120)], ["vileword", "Awful!", "(bad"]
+    docs = [(i, " ".join([*rng.choice(plain, 30), *(rng.choice(vile, 2) if i % 4 == 0 else [])])) for i in range(500)]
+    frame = spark.createDataFrame([(1000 + i, t) for i, t in docs], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(1000 + i, int(i % 4 == 0)) for i, _ in docs], "doc_id BIGINT, toxic INT")
+    model = fit_on_labels(frame, labels)
+    counts = [Counter(f for i, t in docs if (i % 4 == 0) == side for f in text_features(t)) for side in (False, True)]
+    told = set()
+    for feature in counts[0] | counts[1]:
+        a, b = counts[1][feature] + 0.5, counts[0][feature] + 0.5
+        c, d = 125 - a + 1, 375 - b + 1
+        if abs(math.log(a / c) - math.log(b / d)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d) >= LEAST_Z:
+            told.add(feature)
+    assert set(model.weights) == told and told
+
+    odd = [(None, "vileword"), (9001, "\tvileword\nAWFUL\x0b\x0c(bad\r"), (9002, "vileword\u00a0awful"), (9003, "x " * 50_000 + "awful")]
+    texts = frame.union(odd_docs.select("doc_id", "text")).union(spark.createDataFrame(odd, frame.schema))
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    want = []
+    for i, text in texts_of(texts):
+        score = sum(model.weights.get(f, 0.0) for f in text_features(text or ""))
+        above = [1 / (1 + math.exp(cut - score)) if text else 0.0 for cut in model.thresholds]
+        want.append((str(i), round(sum(above), 9), round(above[0], 9), above[0] >= 0.5))
+    got = [(str(r.doc_id), round(r.severity, 9), round(r.p_toxic, 9), r.toxic) for r in QUERIES["op2_toxicity"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+CLASHING = ["toxic", "severity", "_score", "score", "domain", "Text", "_rest", "_hit", "_of", "_kept", "root", "_tokens", "_row", "_words", "n", "class"]
+
+
+def test_operators_keep_columns_with_clashing_names(spark, odd_docs):
+    plain = odd_docs.select("doc_id", "text", "lang")
+    docs = plain.select("*", *(F.lit(k).alias(name) for k, name in enumerate(CLASHING)))
+    scored = score_severity(docs, SeverityModel({"one": 2.0}, [0.5]))
+    assert scored.columns == [*plain.columns, *CLASHING[2:], "severity", "p_toxic", "toxic"]
+    assert {tuple(r)[3:17] for r in scored.collect()} == {tuple(range(2, 16))}
+    mixed = mix(docs, ["domain", "lang"], {"domain": F.lit(1), "lang": F.lit(1)}, share=(1, 1))
+    left = [c for c in CLASHING if c != "_tokens"]
+    assert mixed.columns == [*plain.columns, *left, "_tokens", "_epoch", "_taken"]
+    assert mixed.count() == docs.count() and mixed.select(*(c for c in left if c != "Text")).distinct().count() == 1
+
+
+def test_ids_that_are_no_numbers_have_no_labels(spark):
+    docs = spark.createDataFrame([("a", "some text"), ("2", "more")], "doc_id STRING, text STRING")
+    labels = spark.createDataFrame([("a", 1), ("2", 0)], "doc_id STRING, toxic INT")
+    assert not any(r.toxic for r in score_severity(docs, fit_on_labels(docs, labels)).collect())
+
+
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -233,3 +286,28 @@ def test_pipeline(spark, odd_docs, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     assert corpus_pipeline.run(spark, folder).count() > 5
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_stages_keep_columns_with_clashing_names(spark, odd_docs, no_docs):
+    """Extra columns leave each stage as they came, beside the rows that stay without them."""
+    plain = odd_docs.select("doc_id", "text", "lang", "source")
+    docs = plain.select("*", *(F.lit(k).alias(name) for k, name in enumerate(CLASHING)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns, name
+        rows = [tuple(r) for r in got.collect()]
+        assert rows and {r[4:] for r in rows} == {tuple(range(16))}, name
+        want = [tuple(r) for r in stage(spark, plain, FOLDER).collect()]
+        assert sorted((r[:2] for r in rows), key=repr) == sorted((r[:2] for r in want), key=repr), name
+        empty = stage(spark, no_docs, FOLDER)
+        assert empty.columns == no_docs.columns and empty.count() == 0
+    assert corpus_pipeline.token_files(spark, docs.toDF(*plain.columns, *(c if c != "Text" else "t" for c in CLASHING)), FOLDER).count() == docs.count()
+
+
+def test_clean_texts_without_an_id_stay(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(None, "a " + item), (None, "clean"), (None, None), (1, item), (1, "other text"), (2, "")], "doc_id BIGINT, text STRING")
+    spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = texts_of(corpus_pipeline.decontamination(spark, docs, str(tmp_path)))
+    assert sorted(got, key=repr) == sorted([(None, "clean"), (None, None), (1, "other text"), (2, "")], key=repr)

@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import WORD, stored
+from turnwise.llm.common import WORD, set_aside, stored
 
 #: Documents that a range of the order holds on average; its number of ranges follows from it.
 RANGE_DOCS = 4000
@@ -93,8 +93,10 @@ def mix(
 
     ``share`` is the budget as a fraction of all tokens, in two integers. ``weights`` has an integer
     column of the path for each level. The last document of a leaf's prefix is taken whole as a row;
-    ``_taken`` says how many of its tokens the budget still holds.
+    ``_taken`` says how many of its tokens the budget still holds. Columns of ``docs`` with these three names
+    give way to them; all others stay as they are.
     """
+    docs, restore = set_aside(docs, ["doc_id", "text", *levels])
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
     counts = stored(docs.select("doc_id", *named, count_words(F.col("text")).alias("n")), "counts")
     leaves = stored(
@@ -147,5 +149,4 @@ def mix(
     )
     partial = (F.col("_epoch") == F.col("_full")) & (F.col("_order") == F.col("_last"))
     taken = F.when(partial, F.least("_tokens", F.col("_rest") - F.col("_before"))).otherwise(F.col("_tokens"))
-    rows = rows.withColumn("_taken", taken)
-    return rows.drop(*(f"_at_{c}" for c in levels), "_full", "_rest", "_last", "_before", "_order")
+    return restore(rows.withColumn("_taken", taken), "_tokens", "_epoch", "_taken")

@@ -117,17 +117,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_set:
 
 
 def _joined_scan(base: DataFrame, windows: DataFrame, sizes: list[int], empty: Column) -> DataFrame:
-    """The same scan for a benchmark too large for a set: window hashes are joined."""
+    """The same scan for a benchmark too large for a set: window hashes are joined. A place travels as its
+    number and hash; the words of a document are not copied for each."""
     numbered = stored(base.withColumn("_id", F.monotonically_increasing_id()), "words")
     known = windows.select("n", "hash", "words").distinct()
     parts = []
     for n in sizes:
-        places = numbered.filter(F.size("_words") >= n).select(
-            "_id", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - n)).alias("at")
-        )
-        parts.append(
-            places.select("_id", "at", F.lit(n).alias("n"), F.xxhash64(_window(F.col("_words"), F.col("at"), n)).alias("hash"))
+        hashes = F.transform(
+            F.sequence(F.lit(0), F.size("_words") - n),
+            lambda at: F.struct(at.alias("at"), F.lit(n).alias("n"), F.xxhash64(_window(F.col("_words"), at, n)).alias("hash")),
         )
+        parts.append(numbered.filter(F.size("_words") >= n).select("_id", F.inline(hashes)))
     hashed = parts[0]
     for part in parts[1:]:
         hashed = hashed.unionByName(part)

@@ -9,13 +9,14 @@ The model is fitted on a bounded sample of labelled rows: ``PER_CLASS`` document
 first by a hash of their id, weighted to the grades' true shares. Scores cover every row and its whole
 text; a worker sees each distinct word of a batch once.
 
-Labels that are null or negative and labelled documents without text are left out of the sample, and
-a document with several labels has its highest. Null and empty texts have severity 0. Without both
+Labels that are null or negative, ids that are no whole number and labelled documents without text are left
+out of the sample, and a document with several labels has its highest. Null and empty texts have severity 0. Without both
 kinds of labels every severity is 0.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import stored
+from turnwise.llm.common import set_aside, stored
 
 #: Most documents of each label in the sample.
 PER_CLASS = 3000
@@ -51,7 +52,7 @@ def word_features(word: str) -> list[str]:
 
 
 def text_features(text: str) -> set[str]:
-    return {name for word in set(text.split()) for name in word_features(word)}
+    return {name for word in set(re.findall(f"[^{SEPARATORS}]+", text)) for name in word_features(word)}
 
 
 @dataclass
@@ -147,7 +148,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     Without grades above 1, toxic documents are grade 1, or 2 where more features tell that they are toxic
     than in the median toxic document. Copies count once for each grade they have. The driver gets the chosen features of each document of the sample, no text.
     """
-    known = labels.filter("doc_id IS NOT NULL AND toxic >= 0").groupBy("doc_id").agg(
+    known = labels.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), "toxic")
+    known = known.filter("doc_id IS NOT NULL AND toxic >= 0").groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("grade")
     )
     known = stored(known, "labels")
@@ -159,7 +161,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
         for grade in sorted(totals)
     ]
     sample = stored(reduce(DataFrame.unionByName, parts), "sample")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text <> ''")
+    texts = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), "text").filter("text <> ''")
     texts = texts.join(sample, "doc_id").select("doc_id", "text", "grade")
     described = stored(texts.mapInArrow(_describe, SAMPLED), "described")
     first = described.groupBy("signature", "grade").agg(F.min("doc_id").alias("doc_id"))
@@ -211,7 +213,9 @@ def score_texts(texts: pa.Array, weights: dict[str, float]) -> np.ndarray:
 
 
 def score_severity(docs: DataFrame, model: SeverityModel, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``severity`` (expected grade), ``p_toxic`` (P(grade > 0)) and ``toxic``."""
+    """``docs`` with ``severity`` (expected grade), ``p_toxic`` (P(grade > 0)) and ``toxic``.
+
+    Columns of ``docs`` with these names give way to them; all others stay as they are."""
     @F.pandas_udf("severity double, p_toxic double")
     def score(texts: pd.Series) -> pd.DataFrame:
         out = np.zeros((len(texts), 2))
@@ -223,8 +227,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, threshold: float = 0.5
                 out[at : at + 1000] = np.column_stack([above.sum(axis=1), above[:, 0]])
         return pd.DataFrame(out, columns=["severity", "p_toxic"])
 
-    scored = docs.withColumn("_score", score("text"))
-    return scored.select(
-        *docs.columns, F.col("_score.severity").alias("severity"), F.col("_score.p_toxic").alias("p_toxic"),
-        (F.col("_score.p_toxic") >= threshold).alias("toxic"),
-    )
+    plain, restore = set_aside(docs, ["text"])
+    scored = plain.withColumn("score", score("text")).select("*", "score.severity", "score.p_toxic")
+    scored = scored.withColumn("toxic", F.col("p_toxic") >= threshold)
+    return restore(scored, "severity", "p_toxic", "toxic")

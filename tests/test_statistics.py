@@ -210,6 +210,38 @@ def test_pair_table_per_analysis(spark):
             assert math.isclose(mean, 2 * got[("m", cell)])
 
 
+def test_pair_table_in_many_ranges_and_batches(spark):
+    """Half of all rows have one value, which then lies in several ranges; null analyses are one analysis."""
+    rng = np.random.default_rng(3)
+    data = [
+        (None if i % 3 else "m", f"g{rng.integers(0, 9)}", f"t{rng.integers(0, 9)}", 7.5 if i % 2 else float(rng.integers(-40, 40)))
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(data, "model STRING, g STRING, topic STRING, v DOUBLE")
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "11", "spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        got = {(r.model, r.cell): r for r in pair_table(df, ["g"], "topic", "v", by=["model"]).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    for model in (None, "m"):
+        of_model = [r[1:] for r in data if r[0] == model]
+        expected = pairs_by_hand(of_model, ["g", "topic", "v"], ["g"], [], False)
+        assert len(expected) == 4
+        for cell, (n, mean, var) in expected.items():
+            row = got.pop((model, cell))
+            assert row.n == n and math.isclose(row.mean, mean, rel_tol=1e-9) and math.isclose(row.var, var, rel_tol=1e-9)
+    assert not got
+
+
+def test_pair_table_of_nothing(spark):
+    none = spark.createDataFrame([(None, "t", 1.0), ("a", None, 1.0), ("a", "t", None)], "g STRING, topic STRING, v DOUBLE")
+    assert pair_table(none, ["g"], "topic", "v").count() == 0
+
+
 LABELS = [("a", "a"), ("a", "b"), ("a", "a"), ("b", "b"), ("b", "c"), ("a", None), (None, "a")]
 
 

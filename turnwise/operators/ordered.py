@@ -179,3 +179,12 @@ def _key_starts(carry: Carry, key: Sequence[pa.Array]) -> np.ndarray:
     for array in key:
         same[1:] &= same_as_before(array)
     return ~same
+
+
+def key_runs(key: Sequence[pa.Array]) -> Iterator[tuple[tuple, int, int]]:
+    """Each stretch of rows of a batch with one key: the key, its first row and the row after it."""
+    if not len(key[0]):
+        return
+    starts = np.append(np.flatnonzero(_key_starts(Carry(), key)), len(key[0])).tolist()
+    for start, end in zip(starts, starts[1:]):
+        yield _key_at(key, start), start, end

@@ -1,23 +1,33 @@
 """Differences between all pairs of conversations, without forming a pair.
 
 Within a block of n values, over all ordered pairs including self-pairs: the pair count is n²,
-Σ(x−y)² is 2(nΣx² − (Σx)²), and Σ|x−y| is 2Σ v·c·(below − above) over the distinct values v with
-their counts c and the members below and above. The four same/different combinations of group and
-topic are sums and differences of those totals over four ways to form blocks.
+Σ(x−y)² is 2(nΣx² − (Σx)²), and Σ|x−y| is 2Σ v·c·(before − after) over counted values v in order, c
+their counts, before and after the members on both sides. Entries of one value may stand in any
+order, as their terms sum to the same. The four same/different combinations of group and topic are
+sums and differences of those totals over four ways to form blocks.
+
+The input is counted once by group, topic and value. The counts are dealt out in ranges of the value, and
+one pass over a range keeps the sums of all four kinds of blocks; a block's sums in a range then meet the
+number of its members in earlier ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from turnwise.config import UNKNOWN_MARKERS
 from turnwise.functions.numeric import clean, ratio
 from turnwise.operators.filters import known, without_outliers
-from turnwise.operators.ordered import SEGMENT, by_value, value_buckets
+from turnwise.operators.ordered import SEGMENT, key_runs
 from turnwise.operators.reshape import unpivot_demographics
+from turnwise.session import cut_lineage
 
 # Each block kind keeps group and topic, only one of them, or neither.
 _BLOCKS = {"group_topic": (True, True), "group": (True, False), "topic": (False, True), "all": (False, False)}
@@ -31,6 +41,71 @@ _CELLS = {
 }
 
 
+_SUMS = ("_n", "_s1", "_s2", "_lean")
+
+
+def _sums_in_ranges(finest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per block and range of values the sums of c, v·c, v²·c and v·c·(2·before + c), where ``before``
+    counts the range alone. Values are taken from their mean, so that squares keep their digits."""
+    mean = finest.agg(F.try_divide(F.sum(F.col("_v") * F.col("_c")), F.sum("_c"))).first()[0] or 0.0
+    order = [*keys, "_v", "group", "_t"]
+    ranges = finest.select(*order, "_c").repartitionByRange(*order).sortWithinPartitions(*order)
+    key_fields = [finest.schema[k] for k in keys]
+    texts = [StructField(name, StringType()) for name in ("kind", "block_group", "block_topic")]
+    sums = [StructField(name, DoubleType()) for name in _SUMS]
+    schema = StructType([*key_fields, StructField(SEGMENT, IntegerType()), *texts, *sums])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, key, blocks = TaskContext.get().partitionId(), None, {}
+
+        def rows(types: list[pa.DataType]) -> pa.RecordBatch:
+            n = len(blocks)
+            names = [pa.array(list(column), pa.string()) for column in zip(*blocks)]
+            totals = [pa.array(column) for column in np.array(list(blocks.values())).T]
+            of_key = [pa.array([value] * n, kind) for value, kind in zip(key, types)]
+            return pa.RecordBatch.from_arrays([*of_key, pa.array([here] * n, pa.int32()), *names, *totals], schema.names)
+
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = batch.schema.types
+            for run_key, start, end in key_runs(batch.columns[: len(keys)]):
+                if blocks and run_key != key:
+                    yield rows(types)
+                    blocks = {}
+                key = run_key
+                v, group, topic, c = batch.slice(start, end - start).columns[len(keys) :]
+                _add_run(blocks, group, topic, v.to_numpy() - mean, c.to_numpy())
+        if blocks:
+            yield rows(types)
+
+    return ranges.mapInArrow(add_up, schema)
+
+
+def _add_run(blocks: dict[tuple, np.ndarray], group: pa.Array, topic: pa.Array, v: np.ndarray, c: np.ndarray) -> None:
+    """Add counted values in order to the sums of their blocks."""
+    group, topic = group.dictionary_encode(), topic.dictionary_encode()
+    groups, topics = group.dictionary.to_pylist(), topic.dictionary.to_pylist()
+    group, topic = group.indices.to_numpy().astype(np.int64), topic.indices.to_numpy().astype(np.int64)
+    for kind, (keep_group, keep_topic) in _BLOCKS.items():
+        codes, of = np.unique(group * keep_group * len(topics) + topic * keep_topic, return_inverse=True)
+        names = [
+            (kind, groups[code // len(topics)] if keep_group else "", topics[code % len(topics)] if keep_topic else "")
+            for code in codes.tolist()
+        ]
+        so_far = np.array([blocks[name][0] if name in blocks else 0.0 for name in names])
+        together = np.argsort(of, kind="stable")
+        running = np.cumsum(c[together]) - c[together]
+        first = np.searchsorted(of[together], np.arange(len(codes)))
+        before = np.empty(len(c))
+        before[together] = running - running[first][of[together]]
+        before += so_far[of]
+        added = np.stack([
+            np.bincount(of, x, len(codes)) for x in (c, v * c, v * v * c, v * c * (2 * before + c))
+        ], axis=1)
+        for name, sums in zip(names, added):
+            blocks[name] = blocks[name] + sums if name in blocks else sums
+
+
 def pair_table(
     df: DataFrame, demographics: Sequence[str], topic: str, outcome: str, by: Sequence[str] = (),
     markers: Sequence[str] = UNKNOWN_MARKERS, unordered: bool = False,
@@ -48,49 +123,19 @@ def pair_table(
         F.col(topic).cast("string").alias("_t"),
         clean(F.col(outcome).cast("double")).alias("_v"),
     ).filter(F.col("_v").isNotNull())
-    boundaries = value_buckets(rows, "_v")
-    shift = boundaries[len(boundaries) // 2] if boundaries else 0.0
-    finest = (
+    finest = cut_lineage(
         known(unpivot_demographics(rows, [*by, "_t", "_v"], demographics), "group", markers)
         .groupBy(*by, "demo", "group", "_t", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    blocks = F.array(
-        *[
-            F.struct(
-                F.lit(kind).alias("kind"),
-                (F.col("group") if keep_group else F.lit("")).alias("block_group"),
-                (F.col("_t") if keep_topic else F.lit("")).alias("block_topic"),
-            )
-            for kind, (keep_group, keep_topic) in _BLOCKS.items()
-        ]
+        .agg(F.count(F.lit(1)).cast("double").alias("_c"))
     )
     keys = [*by, "demo", "kind", "block_group", "block_topic"]
-    # The counts are already combined, so one exchange by block and value range serves the merging
-    # of counts, the running sums and the totals of each range.
-    ranges = Window.partitionBy(*keys, SEGMENT).orderBy("_v")
-    histogram = (
-        by_value(finest.select(*by, "demo", "_v", "_c", F.inline(blocks)), "_v", boundaries)
-        .repartition(*keys, SEGMENT)
-        .groupBy(*keys, SEGMENT, "_v")
-        .agg(F.sum("_c").cast("double").alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(ranges.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    v, c = F.col("_v") - F.lit(shift), F.col("_c")
-    # Σ v·c·(below − above) = Σ v·c·(2·below + c) − n·Σ v·c, where below is the count in this range
-    # so far plus that of all ranges before it.
-    parts = histogram.groupBy(*keys, SEGMENT).agg(
-        F.sum(c).alias("_n"),
-        F.sum(v * c).alias("_s1"),
-        F.sum(v * v * c).alias("_s2"),
-        F.sum(v * c * (2 * F.col("_upto") - c)).alias("_lean"),
-    )
+    parts = _sums_in_ranges(finest, [*by, "demo"])
     earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0.0))
     totals = (
         parts.withColumn("_lean", F.col("_lean") + 2 * before * F.col("_s1"))
         .groupBy(*keys)
-        .agg(*[F.sum(m).alias(m) for m in ("_n", "_s1", "_s2", "_lean")])
+        .agg(*[F.sum(m).alias(m) for m in _SUMS])
     )
     n = F.col("_n")
     exact = n.cast("decimal(18,0)")  # squares of counts pass the range of a long, and of exact doubles

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnwise.config import COLLINEAR_FEATURES
 from turnwise.operators import gram as gram_module
+from turnwise.operators import regression
 from turnwise.operators.filters import binarize, known, min_group_size, without_outliers
 from turnwise.operators.gram import contiguous_matrix, gram, merge
 from turnwise.operators.importance import (
@@ -41,6 +42,7 @@ from turnwise.operators.regression import (
     elastic_net_fit,
     elastic_net_grid,
     best_penalty,
+    inflation,
     ols,
     standardise,
     vif_step,
@@ -186,6 +188,38 @@ def test_vif_step(spark):
     assert np.allclose([rows[c].vif for c in kept], np.diag(np.linalg.inv(correlation)), rtol=1e-6)
 
 
+@pytest.mark.parametrize("intercept", [False, True])
+def test_sweeps_remove_what_new_inverses_remove(intercept):
+    """200 columns, many of them combinations of others, nearly or exactly, and one without spread."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 200)) + 0.3
+    for k in range(60):
+        x[:, 100 + k] = x[:, k] + x[:, k + 1] + 10.0 ** -(k % 5) * rng.normal(size=900)
+    x[:, 170], x[:, 171] = 3 * x[:, 5], 2.0
+    full = np.column_stack([np.ones(900), x, np.zeros(900)])
+    matrix, left, want = full.T @ full, list(range(200)), []
+    factors = inflation(matrix, intercept)
+    while factors.max() > 10.0:
+        worst = int(factors.argmax())
+        want.append((left.pop(worst), factors[worst]))
+        matrix = np.delete(np.delete(matrix, worst + 1, 0), worst + 1, 1)
+        factors = inflation(matrix, intercept)
+    gone, kept = regression._removals(regression._correlations(full.T @ full, intercept), 10.0)
+    assert [i for i, _ in gone] == [i for i, _ in want] and len(gone) > 40
+    assert np.allclose([f for _, f in gone if f < 1e8], [f for _, f in want if f < 1e8], rtol=1e-6)
+    assert [i for i, _ in kept] == left and np.allclose([f for _, f in kept], factors, rtol=1e-9)
+
+
+def test_folds_in_order_of_any_key(spark):
+    names = [None, None, *(f"n{i * 7919 % 1009}" for i in range(500)), "Ünder", ""]
+    df = spark.createDataFrame([(n,) for n in names], "name STRING").repartition(9)
+    got = sorted(((r.name is not None, (r.name or "").encode()), r.fold) for r in assign_fold(df, "name", 7, shuffle=False).collect())
+    assert [fold for _, fold in got] == [i // 72 for i in range(504)]
+    ranks = [(r.name, r._position) for r in global_rank(df, "name").collect()]
+    assert sorted(p for _, p in ranks) == list(range(504)) and {p for n, p in ranks if n is None} == {0, 1}
+    assert assign_fold(df.limit(0), "name", 7, shuffle=False).count() == 0
+
+
 def test_exact_copies_have_infinite_inflation(spark):
     x, y = sample()
     names = [*XS, "copy"]

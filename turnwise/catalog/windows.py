@@ -102,6 +102,17 @@ def _(t):
     return assign_fold(t.orders.select("o_orderkey"), "o_orderkey", 7, shuffle=False)
 
 
+@query(
+    "win5_folds_in_order_of_names",
+    """WITH named AS (SELECT CASE WHEN o_orderkey > 1 THEN reverse(CAST(o_orderkey AS VARCHAR)) || '-' || o_orderkey END AS name FROM orders)
+    SELECT name, CAST(ntile(11) OVER (ORDER BY name NULLS FIRST) - 1 AS INT) AS fold FROM named""",
+)
+def _(t):
+    key = F.col("o_orderkey")
+    name = F.when(key > 1, F.concat_ws("-", F.reverse(key.cast("string")), key.cast("string")))
+    return assign_fold(t.orders.select(name.alias("name")), "name", 11, shuffle=False)
+
+
 @query(
     "win6_rank_by_magnitude",
     f"""WITH {COEFFICIENTS} SELECT analysis, feature, round(coefficient, 6) AS coefficient,

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.sampling import hash_bucket, hash_mod, hash_order
-from turnwise.operators.ordered import by_value, sums_before, value_buckets
 from turnwise.session import cut_lineage
 
+#: ``monotonically_increasing_id`` has the partition above these bits and the row's place in it below.
+_PLACE_BITS = 33
+
 
 def take_lowest(df: DataFrame, by: Sequence[str], key: str, seed: int, quota: Column) -> DataFrame:
     """The rows of each class whose seeded hash is among the ``quota`` lowest.
@@ -66,28 +68,43 @@ def sample_n(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int = 0)
 
 
 def assign_fold(df: DataFrame, key: str, k: int, seed: int = 0, shuffle: bool = True, into: str = "fold") -> DataFrame:
-    """Fold number 0..k-1: by hash of the key, or contiguous blocks of a numeric key in which the
-    first ``n mod k`` folds have one row more."""
+    """Fold number 0..k-1: by hash of the key, or contiguous blocks of the key's order, of any type, in which
+    the first ``n mod k`` folds have one row more. Nulls come first; equal keys are in any order."""
     if shuffle:
         return df.withColumn(into, hash_mod(F.col(key), seed, k))
-    ranked = global_rank(df, key)
-    n = df.count()
-    size, longer = divmod(n, k)
-    position = F.col("_position")
-    edge = longer * (size + 1)
+    size, longer = F.floor(F.col("_total") / k), F.col("_total") % k
+    position, edge = F.col("_position"), longer * (size + 1)
     fold = F.when(position < edge, F.floor(position / (size + 1))).otherwise(
-        longer + F.floor((position - edge) / max(size, 1))
+        longer + F.floor((position - edge) / F.greatest(size, F.lit(1)))
+    )
+    return _placed(df, [key]).select(*df.columns, fold.cast("int").alias(into))
+
+
+def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_position`` (from 0) in an order of columns of any type, and ``_total``.
+
+    Spark draws the ranges from a sample of the keys. A row's position is its place in its sorted range
+    after all rows of the ranges before.
+    """
+    ranges = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    place = F.monotonically_increasing_id()
+    rows = ranges.withColumns(
+        {"_range": F.shiftright(place, _PLACE_BITS), "_place": place.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))}
+    )
+    every = Window.orderBy("_range")
+    starts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range",
+        (F.sum("_n").over(every) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
     )
-    return ranked.withColumn(into, fold.cast("int")).drop("_position")
+    # One row a range, so it is as small as the number of partitions.
+    placed = rows.join(F.broadcast(starts), "_range")
+    return placed.withColumn("_position", F.col("_before") + F.col("_place"))
 
 
 def global_rank(df: DataFrame, column: str, ties: Sequence[str] = (), into: str = "_position") -> DataFrame:
-    """Position (from 0) in the order of a numeric column, without sorting in one task."""
-    columns = df.columns
-    keyed = df.withColumn("_sort", F.col(column).cast("double"))
-    bucketed = by_value(keyed, "_sort", value_buckets(keyed, "_sort"))
-    placed = sums_before(bucketed, [], ["_sort", column, *ties], {"_one": F.lit(1)})
-    return placed.select(*columns, F.col("_one_before").alias(into))
+    """Position (from 0) in the order of a column of any type, without sorting in one task."""
+    return _placed(df, [column, *ties]).select(*df.columns, F.col("_position").alias(into))
 
 
 def hold_out(key: str, repeat: int | Column, share: float = 0.25, seed: int = 0) -> Column:

@@ -273,20 +273,64 @@ def elastic_net_cv_from_gram(
 
 def inflation(moments: np.ndarray, intercept: bool) -> np.ndarray:
     """Variance inflation factors of the columns of a moment matrix."""
-    if intercept:
-        cross = _centred(moments)[2][:-1, :-1]
-    else:
-        cross = moments[1:-1, 1:-1] / moments[0, 0]
+    return _factors(_correlations(moments, intercept))[0]
+
+
+def _correlations(moments: np.ndarray, intercept: bool) -> np.ndarray:
+    """Products of the columns with each other, scaled to ones on the diagonal; without an intercept they
+    are not centred. A column without spread has zeros."""
+    cross = _centred(moments)[2][:-1, :-1] if intercept else moments[1:-1, 1:-1] / moments[0, 0]
     size = np.sqrt(np.diag(cross))
-    scaled = cross / np.outer(np.where(size > 0, size, 1), np.where(size > 0, size, 1))
+    return cross / np.outer(np.where(size > 0, size, 1), np.where(size > 0, size, 1))
+
+
+def _factors(scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The factors, and the inverse that has them on its diagonal unless the matrix is singular."""
     values, vectors = np.linalg.eigh(scaled)
-    if len(values) and values[0] > 1e-12 * values[-1]:
-        return (vectors**2 / values).sum(axis=1)
+    if not len(values):
+        return np.zeros(0), None
+    if values[0] > 1e-12 * values[-1]:
+        inverse = (vectors / values) @ vectors.T
+        return np.diag(inverse), inverse
     # Singular: the columns in the null space are exact combinations of others.
     null = values <= 1e-12 * max(values[-1], 0)
     tied = (vectors[:, null] ** 2).sum(axis=1) > 1e-9
     finite = (vectors[:, ~null] ** 2 / values[~null]).sum(axis=1)
-    return np.where(tied, np.inf, finite)
+    return np.where(tied, np.inf, finite), None
+
+
+#: Above this factor a column is so close to others that taking it out of the inverse would cost digits.
+SWEPT = 1e4
+
+
+def _removals(scaled: np.ndarray, threshold: float) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
+    """The columns that go, in their order, and those that stay, each with its factor.
+
+    Taking a column out of the inverse is one sweep of the matrix, O(p²). A new inverse is formed only
+    behind a column beyond ``SWEPT``, and for the factors of the columns that stay.
+    """
+    left, gone = list(range(len(scaled))), []
+    factors, inverse = _factors(scaled)
+    fresh = True
+    while left:
+        worst = int(factors.argmax())
+        if not factors[worst] > threshold:
+            if fresh:
+                break
+            # The sweeps' rounding decides nothing: the factors are formed anew before the search ends.
+            factors, inverse = _factors(scaled[np.ix_(left, left)])
+            fresh = True
+            continue
+        gone.append((left.pop(worst), float(factors[worst])))
+        if inverse is None or factors[worst] > SWEPT:
+            factors, inverse = _factors(scaled[np.ix_(left, left)])
+            fresh = True
+        else:
+            column = np.delete(inverse[:, worst], worst)
+            rest = np.delete(np.delete(inverse, worst, 0), worst, 1)
+            inverse = rest - np.outer(column, column) / inverse[worst, worst]
+            factors, fresh = np.diag(inverse), False
+    return gone, list(zip(left, map(float, factors)))
 
 
 def vif_step(
@@ -296,7 +340,7 @@ def vif_step(
     """Stepwise removal of the column with the largest factor until none exceeds the threshold.
 
     (by, feature, step, vif): ``step`` counts removals, null for a kept column with its final
-    factor. One scan; the steps work on the matrix.
+    factor. One scan; the steps work on the matrix and its inverse.
     """
     by, xs = list(by), list(xs)
     moments = gram(df.withColumn("_y", F.lit(0.0)), xs, "_y", by)
@@ -315,15 +359,9 @@ def vif_step(
             rows = []
             for _, row in pdf.iterrows():
                 key = [row[k] for k in by]
-                matrix, names, step = contiguous_matrix(row["moments"]), list(xs), 0
-                factors = inflation(matrix, intercept)
-                while len(names) and factors.max() > threshold:
-                    worst = int(factors.argmax())
-                    step += 1
-                    rows.append([*key, names.pop(worst), step, float(factors[worst])])
-                    matrix = np.delete(np.delete(matrix, worst + 1, 0), worst + 1, 1)
-                    factors = inflation(matrix, intercept)
-                rows += [[*key, name, None, float(f)] for name, f in zip(names, factors)]
+                gone, kept = _removals(_correlations(contiguous_matrix(row["moments"]), intercept), threshold)
+                rows += [[*key, xs[at], step, factor] for step, (at, factor) in enumerate(gone, 1)]
+                rows += [[*key, xs[at], None, factor] for at, factor in kept]
             out = pd.DataFrame(rows, columns=schema.names)
             out["step"] = out["step"].astype("Int32")
             yield out

@@ -192,11 +192,12 @@ def _(t):
     return variances(state).select("l_suppkey", "n", *rounded("mean", "var_pop", "var_samp"))
 
 
-# Order lines read as answers: the return flag is the answer, the line number the question.
+# Order lines read as answers: the return flag is the answer, the line number the question. Each model has
+# a bank of its own, with other keys for the same question ids.
 QUESTIONS = """questions AS (
-  SELECT DISTINCT 'q_' || l_linenumber AS q_id,
+  SELECT DISTINCT l_linestatus AS model, 'q_' || l_linenumber AS q_id,
     CASE WHEN l_linenumber = 7 THEN 'salary' WHEN l_linenumber > 3 THEN 'medical' ELSE 'legal' END AS domain,
-    CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'n' ELSE 'r' END AS correct_answer
+    CASE (l_linenumber + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END) % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'n' ELSE 'r' END AS correct_answer
   FROM lineitem)"""
 ANSWERS = """answers AS (
   SELECT l_linestatus AS model, l_orderkey AS conversation_id, 'q_' || l_linenumber AS q_id,
@@ -205,10 +206,12 @@ ANSWERS = """answers AS (
 
 def questions_view(t):
     line = F.col("l_linenumber")
-    return t.lineitem.select(line).distinct().select(
+    shifted = (line + F.when(F.col("l_linestatus") == "O", 1).otherwise(0)) % 3
+    return t.lineitem.select("l_linestatus", line).distinct().select(
+        F.col("l_linestatus").alias("model"),
         F.concat(F.lit("q_"), line).alias("q_id"),
         F.when(line == 7, "salary").when(line > 3, "medical").otherwise("legal").alias("domain"),
-        F.when(line % 3 == 0, "a").when(line % 3 == 1, "n").otherwise("r").alias("correct_answer"),
+        F.when(shifted == 0, "a").when(shifted == 1, "n").otherwise("r").alias("correct_answer"),
     )
 
 
@@ -229,7 +232,7 @@ SCORED = f"""{QUESTIONS}, {ANSWERS}, scored AS (
   SELECT model, conversation_id, domain, CASE WHEN domain = 'salary'
     THEN floor(l_extendedprice / 1000) * 1000
     ELSE CAST(lower(l_returnflag) = correct_answer AS INT) END AS score
-  FROM answers JOIN questions USING (q_id))"""
+  FROM answers JOIN questions USING (model, q_id))"""
 
 OUTCOME_ROWS = f"""{SCORED}, outcome_rows AS (
   SELECT model, conversation_id, domain,
@@ -254,7 +257,7 @@ def _(t):
     FROM scored GROUP BY 1, 2""",
 )
 def _(t):
-    asked = answers_view(t).withColumnRenamed("answer", "baseline_answer").join(questions_view(t), "q_id")
+    asked = answers_view(t).withColumnRenamed("answer", "baseline_answer").join(questions_view(t), ["model", "q_id"])
     return baselines(asked).select("model", "domain", *rounded("baseline", digits=5))
 
 

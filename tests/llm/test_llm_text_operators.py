@@ -245,6 +245,42 @@ def test_repeated_bytes(spark, odd_docs, no_docs):
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
 
 
+def test_suffix_array_of_keys_over_many_batches(spark):
+    """Most triples are one key, and keys and pieces go on over batches and ranges."""
+    import bisect
+
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        texts = [[5] * n for n in (1, 2, 3, 9, 30, 31, 31)] + [[5, 4], [5, 5, 6], [4] + [5] * 20]
+        df = spark.createDataFrame(list(enumerate(texts)), "piece BIGINT, values ARRAY<BIGINT>")
+        got = {r["piece"]: r["values"] for r in suffix_dedup.rank_suffixes(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    suffixes = sorted(tuple(t[i:]) for t in texts for i in range(len(t)))
+    assert got == {k: [bisect.bisect_left(suffixes, tuple(t[i:])) for i in range(len(t))] for k, t in enumerate(texts)}
+
+
+def test_repeated_bytes_of_structured_texts_in_small_batches(spark, monkeypatch):
+    """Thue-Morse texts, and a passage in a third of all rows with other bytes around it."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", 5)
+    rng = np.random.default_rng(9)
+    random = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    passage = random(640)
+    texts = [(0, morse), (1, morse.translate(str.maketrans("ab", "ba"))), (2, morse[:512] + random(300)), (3, random(90) + morse[100:700])]
+    texts += [(10 + i, random(60 + i) + passage[i % 7 :] + random(80)) for i in range(20)]
+    texts += [(40 + i, random(700)) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_bytes(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == brute_removed(texts)
+
+
 def test_repeated_bytes_of_an_id_with_two_texts(spark):
     rng = np.random.default_rng(8)
     random = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()

@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ END = -(1 << 63)
 SETTLED, OPEN = 0, 1
 #: Texts that a task handles at once.
 BATCH_DOCS = 500
+#: Rows that a task judges at once, and the rest of the last key.
+GROUP_ROWS = 50_000
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -161,6 +163,25 @@ def _settle(around: np.ndarray, whole: np.ndarray, times: np.ndarray) -> tuple[n
     return order, new_w, n_w, wholes
 
 
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each batch that has rows."""
+    for batch in batches:
+        if batch.num_rows:
+            yield [c.to_numpy() for c in batch.columns]
+
+
+def _settled(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Settled rows of these open ones, the first row of each whole in order of ``around``, and which of
+    those stay open."""
+    order, first, n, wholes = _settle(columns[0], columns[1], columns[7])
+    columns = [c[order] for c in columns]
+    copies = (n > 1) & (columns[7] < 2)  # a row that stands for copies is settled already
+    keys, low, high = _joined_runs(*(columns[i][copies] for i in (2, 4, 5)))
+    none = np.zeros(len(keys), np.int64)
+    columns[7] = np.minimum(n, 2)
+    return [none, none, keys, none, low, high, none + SETTLED, none + 1], [c[first] for c in columns], (wholes > 1)[first]
+
+
 def find_anchors(texts: DataFrame) -> DataFrame:
     """Settled and open cuts (ANCHORS) of ``class``, ``text``. Copies within a task are settled there, and
     one row for them goes on."""
@@ -184,53 +205,51 @@ def find_anchors(texts: DataFrame) -> DataFrame:
             yield _batch([c[first] for c in columns] + [np.full(first.sum(), OPEN), np.minimum(n[first], 2)], _ANCHORS)
 
     def settle(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        done = table.filter(pa.compute.equal(table.column("kind"), SETTLED))
-        yield from done.to_batches()
-        table = table.filter(pa.compute.equal(table.column("kind"), OPEN))
-        columns = [c.to_numpy() for c in table.columns]
-        del held, done, table
-        if not len(columns[0]):
-            return
-        order, first, n, wholes = _settle(columns[0], columns[1], columns[7])
-        columns = [c[order] for c in columns]
-        copies = n > 1
-        keys, low, high = _joined_runs(*(columns[i][copies] for i in (2, 4, 5)))
-        none = np.zeros(len(keys), np.int64)
-        yield _batch([none, none, keys, none, low, high, none + SETTLED, none + 1], _ANCHORS)
-        left = first & (wholes > 1)
-        columns[6], columns[7] = np.full(len(order), OPEN), np.minimum(n, 2)
-        yield _batch([c[left] for c in columns], _ANCHORS)
-
-    import pyarrow.compute  # noqa: F401
+        # Rows come sorted by ``around``. Of a group that goes on, one row of each whole is held.
+        held = [np.zeros(0, np.int64)] * 8
+        for columns in _columns(batches):
+            done = columns[6] == SETTLED
+            if done.any():
+                yield _batch([c[done] for c in columns], _ANCHORS)
+            columns = [np.concatenate([h, c[~done]]) for h, c in zip(held, columns)]
+            if not len(columns[0]):
+                continue
+            settled, held, left = _settled(columns)
+            yield _batch(settled, _ANCHORS)
+            goes_on = held[0] == held[0][-1]
+            yield _batch([c[left & ~goes_on] for c in held], _ANCHORS)
+            held = [c[goes_on] for c in held]
+        if len(held[0]):
+            _, held, left = _settled(held)
+            yield _batch([c[left] for c in held], _ANCHORS)
 
     sent = texts.select("class", "text").mapInArrow(emit, ANCHORS)
-    return sent.repartition(partitions(texts.sparkSession), "around").mapInArrow(settle, ANCHORS)
+    return sent.repartition(partitions(texts.sparkSession), "around").sortWithinPartitions("around").mapInArrow(settle, ANCHORS)
 
 
 # --- The suffix array ------------------------------------------------------------------------------
 
 
-def _less_than(rows: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
-    """``rows`` with, for each 0/1 flag, how many flagged rows have smaller keys (``less_...``).
+def _less_than(rows: DataFrame, keys: list[str], flags: list[str], ties: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """``rows`` with, for each 0/1 flag, how many flagged rows have smaller keys (``less_...``); and whether
+    all keys differ.
 
     A range exchange sorts; each range counts within itself, and the totals of the ranges before are
-    added, of which there is one row for each range.
+    added, of which there is one row for each range. A key that many rows share is dealt to several
+    ranges by ``ties``; the rows of a range that go on with the last key of the one before count from
+    where that key began.
     """
     spark = rows.sparkSession
     names = rows.columns
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + "".join(f", less_{f} bigint" for f in flags) + ", part int"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + "".join(f", less_{f} bigint" for f in flags) + ", part int, head int, new int"
 
     def number(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         total = np.zeros(len(flags), np.int64)  # flagged rows so far
-        at_key, last = total.copy(), None  # the same before the current key
+        at_key, last, head = total.copy(), None, True  # the same before the current key
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -238,36 +257,56 @@ def _less_than(rows: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
             new = np.ones(batch.num_rows, bool)
             new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
             new[0] = last is None or any(k[0] != x for k, x in zip(key, last))
-            columns = []
             group = np.cumsum(new) - 1
             starts = np.flatnonzero(new)
+            # The first key of the range ends where the second one begins.
+            second = starts[last is None :][:1] if head else [0]
+            heads = (np.arange(batch.num_rows) < (second[0] if len(second) else batch.num_rows)).astype(np.int32)
+            head = bool(heads[-1])
+            columns = []
             for i, flag in enumerate(flags):
                 of = batch.column(flag).to_numpy().astype(np.int64)
-                running = total[i] + np.cumsum(of) - of
-                begun = running[starts]
-                less = np.where(group >= 0, begun[np.maximum(group, 0)] if len(begun) else 0, at_key[i])
-                columns.append(less)
+                begun = (total[i] + np.cumsum(of) - of)[starts]
+                columns.append(np.where(group >= 0, begun[np.maximum(group, 0)] if len(begun) else 0, at_key[i]))
                 if len(begun):
                     at_key[i] = begun[-1]
                 total[i] += of.sum()
             last = [k[-1] for k in key]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c) for c in columns), pa.array(np.full(batch.num_rows, part), pa.int32())],
-                names=[*batch.schema.names, *(f"less_{f}" for f in flags), "part"],
+                [
+                    *batch.columns, *(pa.array(c) for c in columns), pa.array(np.full(batch.num_rows, part), pa.int32()),
+                    pa.array(heads), pa.array(new.astype(np.int32)),
+                ],
+                names=[*batch.schema.names, *(f"less_{f}" for f in flags), "part", "head", "new"],
             )
 
-    ordered = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    ordered = rows.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys)
     counted = stored(ordered.mapInArrow(number, schema), "ranked")
-    totals = counted.groupBy("part").agg(*(F.sum(f).alias(f) for f in flags)).collect()  # a row a range
-    before, running = {}, np.zeros(len(flags), np.int64)
-    for row in sorted(totals, key=lambda r: r["part"]):
-        before[row["part"]] = running.tolist()
-        running = running + np.array([row[f] for f in flags], np.int64)
-    if not before:
-        return counted.drop("part")
-    base = spark.createDataFrame([(p, *n) for p, n in before.items()], "part int" + "".join(f", base_{f} bigint" for f in flags))
-    joined = counted.join(F.broadcast(base), "part")  # as many rows as there are ranges
-    return joined.select(*names, *((F.col(f"less_{f}") + F.col(f"base_{f}")).alias(f"less_{f}") for f in flags))
+    key = F.struct(*keys)
+    ranges = counted.groupBy("part").agg(
+        F.count("*").alias("n"), F.sum("new").alias("keys"), F.min(key).alias("low"), F.max(key).alias("high"),
+        *(F.sum(f).alias(f"sum_{f}") for f in flags), *(F.max(f"less_{f}").alias(f"last_{f}") for f in flags),
+    ).collect()  # a row a range
+    if not ranges:
+        return counted.drop("part", "head", "new"), True
+    base, high, differ = [], None, True
+    running = began = [0] * len(flags)
+    for row in sorted(ranges, key=lambda r: r["part"]):
+        goes_on = row["low"] == high
+        differ = differ and row["n"] == row["keys"] and not goes_on
+        base.append((row["part"], *running, *(began if goes_on else running)))
+        if row["low"] != row["high"] or not goes_on:
+            began = [r + row[f"last_{f}"] for r, f in zip(running, flags)]
+        running = [r + row[f"sum_{f}"] for r, f in zip(running, flags)]
+        high = row["high"]
+    columns = "part int" + "".join(f", {b}_{f} bigint" for b in ("base", "head") for f in flags)
+    # As many rows as there are ranges.
+    joined = counted.join(F.broadcast(spark.createDataFrame(base, columns)), "part")
+    less = (
+        F.when(F.col("head") == 1, F.col(f"head_{f}")).otherwise(F.col(f"less_{f}") + F.col(f"base_{f}")).alias(f"less_{f}")
+        for f in flags
+    )
+    return joined.select(*names, *less), differ
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -290,29 +329,39 @@ def _after(values: np.ndarray, places: np.ndarray, lengths: np.ndarray, by: int,
     return out
 
 
-def _to_arrays(rows: DataFrame, piece: str, place: str, value: str) -> DataFrame:
-    """One array for each piece, values in order of place."""
-    def gather(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        pieces, places, values = (table.column(c).to_numpy() for c in ("piece", "place", "value"))
-        order = np.lexsort((places, pieces))
-        pieces, values = pieces[order], values[order]
-        starts = np.flatnonzero(np.concatenate([[True], pieces[1:] != pieces[:-1]]))
-        offsets = pa.array(np.append(starts, len(pieces)), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(pieces[starts]), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["piece", "values"])
+def _to_arrays(rows: DataFrame, also: Callable | None = None, schema: str = "piece bigint, values array<bigint>") -> DataFrame:
+    """One array for each piece of ``piece``, ``place`` and ``value``, values in order of place; those of one
+    place are added. ``also`` turns the batches of arrays into others, in the same pass."""
+    def arrays(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for columns in _columns(batches):
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+            whole = columns[0] != columns[0][-1]
+            held = [c[~whole] for c in columns]
+            if whole.any():
+                yield _gathered(*(c[whole] for c in columns))
+        if len(held[0]):
+            yield _gathered(*held)
+
+    rows = rows.select("piece", F.col("place").cast("bigint").alias("place"), F.col("value").cast("bigint").alias("value"))
+    ordered = rows.repartition("piece").sortWithinPartitions("piece", "place")
+    return ordered.mapInArrow(lambda batches: also(arrays(batches)) if also else arrays(batches), schema)
 
-    rows = rows.select(F.col(piece).alias("piece"), F.col(place).cast("bigint").alias("place"), F.col(value).cast("bigint").alias("value"))
-    return rows.repartition(partitions(rows.sparkSession), "piece").mapInArrow(gather, "piece bigint, values array<bigint>")
 
+def _gathered(pieces: np.ndarray, places: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    new = np.concatenate([[True], (pieces[1:] != pieces[:-1]) | (places[1:] != places[:-1])])
+    sums, pieces = np.add.reduceat(values, np.flatnonzero(new)), pieces[new]
+    starts = np.flatnonzero(np.concatenate([[True], pieces[1:] != pieces[:-1]]))
+    offsets = pa.array(np.append(starts, len(pieces)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(pieces[starts]), pa.ListArray.from_arrays(offsets, pa.array(sums))], names=["piece", "values"])
 
-def rank_suffixes(texts: DataFrame) -> DataFrame:
+
+def rank_suffixes(texts: DataFrame, also: Callable | None = None, schema: str = "piece bigint, values array<bigint>") -> DataFrame:
     """The suffix array of all pieces, by the difference-cover algorithm.
 
     ``texts``: ``piece`` and ``values``, its symbols as integers. Returns ``piece`` and ``values``, for
     each place how many suffixes of all pieces are smaller. A piece's end is smaller than any symbol.
+    ``also`` and its ``schema``: as in ``_to_arrays``.
     """
     def triples(batches):
         for batch in batches:
@@ -327,18 +376,16 @@ def rank_suffixes(texts: DataFrame) -> DataFrame:
 
     triple = "x bigint, y bigint, z bigint"
     sampled = stored(texts.mapInArrow(triples, f"piece bigint, place bigint, {triple}"), "triples")
-    distinct = sampled.groupBy("x", "y", "z").agg(F.lit(1).alias("one"))
-    names = _less_than(distinct, ["x", "y", "z"], ["one"]).withColumnRenamed("less_one", "name")
-    names = stored(names, "names")
-    named = sampled.join(names, ["x", "y", "z"]).select("piece", "place", "name")
-    if names.count() == sampled.count():
-        ranks = _to_arrays(named, "piece", "place", "name")
+    # A triple's name is how many sampled triples are smaller, so names differ where the triples do.
+    named, differ = _less_than(sampled.withColumn("one", F.lit(1)), ["x", "y", "z"], ["one"], ("piece", "place"))
+    named = named.select("piece", "place", F.col("less_one").alias("value"))
+    if differ:
+        ranks = _to_arrays(named)
     else:
         # The names at places 1, 4, ... and 2, 5, ... are two pieces of the text one level up.
         halves = named.select(
-            (F.col("piece") * 2 + F.col("place") % 3 - 1).alias("half"), (F.col("place") / 3).cast("bigint").alias("place"), "name"
+            (F.col("piece") * 2 + F.col("place") % 3 - 1).alias("piece"), F.floor(F.col("place") / 3).alias("place"), "value"
         )
-        up = rank_suffixes(stored(_to_arrays(halves, "half", "place", "name"), "level"))
 
         def back(batches):
             for batch in batches:
@@ -348,62 +395,49 @@ def rank_suffixes(texts: DataFrame) -> DataFrame:
                     [pa.array(half >> 1), pa.array(_placed(lengths) * 3 + 1 + (half & 1)), pa.array(values)], names=["piece", "place", "value"]
                 )
 
-        ranks = _to_arrays(up.mapInArrow(back, "piece bigint, place bigint, value bigint"), "piece", "place", "value")
+        ranks = _to_arrays(rank_suffixes(stored(_to_arrays(halves), "level"), back, "piece bigint, place bigint, value bigint"))
     both = texts.join(ranks.withColumnRenamed("values", "ranks"), "piece", "left")
-    return _merge(stored(both, "merge"))
+    return _merge(stored(both, "merge"), also, schema)
 
 
-def _merge(both: DataFrame) -> DataFrame:
+def _merge(both: DataFrame, also: Callable | None, schema: str) -> DataFrame:
     """Ranks of all suffixes from the symbols and the sampled suffixes' ranks (0-based, in place order).
 
     A remaining suffix (place 0 modulo 3) is compared with those at places 1 by one symbol and the rank
-    of the next suffix, with those at places 2 by two symbols and the rank of the one after.
+    of the next suffix, with those at places 2 by two symbols and the rank of the one after. Both
+    comparisons are one order, the first before the second.
     """
-    def keys(step: int):
-        def emit(batches):
-            for batch in batches:
-                values, lengths = _flat(batch.column("values"))
-                places = _placed(lengths)
-                pieces = np.repeat(batch.column("piece").to_numpy(), lengths)
-                rank = np.zeros(len(values), np.int64)  # 0 is beyond the end
-                of = places % 3 > 0
-                rank[of] = batch.column("ranks").flatten().to_numpy() + 1
-                own = rank.copy()
+    def keys(batches):
+        for batch in batches:
+            values, lengths = _flat(batch.column("values"))
+            places = _placed(lengths)
+            pieces = np.repeat(batch.column("piece").to_numpy(), lengths)
+            rank = np.zeros(len(values), np.int64)  # 0 is beyond the end
+            of = places % 3 > 0
+            rank[of] = batch.column("ranks").flatten().to_numpy() + 1
+            rest = (places % 3 == 0).astype(np.int32)
+            for step in (1, 2):
                 second = _after(values, places, lengths, 1, END) if step == 2 else np.zeros(len(values), np.int64)
                 key = _after(rank, places, lengths, step, 0)
                 part = (places % 3 == 0) | (places % 3 == step)
-                rest = (places % 3 == 0).astype(np.int32)
+                columns = (np.full(len(values), step, np.int32), pieces, places, values, second, key, rank, rest, 1 - rest)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[part]) for x in (pieces, places, values, second, key, own, rest, 1 - rest)],
-                    names=["piece", "place", "x", "y", "next", "own", "rest", "sampled"],
+                    [pa.array(x[part]) for x in columns],
+                    names=["step", "piece", "place", "x", "y", "next", "own", "rest", "sampled"],
                 )
-        return emit
-
-    schema = "piece bigint, place bigint, x bigint, y bigint, next bigint, own bigint, rest int, sampled int"
-    parts = []
-    for step in (1, 2):
-        counted = _less_than(both.mapInArrow(keys(step), schema), ["x", "y", "next"], ["rest", "sampled"])
-        # The remaining suffixes are in both parts, and are counted among themselves in the first one.
-        among = F.col("less_rest") if step == 1 else F.lit(0)
-        value = F.when(F.col("rest") == 1, among + F.col("less_sampled")).otherwise(F.col("own") - 1 + F.col("less_rest"))
-        parts.append(counted.select("piece", "place", value.cast("bigint").alias("value")))
-
-    def gather(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        pieces, places, values = (table.column(c).to_numpy() for c in ("piece", "place", "value"))
-        order = np.lexsort((places, pieces))
-        pieces, places, values = pieces[order], places[order], values[order]
-        new = np.concatenate([[True], (pieces[1:] != pieces[:-1]) | (places[1:] != places[:-1])])
-        sums, pieces = np.add.reduceat(values, np.flatnonzero(new)), pieces[new]
-        starts = np.flatnonzero(np.concatenate([[True], pieces[1:] != pieces[:-1]]))
-        offsets = pa.array(np.append(starts, len(pieces)), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(pieces[starts]), pa.ListArray.from_arrays(offsets, pa.array(sums))], names=["piece", "values"])
-
-    rows = parts[0].unionByName(parts[1])
-    return rows.repartition(partitions(rows.sparkSession), "piece").mapInArrow(gather, "piece bigint, values array<bigint>")
+
+    columns = "step int, piece bigint, place bigint, x bigint, y bigint, next bigint, own bigint, rest int, sampled int"
+    rows = both.mapInArrow(keys, columns)
+    counted, _ = _less_than(rows, ["step", "x", "y", "next"], ["rest", "sampled"], ("piece", "place"))
+    # What the second step counts has all rows of the first one before it.
+    n = both.agg(*(F.coalesce(F.sum(F.floor((F.size("values") + k) / 3)), F.lit(0)) for k in (2, 1))).first()
+    first = F.col("step") == 1
+    less_rest = F.col("less_rest") - F.when(first, 0).otherwise(n[0])
+    less_sampled = F.col("less_sampled") - F.when(first, 0).otherwise(n[1])
+    # The remaining suffixes are in both steps, and are counted among themselves in the first one.
+    among = F.when(first, less_rest).otherwise(0)
+    value = F.when(F.col("rest") == 1, among + less_sampled).otherwise(F.col("own") - 1 + less_rest)
+    return _to_arrays(counted.select("piece", "place", value.alias("value")), also, schema)
 
 
 # --- From suffixes to windows ----------------------------------------------------------------------
@@ -452,9 +486,8 @@ def rank_phrases(pieces: DataFrame) -> DataFrame:
         (F.col("p.cuts") + F.octet_length("p.phrases") < F.col("length")).cast("int").alias("ended"),
     )
     distinct = rows.groupBy("symbol").agg(F.first("phrase").alias("phrase"), F.first("ended").alias("ended"), F.lit(1).alias("one"))
-    names = _less_than(distinct, ["phrase", "ended"], ["one"]).select("symbol", F.col("less_one").alias("name"))
-    named = rows.select("piece", "place", "symbol").join(names, "symbol")
-    return stored(_to_arrays(named, "piece", "place", "name"), "text")
+    names = _less_than(distinct, ["phrase", "ended"], ["one"])[0].select("symbol", F.col("less_one").alias("value"))
+    return stored(_to_arrays(rows.select("piece", "place", "symbol").join(names, "symbol")), "text")
 
 
 def _piece_schema() -> pa.Schema:
@@ -493,28 +526,18 @@ def _described(piece: np.ndarray, start: int, anchors: list[tuple]) -> dict[str,
     return {"cuts": cuts, "symbols": symbols, "phrases": phrases, "around": around, "low": low, "high": high, "times": times}
 
 
-MAPS: dict[str, np.ndarray] = {}
-
-
-def _bytes_of(file: str) -> np.ndarray:
-    if file not in MAPS:
-        MAPS[file] = np.memmap(file, np.uint8, "r")
-    return MAPS[file]
-
-
 def common_prefix(a: np.ndarray, b: np.ndarray) -> int:
     n = min(len(a), len(b), WINDOW)
     differ = np.flatnonzero(a[:n] != b[:n])
     return int(differ[0]) if len(differ) else n
 
 
-def repeated_windows(rows: dict[str, np.ndarray], files: list[str]) -> np.ndarray:
+def repeated_windows(rows: dict[str, np.ndarray], maps: list[np.ndarray]) -> np.ndarray:
     """Of the suffixes of one task, sorted by ``around`` and rank: (row, first byte) of each window that
-    occurs again. ``rows``: arrays around, file (number in ``files``), at, end, cut, low, high, times."""
+    occurs again. ``rows``: arrays around, file (number in ``maps``), at, end, cut, low, high, times."""
     n = len(rows["at"])
     reach = np.zeros(n, np.int64)  # bytes in common with the suffix before
     same = np.flatnonzero(rows["around"][1:] == rows["around"][:-1]) + 1
-    maps = [_bytes_of(f) for f in files]
     starts = rows["at"] + rows["cut"]
     for i in same.tolist():
         a = maps[rows["file"][i]][starts[i] : rows["end"][i]]
@@ -554,6 +577,24 @@ def _runs(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, low, high)], names=["class", "low", "high"])
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of GROUP_ROWS rows or more of a stream sorted by ``key``, each key's rows in one of them."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        at = int(np.searchsorted(values, values[-1]))
+        # Where one key fills the batch, the rows held may be of the same one.
+        if n + at >= GROUP_ROWS and at:
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
+            held, n, batch = [], 0, batch.slice(at)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def compare_neighbours(pieces: DataFrame, ranks: DataFrame) -> DataFrame:
     """SPANS of windows (first to last) that occur again."""
     described = pieces.join(ranks.withColumnRenamed("values", "ranks"), "piece")
@@ -577,20 +618,20 @@ def compare_neighbours(pieces: DataFrame, ranks: DataFrame) -> DataFrame:
             )
 
     def judge(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        coded = table.column("file").combine_chunks().dictionary_encode()
-        rows = {c: table.column(c).to_numpy() for c in table.column_names if c != "file"}
-        rows["file"] = coded.indices.to_numpy()
-        order = np.lexsort((rows["rank"], rows["around"]))
-        rows = {c: v[order] for c, v in rows.items()}
-        hit, first = repeated_windows(rows, coded.dictionary.to_pylist())
-        yield _runs(rows["class"][hit], rows["start"][hit] + first, rows["start"][hit] + first)
+        for table in _whole_groups(batches, "around"):
+            coded = table.column("file").combine_chunks().dictionary_encode()
+            rows = {c: table.column(c).to_numpy() for c in table.column_names if c != "file"}
+            rows["file"] = coded.indices.to_numpy()
+            order = np.lexsort((rows["rank"], rows["around"]))
+            # Files are mapped for these groups alone.
+            maps = [np.memmap(f, np.uint8, "r") for f in coded.dictionary.to_pylist()]
+            rows = {c: v[order] for c, v in rows.items()}
+            hit, first = repeated_windows(rows, maps)
+            del maps
+            yield _runs(rows["class"][hit], rows["start"][hit] + first, rows["start"][hit] + first)
 
     rows = described.mapInArrow(suffixes, schema)
-    return rows.repartition(partitions(rows.sparkSession), "around").mapInArrow(judge, SPANS)
+    return rows.repartition(partitions(rows.sparkSession), "around").sortWithinPartitions("around").mapInArrow(judge, SPANS)
 
 
 REMOVED = "n_removed bigint, n_spans bigint, kept_sha256 string"

@@ -295,6 +295,22 @@ def test_label_inference(spark):
     assert scores["gender"].f1 == 1.0 and scores["gender"].majority_f1 == 0.5
 
 
+def test_inference_scores_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def guess(label):
+        made.add(1)
+        return label if label == "a" else "b"
+
+    data = [(str(i), demo, "abc"[i % 3]) for i in range(30) for demo in ("age", "gender")]
+    rows_ = spark.createDataFrame(data, "conversation_id STRING, demo STRING, true STRING")
+    rows_ = rows_.withColumn("predicted", F.udf(guess, "string")("true"))
+    scores = {r.demo: r for r in inference_scores(rows_).collect()}
+    assert made.value == len(data)
+    for r in scores.values():
+        assert abs(r.f1 - 2 / 3) < 1e-12 and abs(r.majority_f1 - 1 / 3) < 1e-12 and r.majority_better
+
+
 def test_features_per_conversation(spark):
     data = [
         ("c1", 0, "f", "jobs", "One two.", "Yes.", "polite", 0.5),

@@ -270,6 +270,16 @@ def test_baselines(spark):
     assert (summary.min_size, summary.n_classes, summary.majority) == (20, 2, "a")
 
 
+def test_weighted_rows_stand_for_as_many(spark, rows):
+    data = [("g", "x", "y", 1.0, 2.0, 3), ("g", "x", "x", 4.0, 2.0, 5), (None, "y", "y", 3.0, 3.5, 2), ("g", "y", None, None, 1.0, 4)]
+    columns = "k STRING, t STRING, p STRING, a DOUBLE, b DOUBLE, n BIGINT"
+    weighted = spark.createDataFrame(data, columns)
+    expanded = spark.createDataFrame([r for r in data for _ in range(r[-1])], columns)
+    assert rows(confusion_counts(weighted, ["k"], "t", "p", "n")) == rows(confusion_counts(expanded, ["k"], "t", "p"))
+    scores = [rows(aso(df, ["k"], "a", "b", seed=3, replicates=50, weight=w)) for df, w in ((weighted, "n"), (expanded, None))]
+    assert scores[0] == scores[1] and len(scores[0]) == 2
+
+
 def test_means_skip_nan_and_null_keys(spark, rows):
     df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 3.0), (None, 9.0), ("b", None)], "k STRING, v DOUBLE")
     assert rows(conversation_means(df, ["k"], ["v"])) == [("a", 2.0), ("b", None)]

@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from turnwise.functions.numeric import ratio
 from turnwise.functions.sampling import hash_mod
 from turnwise.operators.aggregates import class_summary, null_safe_join
+from turnwise.session import stored
 
 
-def confusion_counts(df: DataFrame, by: Sequence[str], true: str, predicted: str) -> DataFrame:
-    """Counts of the label pairs that occur; rows without a prediction are left out."""
+def confusion_counts(
+    df: DataFrame, by: Sequence[str], true: str, predicted: str, weight: str | None = None
+) -> DataFrame:
+    """Counts of the label pairs that occur; rows without a prediction are left out. ``weight``: how many
+    rows a row stands for."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
         df.filter(F.col(true).isNotNull() & F.col(predicted).isNotNull())
         .groupBy(*by, F.col(true).alias("true"), F.col(predicted).alias("predicted"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(n.alias("n"))
     )
 
 
@@ -96,19 +101,21 @@ def summary_scores(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def majority_baseline(df: DataFrame, by: Sequence[str], label: str, into: str = "majority") -> DataFrame:
-    """Every row predicted as the most frequent label."""
+    """Every row predicted as the most frequent label. The labels found are written first, a row a group, so
+    that Spark knows their size before it would exchange the rows by group."""
     best = class_summary(df, by, label).select(*by, F.col("majority").alias(into))
-    return null_safe_join(df, best, list(by))
+    return null_safe_join(df, stored(best, "majority"), list(by))
 
 
 def random_baseline(
     df: DataFrame, by: Sequence[str], label: str, key: str, seed: int = 0, into: str = "random"
 ) -> DataFrame:
-    """Every row predicted as one of the observed labels, uniformly, by hash of its key."""
+    """Every row predicted as one of the observed labels, uniformly, by hash of its key. The labels are written
+    first, as in ``majority_baseline``."""
     classes = (
         df.filter(F.col(label).isNotNull())
         .groupBy(*by)
         .agg(F.array_sort(F.collect_set(label)).alias("_classes"))
     )
     drawn = F.element_at("_classes", hash_mod(F.col(key), seed, F.size("_classes")) + 1)
-    return null_safe_join(df, classes, list(by)).withColumn(into, drawn).drop("_classes")
+    return null_safe_join(df, stored(classes, "classes"), list(by)).withColumn(into, drawn).drop("_classes")

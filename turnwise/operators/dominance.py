@@ -58,15 +58,19 @@ def violation(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def aso(
     df: DataFrame, by: Sequence[str], first: str, second: str, seed: int = 0, confidence: float = 0.95,
-    dt: float = 0.005, replicates: int = 1000,
+    dt: float = 0.005, replicates: int = 1000, weight: str | None = None,
 ) -> DataFrame:
     """Score per analysis for the columns ``first`` and ``second``. An analysis without a value on
-    either side is left out; null keys are a key."""
+    either side is left out; null keys are a key. ``weight``: how many rows a row stands for."""
     by = list(by)
-    long = df.select(*by, F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"))
-    values = long.unpivot(by, ["a", "b"], "_side", "_v").filter(F.col("_v").isNotNull())
+    count = F.lit(1) if weight is None else F.col(weight)
+    long = df.select(
+        *by, F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"),
+        count.cast("bigint").alias("_c"),
+    )
+    values = long.unpivot([*by, "_c"], ["a", "b"], "_side", "_v").filter(F.col("_v").isNotNull())
     histogram = cut_lineage(
-        values.groupBy(*by, "_side", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        values.groupBy(*by, "_side", "_v").agg(F.sum("_c").alias("_c"))
     )
     looked_up = _quantiles(_ranged(histogram, [*by, "_side"], seed), by, dt, replicates)
     z = NormalDist().inv_cdf(1 - confidence)

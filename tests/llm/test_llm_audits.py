@@ -218,6 +218,26 @@ def test_prefix_levels_keep_what_counting_keeps(spark):
         assert sorted(map(tuple, kept)) == sorted(key for key, n in expected.items() if n >= least)
 
 
+@pytest.mark.parametrize("combined_bytes", [1, 1 << 25])
+def test_postings_of_a_task_are_combined(spark, monkeypatch, combined_bytes):
+    monkeypatch.setattr(source_divergence, "BATCH_BYTES", 8)
+    monkeypatch.setattr(source_divergence, "COMBINED_BYTES", combined_bytes)
+    data = [("en", "s", "to be or not to be")] * 3 + [("en", "t", "be or not"), ("de", "s", None), ("de", "s", "1 2"), ("en", "s", "to bed")]
+    docs = spark.createDataFrame(data * 2, "lang STRING, source STRING, text STRING").coalesce(1)
+    postings = source_divergence.postings_of(docs).collect()
+    got = {}
+    for r in postings:
+        n, documents = got.get((r.lang, r.source, r.term and bytes(r.term), r.shared), (0, 0))
+        got[r.lang, r.source, r.term and bytes(r.term), r.shared] = n + r.n, documents + r.documents
+    want = {
+        ("en", "s", b"be", -1): (12, 6), ("en", "s", b"not", 0): (6, 6), ("en", "s", b"or", 0): (6, 6), ("en", "s", b"to", 0): (14, 8),
+        ("en", "s", b"bed", -1): (2, 2), ("en", "t", b"be", -1): (2, 2), ("en", "t", b"not", 0): (2, 2), ("en", "t", b"or", 0): (2, 2),
+        ("de", "s", None, -1): (0, 4),
+    }
+    assert got == want
+    assert len(postings) == len(want) or combined_bytes == 1
+
+
 def test_pairs_in_tiles_match_one_tile(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn(
         "source", F.concat("source", (F.col("doc_id") % 7).cast("string"))

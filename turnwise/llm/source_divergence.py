@@ -6,6 +6,8 @@
     bytes, until only complete terms are left. Rare terms so leave while they are still part of a
     short prefix, and before any term is exchanged. A document's equal prefixes follow each other and count
     once, and counts combine before each exchange, so a prefix that all documents hold is one row a task.
+    Postings of one source that agree in the term and in what it shares with the document's term before are
+    combined before they are written.
 2.  *Between levels* the kept prefixes are a bit table that grows with their number. It only saves work:
     each level counts again, so a prefix that passes by chance is discarded then.
 3.  *Occurrences* of kept terms are counted by (language, source, term). From them follow the shares of
@@ -35,8 +37,10 @@ from turnwise.llm.common import stored
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Bytes of two terms that are compared at once.
 HEAD = 40
-#: Bytes of text whose terms a worker hands over together.
+#: Bytes of text whose terms a worker counts together, whose postings it combines, and rows it hands over.
 BATCH_BYTES = 1 << 22
+COMBINED_BYTES = 1 << 25
+BATCH_ROWS = 1 << 17
 MIN_DOCUMENTS = 3
 #: Bytes of the first prefixes, and how much longer those of the next level are.
 FIRST_BYTES = 4
@@ -67,37 +71,54 @@ def _common_prefixes(terms: list[bytes], firsts: list[int]) -> np.ndarray:
     return shared
 
 
+def _combined(held: list[pa.Table], groups: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``held`` that agree in all but ``n`` as one, with how many documents they are from."""
+    keys = ["group", "term", "shared"]
+    table = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum"), ([], "count_all")])
+    of = table.column("group").combine_chunks()
+    names = [pa.array(column, pa.string()).take(of) for column in zip(*groups)]
+    columns = [*names, *(table.column(c) for c in ("term", "n_sum", "count_all", "shared"))]
+    yield from pa.table(columns, ["lang", "source", "term", "n", "documents", "shared"]).to_batches(BATCH_ROWS)
+
+
 def postings_of(docs: DataFrame) -> DataFrame:
-    """One row for each distinct term of each row of ``docs``, in order: ``lang``, ``source``, ``term`` (its
-    bytes), ``n`` (occurrences) and ``shared`` (bytes it has in common with the document's term before, -1
-    for the first). A row without terms has one row, with a null term."""
+    """The distinct terms of each row of ``docs``: ``lang``, ``source``, ``term`` (its bytes), ``n`` (occurrences),
+    ``documents`` and ``shared`` (bytes it has in common with the document's term before, -1 for the
+    first). A row stands for as many documents of a task as agree in all but ``n``, which is their sum. Documents
+    without terms have a null term."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}
+        held, held_bytes = [], 0
         for batch in batches:
-            names = [batch.column(i) for i in (0, 1)]
-            held, terms, counts, sizes, begin = 0, [], [], [], 0
-            for at, text in enumerate(batch.column(2).cast(pa.binary())):
+            names = zip(*(batch.column(i).to_pylist() for i in (0, 1)))
+            size, terms, counts, sizes, of = 0, [], [], [], []
+            for at, (name, text) in enumerate(zip(names, batch.column(2).cast(pa.binary()))):
                 data = text.as_py()
                 found = Counter(data.translate(_LETTERS).split()) or {None: 0}
                 order = sorted(found) if len(found) > 1 else list(found)
                 terms += order
                 counts += map(found.__getitem__, order)
                 sizes.append(len(order))
-                held += len(data)
-                if held < BATCH_BYTES and at + 1 < batch.num_rows:
+                of.append(groups.setdefault(name, len(groups)))
+                size += len(data)
+                if size < BATCH_BYTES and at + 1 < batch.num_rows:
                     continue
-                row = pa.array(np.repeat(np.arange(begin, at + 1), sizes))
                 firsts = np.cumsum([0, *sizes[:-1]]).tolist()
                 shared = _common_prefixes([term or b"" for term in terms], firsts)
-                yield pa.RecordBatch.from_arrays(
-                    [*(name.take(row) for name in names), pa.array(terms, pa.binary()), pa.array(counts, pa.int64()), pa.array(shared)],
-                    ["lang", "source", "term", "n", "shared"],
-                )
-                held, terms, counts, sizes, begin = 0, [], [], [], at + 1
+                columns = [np.repeat(np.array(of, np.int32), sizes), pa.array(terms, pa.binary()), pa.array(counts, pa.int64()), shared]
+                held.append(pa.table(columns, ["group", "term", "n", "shared"]))
+                held_bytes += size
+                size, terms, counts, sizes, of = 0, [], [], [], []
+                if held_bytes >= COMBINED_BYTES:
+                    yield from _combined(held, groups)
+                    groups, held, held_bytes = {}, [], 0
+        if held:
+            yield from _combined(held, groups)
 
     blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
     rows = docs.select(blank("lang"), blank("source"), blank("text"))
-    return rows.mapInArrow(counted, "lang string, source string, term binary, n bigint, shared int")
+    return rows.mapInArrow(counted, "lang string, source string, term binary, n bigint, documents bigint, shared int")
 
 
 class BitTable:
@@ -134,7 +155,7 @@ class BitTable:
 
 
 def _prefixes(postings: DataFrame, width: int, table: BitTable | None) -> DataFrame:
-    """(``lang``, ``prefix``): each document's distinct prefixes that the level before kept.
+    """(``lang``, ``prefix``, ``documents``): documents' distinct prefixes that the level before kept.
 
     A document's terms are in order, so a prefix is new where less than its width is shared with the term
     before; and of the terms of a prefix, all were kept by the level before or none.
@@ -142,15 +163,15 @@ def _prefixes(postings: DataFrame, width: int, table: BitTable | None) -> DataFr
     rows = postings.filter(F.col("term").isNotNull() & (F.col("shared") < width))
     if table is not None:
         rows = rows.filter((F.length("term") >= table.width) & table.holds(F.col("lang"), F.col("term")))
-    return rows.select("lang", F.substring("term", 1, width).alias("prefix"))
+    return rows.select("lang", F.substring("term", 1, width).alias("prefix"), "documents")
 
 
 def kept_terms(postings: DataFrame, least: int = MIN_DOCUMENTS, first: int = FIRST_BYTES) -> DataFrame:
     """(``lang``, ``term``) of the terms in at least so many of the language's documents."""
     width, complete, table = first, [], None
     while True:
-        counted = _prefixes(postings, width, table).groupBy("lang", "prefix").count()
-        level = stored(counted.filter(F.col("count") >= least).select("lang", "prefix"), "level")
+        counted = _prefixes(postings, width, table).groupBy("lang", "prefix").agg(F.sum("documents").alias("documents"))
+        level = stored(counted.filter(F.col("documents") >= least).select("lang", "prefix"), "level")
         complete.append(level.filter(F.length("prefix") < width).withColumnRenamed("prefix", "term"))
         open_ones = level.filter(F.length("prefix") == width)
         size = open_ones.count()
@@ -245,7 +266,7 @@ def audit(docs: DataFrame, least: int = MIN_DOCUMENTS, top: int = TOP_TERMS) ->
     kept = stored(kept_terms(postings, least), "kept")
     table = BitTable(kept.withColumnRenamed("term", "prefix"), None, kept.count())
     used = postings.filter(F.col("term").isNotNull() & table.holds(F.col("lang"), F.col("term")))
-    used = used.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
+    used = used.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     of_lang = Window.partitionBy("lang", "term")
     # What passed by chance is in too few documents here as well.
     used = used.select("lang", "source", "term", "n", F.sum("n").over(of_lang).alias("lang_n"), F.sum("documents").over(of_lang).alias("documents"))

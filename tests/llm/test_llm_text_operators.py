@@ -389,3 +389,41 @@ def test_ids_of_every_letter_before_every_mark():
     expected = [e.ids for e in plain.encode_batch_fast(words, add_special_tokens=False)]
     assert sizes.tolist() == list(map(len, expected))
     assert ids.tolist() == [i for own in expected for i in own]
+
+
+def test_stems_kept_are_no_python_objects(monkeypatch):
+    """The encoder looks stems up in Arrow; and ids stay right when it forgets stems between batches."""
+    import random
+    import sys
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcdeñé") for _ in range(9)) + rng.choice(["", ".", "ı́", "7"]) for _ in range(30_000)})
+    encoder = token_blocks.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array([" ".join(words[i : i + 50]) for i in range(0, len(words), 50)])
+    encoder.encode(texts[:1])
+    before = sys.getallocatedblocks()
+    ids, sizes = encoder.encode(texts)
+    assert sys.getallocatedblocks() - before < len(words) // 10
+    expected = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, expected))
+    assert ids.tolist() == [i for own in expected for i in own]
+    monkeypatch.setattr(token_blocks, "CACHE_STEMS", 4000)
+    for at in (0, 20, 10, 300, 0, 310, 20, len(texts) - 5):
+        ids, sizes = encoder.encode(texts[at : at + 30])
+        assert ids.tolist() == [i for own in expected[at : at + 30] for i in own]
+        assert sizes.tolist() == list(map(len, expected[at : at + 30]))
+    assert len(encoder.stems) < 6000
+
+
+def test_packed_bits_of_every_width():
+    """Values lie bit after bit, the lowest first, in as many bits as the width."""
+    rng = np.random.default_rng(3)
+    for width in range(1, 33):
+        values = rng.integers(0, 1 << width, (5, token_blocks.BLOCK), dtype=np.uint64)
+        words = np.ascontiguousarray(token_blocks._pack(values, width))
+        bits = np.unpackbits(words.view(np.uint8).reshape(5, -1), axis=1, bitorder="little").reshape(5, token_blocks.BLOCK, width)
+        assert ((bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=2) == values).all()
+        assert (token_blocks._unpack(words, width) == values).all()

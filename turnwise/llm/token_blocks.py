@@ -14,10 +14,9 @@ text). A null or empty text is the end id alone.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -105,17 +104,21 @@ def _word_places(starts: np.ndarray, blocks: np.ndarray, width: int) -> np.ndarr
     return starts[blocks][:, None] + np.arange(width * BLOCK // 64)
 
 
-def _slots(width: int):
-    """Where each value of a block lies: its number, first word, shift, and bits in the next word."""
-    for j in range(BLOCK):
+def _slots(n: int, width: int):
+    """Where each of ``n`` values of a block lies: its number, first word, shift, and bits in the next word."""
+    for j in range(n):
         word, shift = divmod(j * width, 64)
         yield j, word, np.uint64(shift), max(0, shift + width - 64)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     low = (values & np.uint64((1 << width) - 1)).T.copy()
-    words = np.zeros((width * BLOCK // 64, len(values)), np.uint64)
-    for j, word, shift, over in _slots(width):
+    # Neighbours become one value of twice the width as long as a word holds it.
+    while width <= 32 and len(low) > 1:
+        low = low[::2] | low[1::2] << np.uint64(width)
+        width *= 2
+    words = np.zeros((width * len(low) // 64, len(values)), np.uint64)
+    for j, word, shift, over in _slots(len(low), width):
         words[word] |= low[j] << shift
         if over:
             words[word + 1] |= low[j] >> np.uint64(width - over)
@@ -124,13 +127,21 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     words = words.T.copy()
-    values = np.empty((BLOCK, words.shape[1]), np.uint64)
-    mask = np.uint64((1 << width) - 1)
-    for j, word, shift, over in _slots(width):
+    n, joined = BLOCK, width
+    while joined <= 32 and n > 1:
+        n, joined = n // 2, joined * 2
+    values = np.empty((n, words.shape[1]), np.uint64)
+    mask = np.uint64((1 << joined) - 1)
+    for j, word, shift, over in _slots(n, joined):
         value = words[word] >> shift
         if over:
-            value |= words[word + 1] << np.uint64(width - over)
+            value |= words[word + 1] << np.uint64(joined - over)
         values[j] = value & mask
+    while joined > width:
+        joined //= 2
+        halves = np.empty((2 * len(values), values.shape[1]), np.uint64)
+        halves[::2], halves[1::2] = values & np.uint64((1 << joined) - 1), values >> np.uint64(joined)
+        values = halves
     return values.T
 
 
@@ -156,51 +167,78 @@ class WordEncoder:
         if suffix:
             self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.letters = f"^[{''.join(self._split_letters())}]+$"
-        self.is_letters = re.compile(self.letters)
-        self.stems: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: The stems kept, each one's number of ids, all their ids in a row, and the last batch that had it.
+        self.stems = pa.array([], pa.string())
+        self.lengths = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+        self.used = np.zeros(0, np.int64)
+        self.batches = 0
 
     def _split_letters(self) -> list[str]:
         """Letters whose ids no mark behind them changes. A letter whose lower case ends with a combining mark is
         none, as the mark joins those behind it. With another kind of tokenizer there may be no such letter, and
         words are looked up whole; \0 keeps the class from being empty."""
-        alone = {x: e for x, e in zip([*LETTERS, *MARKS], self._apart([*LETTERS, *MARKS]))}
+        def ids_of(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        alone = dict(zip([*LETTERS, *MARKS], ids_of([*LETTERS, *MARKS])))
         pairs = [(letter, mark) for letter in LETTERS for mark in MARKS]
-        both = self._apart([letter + mark for letter, mark in pairs])
+        both = ids_of([letter + mark for letter, mark in pairs])
         joined = {letter for (letter, mark), ids in zip(pairs, both) if ids != alone[letter] + alone[mark]}
         return [letter for letter in LETTERS if letter not in joined] or ["\\x00"]
 
-    def _ids(self, stems: list[str]) -> list[bytes]:
+    def _places(self, stems: pa.Array) -> np.ndarray:
+        """Where each stem is among those kept; new ones are encoded and added. Arrow lists values in the order in
+        which they first occur, so the stems kept before stay where they are."""
         if len(self.stems) > CACHE_STEMS // 2:
-            self.older, self.stems = self.stems, {}
-        known, older = self.stems, self.older
-        unknown = [stem for stem in stems if stem not in known]
-        new = [stem for stem in unknown if stem not in older]
-        if len(new) < len(unknown):
-            known.update((stem, older[stem]) for stem in unknown if stem in older)
-        letters = [stem for stem in new if self.is_letters.match(stem)]
-        for at in range(0, len(letters), 4096):
-            part = letters[at : at + 4096]
-            known.update(zip(part, self._together(part)))
-        others = [stem for stem in new if stem not in known]
-        for at in range(0, len(others), 4096):
-            part = others[at : at + 4096]
-            known.update(zip(part, self._apart(part)))
-        return list(map(known.__getitem__, stems))
-
-    def _apart(self, stems: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
-
-    def _together(self, stems: list[str]) -> list[bytes]:
+            self._forget()
+        n = len(self.stems)
+        coded = pa.concat_arrays([self.stems, stems]).dictionary_encode()
+        self.stems = coded.dictionary
+        places = coded.indices.to_numpy()[n:]
+        new = self.stems.slice(n)
+        if len(new):
+            letters = pc.match_substring_regex(new, pattern=self.letters).to_numpy(zero_copy_only=False)
+            found = [(np.flatnonzero(letters), self._together), (np.flatnonzero(~letters), self._apart)]
+            at, ids, lengths = [], [self.ids], []
+            for of, encode in found:
+                for first in range(0, len(of), 4096):
+                    at.append(of[first : first + 4096])
+                    more, n_each = encode(new.take(pa.array(at[-1])))
+                    ids.append(more)
+                    lengths.append(n_each)
+            # Letters and others were encoded apart; their ids go back in the order of the stems.
+            at, lengths = np.concatenate(at), np.concatenate(lengths)
+            back = np.argsort(at)
+            self.ids = np.concatenate([self.ids, _gather(np.concatenate(ids[1:]), lengths, back)])
+            self.lengths = np.concatenate([self.lengths, lengths[back]])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.batches += 1
+        self.used[places] = self.batches
+        return places
+
+    def _forget(self) -> None:
+        """Keep the stems of the last batches, a quarter of CACHE_STEMS or fewer, but for those of the last one."""
+        least = min(np.partition(self.used, -(CACHE_STEMS // 4))[-(CACHE_STEMS // 4)] + 1, self.batches)
+        kept = np.flatnonzero(self.used >= least)
+        self.stems = self.stems.take(pa.array(kept))
+        self.ids = _gather(self.ids, self.lengths, kept)
+        self.lengths, self.used = self.lengths[kept], self.used[kept]
+
+    def _apart(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all stems in a row, and each one's number of ids."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(stems.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(encoded), "<u4"), np.fromiter(map(len, encoded), np.int64, len(encoded))
+
+    def _together(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Stems of letters are one word each, so in one text their last tokens tell them apart."""
-        encoded = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(stems)], stems), " ")[0].as_py()
+        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         ids = np.asarray(encoded[0].ids, "<u4")
-        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(stems):
             return self._apart(stems)
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        return ids, np.diff(ends, prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and each text's number of ids."""
@@ -213,14 +251,10 @@ class WordEncoder:
         mark = _ends(distinct, body)
         stem = pc.if_else(split, pc.ascii_lower(body), distinct)
         mark = pc.if_else(split, mark, "")
-        both = pa.concat_arrays([stem, mark]).dictionary_encode()
-        found = self._ids(both.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), "<u4")
         # Each distinct word is two entries: its stem, and its mark or nothing.
-        halves = both.indices.to_numpy().astype(np.int64).reshape(2, -1).T
-        word_ids = _gather(ids, lengths, halves.reshape(-1))
-        word_lengths = lengths[halves].sum(axis=1)
+        halves = self._places(pa.concat_arrays([stem, mark])).reshape(2, -1).T
+        word_ids = _gather(self.ids, self.lengths, halves.reshape(-1))
+        word_lengths = self.lengths[halves].sum(axis=1)
         order = words.indices.to_numpy()
         out = _gather(word_ids, word_lengths, order)
         ends = np.concatenate([[0], np.cumsum(word_lengths[order])])

@@ -292,6 +292,30 @@ def test_repeated_bytes_of_an_id_with_two_texts(spark):
     assert got == brute_removed(texts)
 
 
+def test_windows_that_touch_leave_as_one_span(spark, monkeypatch):
+    """And texts are cut and described alike one by one and together."""
+    rng = np.random.default_rng(12)
+    random = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    shared = random(1500)
+    texts = [(i, random(300 + i) + shared[3 * i : 1400 + 7 * i] + random(40 * i)) for i in range(9)]
+    texts += [(20, "é" * 900), (21, "-" * 1500), (22, random(399)), (23, random(400)), (24, texts[3][1][250:900])]
+    docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    compare, rows = suffix_dedup.compare_neighbours, []
+
+    def counted(pieces, ranks):
+        found = suffix_dedup.stored(compare(pieces, ranks), "found")
+        rows.append(found.selectExpr("count(*) AS n", "sum(high - low + 1) AS windows").first())
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "compare_neighbours", counted)
+    for size in (1, 1 << 18):
+        monkeypatch.setattr(suffix_dedup, "TEXT_BYTES", size, raising=False)
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_bytes(docs).collect())
+        assert got == brute_removed(texts)
+    assert rows[0].windows == rows[1].windows > 100
+    assert all(4 * r.n < r.windows for r in rows)
+
+
 # --- language model ----------------------------------------------------------------------------------
 
 
